@@ -123,11 +123,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str], ite
     with occurring windows, sorted as strings. Null texts have no words. Repeated items count once; items with a null
     id hit words but aren't listed. Without items nothing is hit. Repeated documents give a row each.
     """
-    frame, spark = docs.select(*columns, "text"), docs.sparkSession
-    n = 0
-    for block in item_blocks(benchmark, block_words, item_id):
-        frame = map_texts(frame, _finder(spark.sparkContext.broadcast(block)), f"__w{n} bigint, __r{n} array<bigint>, __i{n} array<string>", frame.columns)
-        n += 1
+    spark = docs.sparkSession
+    frame = docs.select(*columns, F.col("text").alias("__doc"))
+    held = [spark.sparkContext.broadcast(block) for block in item_blocks(benchmark, block_words, item_id)]
+    n = len(held)
+    for k, block in enumerate(held):  # each pass looks for one block's windows; all but the last hand the text on
+        kept = [c for c in frame.columns if c != "__doc" or k + 1 < n]
+        frame = map_texts(frame, _finder(block), f"__w{k} bigint, __r{k} array<bigint>, __i{k} array<string>", kept, "__doc")
     made = StructType.fromDDL(
         "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, runs array<bigint>"
     )

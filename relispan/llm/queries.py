@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from relispan.llm import decontam, simhash
+from relispan.llm import bpe, decontam, fingerprint, secrets, simhash, tokenfiles
 
 QUERIES = {
+    "op1_secrets": secrets.query,
+    "op3_bpe": bpe.query,
+    "op4_fingerprints": fingerprint.query,
+    "op7_token_files": tokenfiles.query,
     "op9_simhash": simhash.query,
     "op10_decontamination": decontam.query,
 }
