@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from relispan.llm import bpe, decontam, fingerprint, secrets, simhash, tokenfiles
+from relispan.llm import bpe, chunks, decontam, fingerprint, langid, licenses, quality, secrets, simhash, tokenfiles
 
 QUERIES = {
     "op1_secrets": secrets.query,
+    "op2_quality": quality.query,
     "op3_bpe": bpe.query,
     "op4_fingerprints": fingerprint.query,
+    "op5_licenses": licenses.query,
+    "op6_language": langid.query,
     "op7_token_files": tokenfiles.query,
+    "op8_repeats": chunks.query,
     "op9_simhash": simhash.query,
     "op10_decontamination": decontam.query,
 }
