@@ -49,45 +49,60 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.numbers = [str(i) for i in range(size)]
         self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.word_ends = np.array([x.endswith("</w>") for x in self.tokens])
+        self.plain = self._without_rules() if self.word_ends.any() else None
         self.joins_tokens = self.tokenizer.decoder is None
         mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.kept: dict[bytes, bytes] = {}
 
+    def _without_rules(self):
+        """The same model for words of small letters a-z, which normalisation and the splitting rule leave whole.
+
+        None if the tokenizer treats a sample of such words in another way.
+        """
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        plain = Tokenizer.from_str(self.tokenizer.to_str())
+        plain.normalizer = normalizers.Sequence([])
+        plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        sample = " ".join(a + b + a for a in "abcdefghijklmnopqrstuvwxyz" for b in ("", "the", "qz"))
+        same = plain.encode(sample, add_special_tokens=False).ids == self.tokenizer.encode(sample, add_special_tokens=False).ids
+        return plain if same else None
+
     def learn(self, pieces: set[bytes]) -> None:
         """Have the ids of all these pieces at hand."""
         if len(self.kept) > KEPT_PIECES:
             self.kept.clear()
         new = pieces - self.kept.keys()
-        split = {}
-        todo = set()
-        for p in new:
-            stem = p.rstrip(b".,")
-            if stem and len(stem) < len(p) and _letters(stem):  # letters and what follows them are parted by the rule
-                split[p] = stem
-                todo.add(stem)
-                todo.add(p[len(stem) :])
-            else:
-                todo.add(p)
-        alone = [p for p in todo if self.mark is None or b"\x01" in p]
-        for p in alone:
-            self.kept[p] = self._ids(p.decode("utf-8", "replace"))
-        rest = [p for p in todo if p not in self.kept]
-        groups = [rest[i : i + BATCH] for i in range(0, len(rest), BATCH)]
-        joined = [" \x01 ".join([p.decode("utf-8", "replace") for p in g]) for g in groups]
+        # a word of letters has one token that ends a word, its last
+        if self.plain is not None:
+            self._learn([p for p in new if p.isalpha() and p.islower()], " ", self.word_ends, self.plain)
+        if self.word_ends.any():
+            self._learn([p for p in new if p not in self.kept and _letters(p)], " ", self.word_ends, self.tokenizer)
+        rest = [p for p in new if p not in self.kept]
+        if self.mark is not None:
+            self._learn([p for p in rest if b"\x01" not in p], " \x01 ", np.arange(len(self.tokens)) == self.mark, self.tokenizer)
+        for p in rest:
+            if p not in self.kept:
+                self.kept[p] = self._ids(p.decode("utf-8", "replace"))
+
+    def _learn(self, pieces: list[bytes], between: str, closes: np.ndarray, tokenizer) -> None:
+        """Encode many pieces at once; ``closes`` tells the tokens that end a piece, or stand between two."""
+        inside = between == " "
+        groups = [pieces[i : i + BATCH] for i in range(0, len(pieces), BATCH)]
         for low in range(0, len(groups), 16):
-            made = self.tokenizer.encode_batch(joined[low : low + 16], add_special_tokens=False)
+            texts = [between.join([p.decode("utf-8", "replace") for p in g]) for g in groups[low : low + 16]]
+            made = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             for g, e in zip(groups[low : low + 16], made, strict=True):
                 ids = np.array(e.ids, "<u4")
-                ends = np.flatnonzero(ids == self.mark)
-                if len(ends) != len(g) - 1:
-                    raise ValueError("the tokenizer joined pieces across white space")
+                ends = np.flatnonzero(closes[ids]) + inside
+                if len(ends) != len(g) - 1 + inside:
+                    continue  # they are encoded one by one
                 raw, a = ids.tobytes(), 0
-                for p, b in zip(g, [*ends.tolist(), len(ids)], strict=True):
+                for p, b in zip(g, ends.tolist() if inside else [*ends.tolist(), len(ids)], strict=True):
                     self.kept[p] = raw[4 * a : 4 * b]
-                    a = b + 1
-        for p, stem in split.items():
-            self.kept[p] = self.kept[stem] + self.kept[p[len(stem) :]]
+                    a = b + (not inside)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -106,9 +121,28 @@ class Encoder:
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
 
+_STOP, _SPACE, _PLAIN, _TRAIL = (np.zeros(256, bool) for _ in range(4))
+_STOP[[44, 46]] = True
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_PLAIN[48:58] = _PLAIN[97:123] = True
+_TRAIL[0x80:0xC0] = True
+_TRAIL[[0x97, 0xB7]] = False  # the signs for times and divided by
+
+
 def pieces_of(text: bytes) -> list[bytes]:
-    """What white space parts; capitals A-Z become small as the tokenizer makes them, unless a special token may stand."""
-    return (text if b"<|" in text else text.lower()).split()
+    """What the tokenizer encodes independently: parted by white space, and full stops and commas apart from words.
+
+    Capitals A-Z become small as the tokenizer makes them, unless a special token may stand. A full stop or comma
+    between a letter or digit and white space is a token's part of its own by the tokenizer's rule.
+    """
+    if b"<|" in text:
+        return text.split()
+    text = text.lower() + b" "
+    b = np.frombuffer(text, np.uint8)
+    at = np.flatnonzero(_STOP[b[1:-1]] & _SPACE[b[2:]]) + 1
+    before, two = b[at - 1], b[at - 2]  # at 1 the latter is the last byte, a space
+    at = at[_PLAIN[before] | (_TRAIL[before] & (two == 0xC3))]
+    return (np.insert(b, at, 32).tobytes() if len(at) else text).split()
 
 
 def _letters(stem: bytes) -> bool:
