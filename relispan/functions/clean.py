@@ -62,7 +62,8 @@ def unicode(text: Column, form: str = "NFC") -> Column:
     if form not in ("NFC", "NFD", "NFKC", "NFKD"):
         raise ValueError(f"unknown form {form!r}")
     method = "compose" if form in ("NFC", "NFKC") else "decompose"
-    return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), text, F.lit("K" in form))
+    made = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), text, F.lit("K" in form))
+    return F.when(text.isNotNull(), made)
 
 
 def whitespace(text: Column) -> Column:
@@ -115,7 +116,8 @@ _SCALES = {"hundred": 100, "thousand": 1000, "million": 10**6, "billion": 10**9,
 _PARTS = {"half": 2, "halves": 2, "third": 3, "thirds": 3, "quarter": 4, "quarters": 4, "fifth": 5, "fifths": 5, "eighth": 8, "eighths": 8, "tenth": 10, "tenths": 10}
 _SMALL = {w: i for i, w in enumerate(_UNITS)} | {w: 10 * (i + 2) for i, w in enumerate(_TENS)}
 _WORD = "|".join([*_SMALL, *_SCALES])
-_NUMBER = re.compile(rf"\b(?:{_WORD})(?:(?:[ -]+(?:and[ -]+)?)(?:{_WORD}))*(?: and (?:{'|'.join(_UNITS[:20])}|a) (?:{'|'.join(_PARTS)}))?\b", re.I)
+_SPELLED = rf"(?:{_WORD})(?:(?:[ -]+(?:and[ -]+)?)(?:{_WORD}))*"
+_NUMBER = re.compile(rf"\b(?:{_SPELLED}? and (?:{'|'.join(_UNITS)}|a) (?:{'|'.join(_PARTS)})|{_SPELLED})\b", re.I)
 
 
 def number_of(words: str) -> str:
@@ -123,7 +125,7 @@ def number_of(words: str) -> str:
     parts = re.split(r"[ -]+", words.lower())
     share = 0.0
     if parts[-1] in _PARTS:
-        share = (_SMALL.get(parts[-2], 1)) / _PARTS[parts[-1]]
+        share = _SMALL.get(parts[-2], 1) / _PARTS[parts[-1]]
         parts = parts[:-3]
     total = group = last = 0
     for w in parts:
