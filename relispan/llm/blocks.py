@@ -36,6 +36,12 @@ def map_texts(docs: DataFrame, fn: Callable, schema: str, columns: list[str], te
     return docs.select(*[F.col(c) for c in columns], text_bytes(text)).mapInArrow(run, whole)
 
 
+def set_aside(docs: DataFrame, *kept: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all but the kept columns under names that no operator uses, and what gives them their own again."""
+    names = {c: c if c in kept else f"__own{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), lambda frame: frame.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def slices(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """The first row's number and the byte strings of consecutive rows that hold about ``limit`` bytes together."""
     low, part, size = 0, [], 0

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from relispan.llm.blocks import WORDS_ONLY, map_texts, mix, text_bytes, words
+from relispan.llm.blocks import WORDS_ONLY, map_texts, mix, set_aside, text_bytes, words
 
 WINDOW, K = 10, 5
 BLOCK_WORDS = 2_000_000
@@ -181,7 +181,8 @@ def _finder(held):
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, without those that hold a window of a benchmark item."""
-    return contamination(docs, benchmark, docs.columns).filter(~F.col("contaminated")).select(*docs.columns)
+    frame, restore = set_aside(docs, "text")
+    return restore(contamination(frame, benchmark, frame.columns).filter(~F.col("contaminated")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

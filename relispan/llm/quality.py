@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relispan.llm.blocks import hashes, map_texts, word_runs
+from relispan.llm.blocks import hashes, map_texts, set_aside, word_runs
 from relispan.llm.langid import held_out
 
 TRAIN_DOCS = 2500  # labelled documents at most, chosen by a hash of their ids
@@ -245,7 +245,9 @@ def score(docs: DataFrame, columns: list[str], model: Chain) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, without those that are predicted to be bad."""
-    return score(docs, docs.columns, train(docs, labels)).filter("predicted = 1").select(*docs.columns)
+    model = train(docs, labels)
+    frame, restore = set_aside(docs, "text")
+    return restore(score(frame, frame.columns, model).filter("predicted = 1"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,12 +21,12 @@ TEXTS = [
     "zero ONE two three, four five six seven. eight nine ten eleven twelve thirteen",
     "tiny item here",
 ]
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, bits bigint, key string, form string, fingerprint string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, bits bigint, key string, form string, fingerprint string, score double, predicted int, contaminated boolean, n_words bigint, component_id bigint, spans string"
 
 
 def edge_rows():
-    rows = [(i, t, "en", "s", len(t or ""), 1, "k", "f", "p") for i, t in enumerate(TEXTS)]
-    rows += [(3, "word", "en", "s", 4, 1, "k", "f", "p"), (None, "word", None, None, None, 1, "k", "f", "p"), (None, None, None, None, None, 1, "k", "f", "p")]
+    rows = [(i, t, "en", "s", len(t or ""), 1, "k", "f", "p", 0.1, 0, True, 7, 5, "s") for i, t in enumerate(TEXTS)]
+    rows += [(3, "word", "en", "s", 4, 1, "k", "f", "p", 0.1, 0, True, 7, 5, "s"), (None, "word", None, None, None, 1, "k", "f", "p", 0.1, 0, True, 7, 5, "s"), (None, None, None, None, None, 1, "k", "f", "p", 0.1, 0, True, 7, 5, "s")]
     return rows
 
 
