@@ -17,7 +17,7 @@ from relispan.llm.blocks import gear_cuts, map_texts
 from relispan.plans.shared import shared_table
 
 ONE_IN, LEAST, MOST = 32, 8, 512
-SPAN_BYTES = 64  # shorter runs of repeated chunks are set phrases rather than passages
+SPAN_BYTES = 88  # shorter runs of repeated chunks are single lines and set phrases rather than passages
 
 
 def chunk_table(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
