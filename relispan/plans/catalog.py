@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relispan.functions import clean as C
-from relispan.operators import causal, entities, graph, similarity, timeseries, twosample
+from relispan.operators import annotate, graph, timeseries, twosample
 from relispan.sources import models
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 M, ZONE = 24, 6
-HALF = 50
 
 
 def query(sql: str | None = None):
@@ -113,12 +111,19 @@ def anomaly_intervals(read):
     return timeseries.anomaly_intervals(timeseries.matrix_profile(scaled(read), M), M, F.lit(4.0)).withColumn("peak", r6("peak"))
 
 
-EV = f"{S}, e AS (SELECT i AS event_id, series_id, i AS loc FROM s WHERE i % 50 = 25), x AS (SELECT event_id, e.series_id, CASE WHEN s.i < loc THEN 'front' ELSE 'rear' END AS side, s.i, v FROM e JOIN s ON e.series_id = s.series_id AND s.i >= loc - {M} AND s.i < loc + {M})"
+EV = f"{S}, e AS (SELECT i AS event_id, series_id, i AS loc FROM (SELECT *, row_number() OVER (PARTITION BY series_id, date_trunc('day', t) ORDER BY v DESC, i) AS r FROM s) WHERE r = 1), x AS (SELECT event_id, e.series_id, CASE WHEN s.i < loc THEN 'front' ELSE 'rear' END AS side, s.i, v FROM e JOIN s ON e.series_id = s.series_id AND s.i >= loc - {M} AND s.i < loc + {M})"
+
+
+def _peaks(series: DataFrame, unit: str) -> DataFrame:
+    """Events where a series is highest in each day or week; the first of equal samples."""
+    order = Window.partitionBy("series_id", F.date_trunc(unit, "t")).orderBy(F.desc("v"), "i")
+    first = series.withColumn("r", F.row_number().over(order)).filter("r = 1")
+    return first.select(F.col("i").alias("event_id"), "series_id", F.col("i").alias("loc"))
 
 
 def _windows(read):
     s = hourly(read)
-    return timeseries.event_windows(s, s.filter("i % 50 = 25").select(F.col("i").alias("event_id"), "series_id", F.col("i").alias("loc")), M)
+    return timeseries.event_windows(s, _peaks(s, "day"), M)
 
 
 @query(f"{EV} SELECT event_id, series_id, side, i, round(v, 6) AS v FROM x")
@@ -137,8 +142,7 @@ def event_tscore(read):
 @query()
 def event_series_relation(read):
     s = hourly(read)
-    events = s.filter("i % 200 = 100").select(F.col("i").alias("event_id"), "series_id", F.col("i").alias("loc"))
-    return twosample.event_relations(s, events, M, samples=20, iterations=50)
+    return twosample.event_relations(s, _peaks(s, "week"), M, samples=20, iterations=50)
 
 
 @query(f"{S} SELECT series_id, i, round(v, 6) AS v FROM s WHERE i % 7 = 0")
@@ -310,6 +314,13 @@ def graph_bfs_reach(read):
     return graph.reach(links, read("part").filter("p_partkey = 1").select(F.col("p_partkey").alias("id")), 2)
 
 
+@query("SELECT n_nationkey::VARCHAR AS node, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
+def report_links(read):
+    nodes = read("nation").select(F.col("n_nationkey").cast("string").alias("id"), F.lower("n_name").alias("label"))
+    named = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("report_id"), F.col("n_name").alias("entity"))
+    return annotate.link_reports(named, nodes).filter("how = 'label'").groupBy("node").agg(F.count("*").alias("n"))
+
+
 # ---- system models
 
 MB = """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relispan.functions import clean as C
-from relispan.operators import causal, entities, similarity
+from relispan.operators import annotate, causal, entities, similarity
 from relispan.plans.catalog import query, r6
 
 # ---- cleaning
@@ -236,6 +236,24 @@ def relation_triples(read):
     return causal.relation_triples(causal.sentence_words(_sentences(read)), ent, rel.select(F.col("keyword").alias("word")))
 
 
+@query(f"{_LEX} SELECT doc_id, sent, string_agg(word, ' ' ORDER BY i) AS sequence FROM x WHERE word IN (SELECT word FROM ent) GROUP BY 1, 2")
+def causal_sequences(read):
+    ent, _ = _lexicons(read)
+    found = annotate.causal_sequences(causal.sentence_words(_sentences(read)), ent)
+    return found.select("doc_id", "sent", F.array_join("sequence", " ").alias("sequence"))
+
+
+@query("SELECT DISTINCT p_brand AS label, unnest([lower(p_type), replace(lower(p_type), '-', ' '), replace(lower(p_type), '-', '')]) AS entity FROM part")
+def entity_library(read):
+    return annotate.entity_library(read("part").select(F.col("p_brand").alias("label"), F.col("p_type").alias("entity")))
+
+
+@query("SELECT lower(p_type) AS entity, count(DISTINCT p_brand) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
+def shared_names(read):
+    library = annotate.entity_library(read("part").select(F.col("p_brand").alias("label"), F.col("p_type").alias("entity")))
+    return annotate.shared_names(library).select("entity", F.size("labels").cast("bigint").alias("n"))
+
+
 @query(f"{_SENT} SELECT doc_id, sent, list_has_any(regexp_extract_all(lower(text), '[a-z0-9]+'), ['possible', 'likely', 'may', 'should', 'could']) AS conjecture FROM s")
 def conjecture_flag(read):
     return causal.word_flags(_sentences(read), ["possible", "likely", "may", "should", "could"], "conjecture")
