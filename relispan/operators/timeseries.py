@@ -166,6 +166,19 @@ def event_windows(series: DataFrame, events: DataFrame, w: int) -> DataFrame:
     return near.join(rows, ["series_id", "block"]).filter(inside).select("event_id", "series_id", side.alias("side"), "i", "v")
 
 
+def random_windows(series: DataFrame, w: int, n: int, seed: int = 0) -> DataFrame:
+    """(series_id, k, i, v): n windows of w samples of each series, from seeded random starts below its last window.
+
+    Starts may repeat. The windows meet the samples by blocks, as around events.
+    """
+    size = series.groupBy("series_id").agg(F.max("i").alias("last"))
+    start = F.pmod(F.xxhash64("series_id", "k", F.lit(seed)), F.greatest(F.lit(1), F.col("last") + 1 - w))
+    wanted = size.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n)))).select("series_id", "k", start.alias("start"))
+    near = wanted.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / w), F.floor((F.col("start") + w - 1) / w))))
+    met = near.join(series.withColumn("block", F.floor(F.col("i") / w)), ["series_id", "block"])
+    return met.filter((F.col("i") >= F.col("start")) & (F.col("i") < F.col("start") + w)).select("series_id", "k", "i", "v")
+
+
 def t_scores(windows: DataFrame) -> DataFrame:
     """(event_id, series_id, n, t): front mean less rear mean over the root of the sum of variances by n.
 

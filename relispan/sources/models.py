@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from relispan.plans.shared import shared_table
+
 NODE_COLUMNS = ["label", "ID", "type"]
 EDGE_COLUMNS = ["sourceNodeId", "targetNodeId", "type", "medium"]
 
@@ -137,6 +139,22 @@ def contract_links(relations: DataFrame, links: DataFrame) -> DataFrame:
     return rest.select("src", "dst").unionByName(through).distinct()
 
 
+def numbered(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (nodeId, label, ID, type) numbered from 0 by id, and edges (sourceNodeId, targetNodeId, type) by number.
+
+    Numbers come from counts of ranges of ids, so that no order over all rows in one place is needed.
+    """
+    ids = entities.select("id", "name", "kind").dropDuplicates(["id"])
+    part = ids.repartitionByRange("id").sortWithinPartitions("id").select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
+    part = shared_table(part.withColumn("at", F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).drop("m"), "numbers")
+    w = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # one short row a partition
+    base = part.groupBy("p").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0))).select("p", "base")
+    nodes = part.join(base, "p").select((F.col("base") + F.col("at")).alias("nodeId"), F.col("name").alias("label"), F.col("id").alias("ID"), F.col("kind").alias("type"))
+    ends = nodes.select("nodeId", "ID")
+    edges = relations.join(ends.toDF("sourceNodeId", "src"), "src").join(ends.toDF("targetNodeId", "dst"), "dst")
+    return nodes, edges.select("sourceNodeId", "targetNodeId", F.lit("link").alias("type"))
+
+
 def write_model(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Nodes and edges as CSV files below a path."""
     nodes.write.option("header", True).csv(f"{path}/nodes")

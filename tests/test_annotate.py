@@ -74,3 +74,43 @@ def test_graph_catalog(spark):
             bad()
     c.reset()
     assert not c.graphs
+
+
+def test_models_keep_their_scaling(spark):
+    from relispan.operators.models import MatrixProfileModel
+    from test_timeseries import FIRST_EIGHT, ROBUST, series
+
+    s = series(spark)
+    model = MatrixProfileModel(4, method="incremental").fit(s.filter("i < 8")).evaluate(s.filter("i >= 8"))
+    assert [r["p"] for r in model.scores().orderBy("i").collect()] == pytest.approx(FIRST_EIGHT, abs=1e-5)
+    exact = MatrixProfileModel(4).fit(s)
+    assert [r["p"] for r in exact.scores().orderBy("i").collect()] == pytest.approx(ROBUST, abs=1e-5)
+    assert exact.anomalies(1).first()["i"] == 6 and exact.set_params(m=5).get_params()["m"] == 5 and exact.reset().m == 4
+    assert MatrixProfileModel(4, method="approx", share=1.0).fit(s).scores().count() == 10
+    for bad in (lambda: MatrixProfileModel(4, method="x"), lambda: exact.set_params(x=1), lambda: model.evaluate(series(spark, name="b"))):
+        with pytest.raises(ValueError):
+            bad()
+    for bad in (lambda: MatrixProfileModel(4, method="gpu"), lambda: MatrixProfileModel(4).fit(s).evaluate(s)):
+        with pytest.raises(NotImplementedError):
+            bad()
+
+
+def test_random_windows_and_numbers(spark):
+    from relispan.operators import timeseries
+    from relispan.sources import models
+    from test_timeseries import series
+
+    w = timeseries.random_windows(series(spark, range(50)), 5, 8).collect()
+    assert len(w) == 40 and {r["k"] for r in w} == set(range(1, 9)) and max(r["i"] for r in w) <= 49
+    e = spark.createDataFrame([("c", "n3", "entity"), ("a", "n1", "entity"), ("b", "n2", "link")], "id string, name string, kind string")
+    nodes, edges = models.numbered(e, spark.createDataFrame([("a", "c")], "src string, dst string"))
+    assert {(r["nodeId"], r["ID"]) for r in nodes.collect()} == {(0, "a"), (1, "b"), (2, "c")} and tuple(edges.first()) == (0, 2, "link")
+
+
+def test_semantic_similarity(spark):
+    from relispan.operators import similarity
+
+    pairs = spark.createDataFrame([(1, ["cat", "sat"], ["dog", "sat"]), (2, [], ["x"])], "pair_id int, a array<string>, b array<string>")
+    sims = spark.createDataFrame([("cat", "dog", 0.5), ("dog", "cat", 0.5), ("sat", "dog", 0.1)], "x string, y string, s double")
+    got = {r["pair_id"]: r["semantic"] for r in similarity.semantic_similarity(pairs, sims).collect()}
+    assert got[1] == pytest.approx((0.5 + 1 + 0.5) / (1 + 1 + 0.25)) and got[2] == 0
