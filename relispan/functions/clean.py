@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
@@ -190,7 +189,3 @@ def short_acronyms(text: Column) -> Column:
 
 def without_short_acronyms(text: Column) -> Column:
     return _sub(text, r"\b[A-Za-z]/[A-Za-z](?=\s)", "")
-
-
-def strip_accents(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))

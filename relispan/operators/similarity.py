@@ -166,11 +166,11 @@ def knn(rows: DataFrame, k: int, every: int = 20) -> DataFrame:
     import pandas as pd
 
     n = max(1, math.ceil(rows.count() / 4096))
-    queries = rows.filter(F.col("id") % every == 0)
-    tagged = rows.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"), F.lit(0).alias("qblock"), F.lit(False).alias("q"))
     nq = max(1, math.ceil(n / every))
-    placed = queries.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(nq)).alias("qblock"), F.lit(True).alias("q"))
-    base = tagged.drop("qblock").withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).select("id", "x", "block", "qblock", "q")
+    block, qblock = F.pmod(F.xxhash64("id"), F.lit(n)), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(nq))
+    every_block, every_qblock = F.explode(F.sequence(F.lit(0), F.lit(n - 1))), F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))
+    base = rows.select("id", "x", block.cast("int").alias("block"), every_qblock.alias("qblock"), F.lit(False).alias("q"))
+    placed = rows.filter(F.col("id") % every == 0).select("id", "x", every_block.alias("block"), qblock.cast("int").alias("qblock"), F.lit(True).alias("q"))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         q, r = part[part["q"]], part[~part["q"]]
@@ -188,6 +188,6 @@ def knn(rows: DataFrame, k: int, every: int = 20) -> DataFrame:
 
     from pyspark.sql import Window
 
-    each = base.unionByName(placed.select("id", "x", "block", "qblock", "q")).groupBy("block", "qblock").applyInPandas(run, "id bigint, other bigint, cosine double")
+    each = base.unionByName(placed).groupBy("block", "qblock").applyInPandas(run, "id bigint, other bigint, cosine double")
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("id", "rank", "other", "cosine")
