@@ -14,6 +14,7 @@ from relispan.plans.shared import shared_table
 
 BUCKET_ROWS = 1000
 BUCKETS_MOST = 10_000  # bounds of buckets are part of the plan
+BROADCAST_ROWS = 200_000  # two digests each: some 25 MB
 
 
 def _icu(cls: str, method: str, text: Column) -> Column:
@@ -68,12 +69,19 @@ def edited(text: Column, following: Column) -> Column:
 def groups(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """(fingerprint, exact, group_id, n_copies): one row for each canonical form.
 
-    ``exact`` is the form's SHA-256, which tells forms apart that share a fingerprint; ``group_id`` the smallest id.
-    Copies are counted in the tasks that read them before anything is shuffled.
+    ``exact`` is the form's SHA-256; ``group_id`` the smallest id. Buckets of equal digests are counted first; the forms
+    of those with several rows, and no others, are then grouped by their bytes. Copies are counted in the tasks that
+    read them before anything is shuffled. The buckets are broadcast if there are ``BROADCAST_ROWS`` of them at most.
     """
-    forms = docs.select(id_column, canonical(F.col("text")).alias("form")).select(id_column, "form", digest(F.col("form")).alias("fingerprint"))
-    made = forms.groupBy("fingerprint", "form").agg(F.min(id_column).alias("group_id"), F.count("*").alias("n_copies"))
-    return made.select("fingerprint", F.sha2("form", 256).alias("exact"), "group_id", "n_copies")
+    forms = docs.select(id_column, canonical(F.col("text")).alias("form")).select(
+        id_column, "form", digest(F.col("form")).alias("fingerprint"), F.sha2("form", 256).alias("exact")
+    )
+    made = [F.min(id_column).alias("group_id"), F.count("*").alias("n_copies")]
+    counted = shared_table(forms.groupBy("fingerprint", "exact").agg(*made), "buckets")
+    several = counted.filter("n_copies > 1").select("fingerprint", "exact")
+    side = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
+    inside = forms.join(side, ["fingerprint", "exact"], "left_semi").groupBy("fingerprint", "exact", "form").agg(*made)
+    return counted.filter("n_copies = 1").unionByName(inside.drop("form"))
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:

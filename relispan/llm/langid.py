@@ -63,7 +63,7 @@ def features(texts: list[bytes]) -> np.ndarray:
 
 def has_letter(text: bytes) -> bool:
     """Whether any code point is a letter."""
-    return bool(text.translate(_LETTERS).strip(b" ")) and (any(97 <= x <= 122 for x in set(text.lower()) if x < 128) or any(c.isalpha() for c in text.decode("utf-8", "replace")))
+    return any(97 <= x <= 122 for x in set(text.lower())) or any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
 def train_machine(x: np.ndarray, y: np.ndarray, cost: float = 20.0, rounds: int = 80) -> tuple[np.ndarray, float]:
