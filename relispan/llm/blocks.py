@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 
 BLOCK_BYTES = 1 << 20  # numpy's temporary arrays take some ten times this; one longer text is a block of its own
 
+BATCH_ROWS = 1000
+
 
 def text_bytes(column: str = "text") -> Column:
     """The text in UTF-8; null counts as the empty text."""
@@ -33,9 +35,17 @@ def map_texts(docs: DataFrame, fn: Callable, schema: str, columns: list[str], te
             for low, part in slices(texts):
                 yield pa.RecordBatch.from_arrays([c.slice(low, len(part)) for c in beside] + fn(part), names=names)
 
+    small_batches(docs)
     return docs.select(*[F.col(c) for c in columns], text_bytes(text)).mapInArrow(run, whole)
 
 
+def small_batches(docs: DataFrame) -> None:
+    """Keep Arrow's batches small from now on: rows that hold whole texts are long."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def set_aside(docs: DataFrame, *kept: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``docs`` with all but the kept columns under names that no operator uses, and what gives them their own again."""
     names = {c: c if c in kept else f"__own{i}" for i, c in enumerate(docs.columns)}

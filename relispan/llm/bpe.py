@@ -25,7 +25,7 @@ from relispan.llm.blocks import gear_cuts, map_texts, slices, text_bytes
 
 TABLE_CHUNKS = 8192  # shared chunks in the table, each of CHUNK_MOST bytes at most: 64 MB
 CHUNK_ONE_IN, CHUNK_LEAST, CHUNK_MOST = 1024, 256, 8192
-KEPT_PIECES = 600_000  # about 120 MB in a Python worker
+KEPT_PIECES = 400_000  # about 80 MB in a Python worker
 BATCH = 256
 SPACES = b" \t\n\r\x0b\x0c"
 
@@ -251,7 +251,7 @@ def shared_chunks(docs: DataFrame, path: str, table_chunks: int = TABLE_CHUNKS)
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(ids, pa.binary())], names=["chunk", "ids"])
 
     once = docs.select(text_bytes()).mapInArrow(gather, "chunk binary").distinct()
-    return {bytes(r["chunk"]): bytes(r["ids"]) for r in once.mapInArrow(encode, "chunk binary, ids binary").toLocalIterator()}
+    return {bytes(r["chunk"]): bytes(r["ids"]) for r in once.mapInArrow(encode, "chunk binary, ids binary").collect()}
 
 
 def encode_documents(docs: DataFrame, columns: list[str], path: str | None = None, with_ids: bool = False) -> DataFrame:

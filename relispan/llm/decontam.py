@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from relispan.llm.blocks import WORDS_ONLY, map_texts, mix, set_aside, text_bytes, words
+from relispan.llm.blocks import WORDS_ONLY, map_texts, mix, set_aside, slices, small_batches, text_bytes, words
 
 WINDOW, K = 10, 5
 BLOCK_WORDS = 2_000_000
@@ -123,62 +123,70 @@ def contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str], ite
     with occurring windows, sorted as strings. Null texts have no words. Repeated items count once; items with a null
     id hit words but aren't listed. Without items nothing is hit. Repeated documents give a row each.
     """
-    spark = docs.sparkSession
     frame = docs.select(*columns, F.col("text").alias("__doc"))
-    held = [spark.sparkContext.broadcast(block) for block in item_blocks(benchmark, block_words, item_id)]
-    n = len(held)
-    for k, block in enumerate(held):  # each pass looks for one block's windows; all but the last hand the text on
-        kept = [c for c in frame.columns if c != "__doc" or k + 1 < n]
-        frame = map_texts(frame, _finder(block), f"__w{k} bigint, __r{k} array<bigint>, __i{k} array<string>", kept, "__doc")
-    made = StructType.fromDDL(
-        "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, runs array<bigint>"
-    )
-    beside = StructType([docs.schema[c] for c in columns])
-    whole = StructType(beside.fields + made.fields)
+    held = [docs.sparkSession.sparkContext.broadcast(block) for block in item_blocks(benchmark, block_words, item_id)]
+    for k, block in enumerate(held[:-1]):  # each pass looks for one block's windows and hands the text on
+        frame = map_texts(frame, _finder(block), f"__r{k} array<bigint>, __i{k} array<string>", frame.columns, "__doc")
+    return _last_pass(frame, held[-1], columns, len(held) - 1)
+
+
+MADE = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, runs array<bigint>"
+
+
+def _search(block: Block, texts: list[bytes]) -> tuple[list[int], list[list[int]], list[list[str]]]:
+    """Words, runs of hit words and items of each text."""
+    buffer, starts, ends, h, first = words(texts)
+    runs, items = [[] for _ in texts], [set() for _ in texts]
+    for p, size, named in sorted(block.places(buffer, starts, ends, h, first), key=lambda x: x[0]):
+        doc = int(np.searchsorted(first, p, "right")) - 1
+        _extend(runs[doc], p - int(first[doc]), p - int(first[doc]) + size)
+        items[doc].update(named)
+    return np.diff(first)[: len(texts)].tolist(), runs, [sorted(x) for x in items]
 
-    def merge(batches):
-        for batch in batches:
-            rows = []
-            at = len(columns)
-            lists = [batch.column(at + i).to_pylist() for i in range(3 * n)]
-            for i in range(batch.num_rows):
-                spans = sorted((r[j], r[j + 1]) for r in (lists[3 * k + 1][i] for k in range(n)) for j in range(0, len(r), 2))
-                runs: list[int] = []
-                for a, b in spans:
-                    if runs and a <= runs[-1]:
-                        runs[-1] = max(runs[-1], b)
-                    else:
-                        runs += [a, b]
-                items = sorted({x for k in range(n) for x in lists[3 * k + 2][i]})
-                hit = sum(runs[1::2]) - sum(runs[::2])
-                rows.append((lists[0][i], hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0, items, runs))
-            arrays = [pa.array(list(c), to_arrow_type(f.dataType)) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, made, strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:at] + arrays, names=whole.names)
-
-    return frame.select(*columns, *[f"__{c}{k}" for k in range(n) for c in "wri"]).mapInArrow(merge, whole)
+
+def _extend(runs: list[int], a: int, b: int) -> None:
+    """Add a span to runs of which none begins behind it."""
+    if runs and a <= runs[-1]:
+        runs[-1] = max(runs[-1], b)
+    else:
+        runs += [a, b]
 
 
 def _finder(held):
     def run(texts: list[bytes]) -> list[pa.Array]:
-        buffer, starts, ends, h, first = words(texts)
-        runs, items = [[] for _ in texts], [set() for _ in texts]
-        for p, size, named in sorted(held.value.places(buffer, starts, ends, h, first), key=lambda x: x[0]):
-            doc = int(np.searchsorted(first, p, "right")) - 1
-            a, r = p - int(first[doc]), runs[doc]
-            if r and a <= r[-1]:
-                r[-1] = max(r[-1], a + size)
-            else:
-                r += [a, a + size]
-            items[doc].update(named)
-        return [
-            pa.array(np.diff(first)[: len(texts)]),
-            pa.array(runs, pa.list_(pa.int64())),
-            pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-        ]
+        _, runs, items = _search(held.value, texts)
+        return [pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
 
     return run
 
 
+def _last_pass(frame: DataFrame, held, columns: list[str], earlier: int) -> DataFrame:
+    """Look for the last block's windows and put together what all passes have found."""
+    found = [f"__{c}{k}" for k in range(earlier) for c in "ri"]
+    whole = StructType([*(frame.schema[c] for c in columns), *StructType.fromDDL(MADE).fields])
+    kinds = [to_arrow_type(f.dataType) for f in StructType.fromDDL(MADE)]
+
+    def run(batches):
+        for batch in batches:
+            for low, texts in slices(batch.column(batch.num_columns - 1)):
+                part = batch.slice(low, len(texts))
+                before = [part.column(len(columns) + k).to_pylist() for k in range(2 * earlier)]
+                rows = []
+                for i, (n, runs, items) in enumerate(zip(*_search(held.value, texts), strict=True)):
+                    spans = [r[j : j + 2] for r in (runs, *(x[i] for x in before[::2])) for j in range(0, len(r), 2)]
+                    merged: list[int] = []
+                    for a, b in sorted(spans):
+                        _extend(merged, a, b)
+                    names = sorted({*items, *(x for found in before[1::2] for x in found[i])})
+                    hit = sum(merged[1::2]) - sum(merged[::2])
+                    rows.append((n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0, names, merged))
+                made = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(part.columns[: len(columns)] + made, names=whole.names)
+
+    small_batches(frame)
+    return frame.select(*columns, *found, text_bytes("__doc")).mapInArrow(run, whole)
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, without those that hold a window of a benchmark item."""
     frame, restore = set_aside(docs, "text")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relispan.llm.blocks import slices, text_bytes
+from relispan.llm.blocks import slices, small_batches, text_bytes
 from relispan.llm.bpe import encoder, tokenizer_path
 from relispan.plans.shared import shared_dir, shared_table
 
@@ -128,6 +128,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     """
     path = path or tokenizer_path()
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(docs)
     dealt = docs.select(id_column, text_bytes()).repartitionByRange(n, id_column).sortWithinPartitions(id_column, "__text")
     end = np.array([end_id], "<u4").tobytes()
 
