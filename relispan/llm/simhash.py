@@ -163,7 +163,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """
     groups = near_duplicates(docs, id_column)
     kept = groups.filter(F.col(id_column) == F.col("component_id")).groupBy(id_column).agg(F.count("*").alias("__n"))
-    kept = shared_table(kept, "kept")
+    kept = shared_table(kept, "kept").hint("merge")  # as many ids as documents stay: never broadcast
     once = docs.join(kept.filter("__n = 1").select(id_column), id_column, "left_semi")
     again = docs.join(kept.filter("__n > 1").select(id_column), id_column, "left_semi").dropDuplicates([id_column])
     return once.unionByName(again).unionByName(docs.filter(F.col(id_column).isNull()))
