@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from relispan.llm.blocks import map_texts
 from relispan.llm.components import components
+from relispan.llm.nearcopies import near_copies
 from relispan.plans.shared import shared_table
 
 DISTANCE = 4
@@ -157,11 +158,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Documents without near-duplicates of others: of each component the row with the smallest id stays.
+    """Documents without near copies of others (nearcopies: five-word shingles, similarity 0.8): of each component the
+    row with the smallest id stays.
 
     All columns stay as they are. Rows with a null id can't be told apart and stay. Of repeated rows one stays.
     """
-    groups = near_duplicates(docs, id_column)
+    groups = near_copies(docs, id_column)
     kept = groups.filter(F.col(id_column) == F.col("component_id")).groupBy(id_column).agg(F.count("*").alias("__n"))
     kept = shared_table(kept, "kept").hint("merge")  # as many ids as documents stay: never broadcast
     once = docs.join(kept.filter("__n = 1").select(id_column), id_column, "left_semi")
