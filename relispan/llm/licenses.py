@@ -75,19 +75,28 @@ class Scanner:
                 while p >= 0:  # code points may take four bytes, and the window must hold a word's end on each side
                     windows.append([p - at - 4 * errors - 2, p + len(phrase) - at + 4 * errors + 2])
                     p = line.find(seed, p + 1)
-            taken = -1
             for low, high in _merged(windows):
                 low, high = _code_point(line, max(0, low)), _code_point(line, min(len(line), high))
                 part = line[low:high].decode("utf-8", "replace")
-                for m in pattern.finditer(part):
+                for m in _matches(pattern, part):
                     a = low + len(part[: m.start()].encode())
                     b = low + len(part[: m.end()].encode())
-                    if a >= taken:
-                        more.append((line.count(b" ", 0, a) - 1, line.count(b" ", 0, b), label, sum(m.fuzzy_counts), len(phrase)))
-                        taken = b
+                    more.append((line.count(b" ", 0, a) - 1, line.count(b" ", 0, b), label, sum(m.fuzzy_counts), len(phrase)))
         return len(found), base, more
 
 
+def _matches(pattern, part: str) -> list:
+    """The best match of the text, and those of what is left before and behind it, again and again."""
+    found, rest = [], [(0, len(part))]
+    while rest:
+        low, high = rest.pop()
+        m = pattern.search(part, low, high)
+        if m:
+            found.append(m)
+            rest += [(low, m.start()), (m.end(), high)]
+    return found
+
+
 def _merged(windows: list[list[int]]) -> list[list[int]]:
     """Windows that overlap as one."""
     out: list[list[int]] = []
