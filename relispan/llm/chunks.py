@@ -70,6 +70,19 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", span_bytes: int =
     Frequent chunks are counted before the shuffle; in the join both sides are tables, so that Spark splits what one
     chunk's rows make too large.
     """
+    return _spans(docs, id_column, span_bytes, False)
+
+
+def copied_spans(docs: DataFrame, id_column: str = "doc_id", span_bytes: int = SPAN_BYTES) -> DataFrame:
+    """``repeated_spans`` with each run parted where chunks that a smaller id holds meet chunks that none does.
+
+    ``repeated`` holds for all of a span's chunks or for none, so that what the spans with it cover stands in a document
+    of a smaller id. The bound on length is that of the whole run: parts of a run may be shorter.
+    """
+    return _spans(docs, id_column, span_bytes, True)
+
+
+def _spans(docs: DataFrame, id_column: str, span_bytes: int, parted: bool) -> DataFrame:
     chunks = shared_table(chunk_table(docs.filter(F.col(id_column).isNotNull()), id_column), "chunks")
     counted = chunks.groupBy("digest", "check").agg(F.count("*").alias("n"), F.min(id_column).alias("first"), F.max(id_column).alias("last"))
     again = shared_table(counted.filter("first < last").select("digest", "check", "n", "first"), "again")
@@ -77,14 +90,18 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", span_bytes: int =
     order = Window.partitionBy(id_column, "row").orderBy("start")
     runs = found.withColumn("new", (F.col("start") > F.coalesce(F.lag("end").over(order), F.lit(-1))).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(order))
-    spans = runs.groupBy(id_column, "row", "run").agg(
+    runs = runs.withColumn("copied", (F.col("first") < F.col(id_column)) if parted else F.lit(True))
+    turned = F.coalesce(F.col("copied") != F.lag("copied").over(order), F.lit(False)).cast("int")
+    runs = runs.withColumn("turn", turned).withColumn("part", F.sum("turn").over(order))
+    spans = runs.groupBy(id_column, "row", "run", "part").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.count("*").alias("n_chunks"),
         F.max("n").alias("n_copies"),
         F.min("first").alias("first_id"),
     )
-    whole = spans.filter((F.col("end") - F.col("start") >= span_bytes))
+    run = Window.partitionBy(id_column, "row", "run")
+    whole = spans.withColumn("size", F.max("end").over(run) - F.min("start").over(run)).filter(F.col("size") >= span_bytes)
     return whole.select(id_column, "row", "start", "end", "n_chunks", "n_copies", "first_id", (F.col("first_id") < F.col(id_column)).alias("repeated"))
 
 
@@ -93,7 +110,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", span_bytes: int =
 
     All rows and columns stay. Texts without such spans, and those with a null id, stay as they are.
     """
-    spans = repeated_spans(docs, id_column, span_bytes).filter("repeated")
+    spans = copied_spans(docs, id_column, span_bytes).filter("repeated")
     cuts = spans.groupBy(F.col(id_column).alias("__id"), F.col("row").alias("__row")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
 
     def rows(texts: list[bytes]) -> list[pa.Array]:
@@ -117,4 +134,4 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", span_bytes: int =
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
+    return copied_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
