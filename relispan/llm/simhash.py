@@ -15,14 +15,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relispan.llm.blocks import map_texts
+from relispan.llm.blocks import map_texts, set_aside
 from relispan.llm.components import components
-from relispan.llm.nearcopies import near_copies
+from relispan.llm.nearcopies import kept_rows, nodes_of
 from relispan.plans.shared import shared_table
 
 DISTANCE = 4
 SHINGLE = 4
 DENSE = 1024  # larger runs of one value are split by the other half's quarters before all are compared
+HOT = 1 << 16  # rows of one value that a task holds; those of larger runs are dealt anew to all tasks
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
@@ -89,8 +90,11 @@ def _dense(members: np.ndarray, half: int, limit: int) -> list[tuple[int, int]]:
     return found
 
 
-def run_links(keys: np.ndarray, bits: np.ndarray, limit: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of equal keys (sorted, the half's number in bit 32) that are within ``limit`` bits."""
+def run_links(keys: np.ndarray, bits: np.ndarray, limit: int = DISTANCE, split: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of equal keys (sorted, the half's number in bit 32) that are within ``limit`` bits.
+
+    ``split``: large runs are split by the other half's quarters; without it keys may be of any kind.
+    """
     starts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1 if len(keys) else 0))
     sizes = np.diff(starts, append=len(keys))
     pairs = starts[sizes == 2]
@@ -98,7 +102,7 @@ def run_links(keys: np.ndarray, bits: np.ndarray, limit: int = DISTANCE) -> tupl
     a, b = [bits[pairs][near]], [bits[pairs + 1][near]]
     for low, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
         members = np.unique(bits[low : low + size])
-        links = _dense(members, int(keys[low]) >> 32 & 1, limit) if size > DENSE else _spanning(members, limit)
+        links = _dense(members, int(keys[low]) >> 32 & 1, limit) if split and size > DENSE else _spanning(members, limit)
         if links:
             x, y = zip(*links, strict=True)
             a.append(np.array(x, np.uint64))
@@ -107,34 +111,76 @@ def run_links(keys: np.ndarray, bits: np.ndarray, limit: int = DISTANCE) -> tupl
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links that span all pairs of distinct ``bits`` within four bits of each other."""
+    """(a, b): links that span all pairs of distinct ``bits`` within four bits of each other.
+
+    Rows of one value meet in one task, which holds ``HOT`` of them at most: rows of a value that more share go out again
+    as they come, and meet a second time under that value with the values of the other half's quarters' balls.
+    """
     entries = []
     for half in (0, 1):
         value = F.shiftrightunsigned("bits", 32) if half else F.col("bits").bitwiseAND(F.lit(0xFFFFFFFF))
         entries += [value + F.lit(half << 32), *[value.bitwiseXOR(F.lit(1 << k)) + F.lit(half << 32) for k in range(32)]]
     table = distinct.select(F.explode(F.array(*entries)).alias("key"), "bits")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = table.repartition(n, "key").sortWithinPartitions("key")
+    small = table.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(HOT), "a long, b long, key long")
+    small = shared_table(small, "met")
+    hot = small.filter("key IS NOT NULL").select("key", F.col("a").alias("bits"))
+    if not hot.limit(1).count():
+        return small.select("a", "b").distinct()
+    rest = F.expr("CASE WHEN shiftright(key, 32) = 1 THEN bits & 4294967295 ELSE shiftrightunsigned(bits, 32) END")
+    quarters = []
+    for quarter in (0, 1):
+        value = F.shiftright(rest, 16) if quarter else rest.bitwiseAND(F.lit(0xFFFF))
+        quarters += [(b + F.lit(quarter << 16)) for b in [value, *[value.bitwiseXOR(F.lit(1 << k)) for k in range(16)]]]
+    again = hot.select((F.col("key") * F.lit(1 << 17)).alias("key"), "bits", F.explode(F.array(*quarters)).alias("sub"))
+    again = again.select((F.col("key") + F.col("sub")).alias("key"), "bits")
+    met = again.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(None), "a long, b long, key long")
+    return small.filter("key IS NULL").unionByName(met).select("a", "b").distinct()
+
+
+def _meet(hot: int | None):
+    """Rows (key, bits), sorted by key, to links (a, b, null); keys of over ``hot`` rows to (bits, null, key)."""
 
     def run(batches):
-        held = None
+        held, growing = [np.zeros(0, np.int64)] * 2, None  # growing: the hot key whose rows come at the moment
         for batch in batches:
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if growing is not None:
+                end = int(np.searchsorted(now[0], growing, "right"))
+                if end:
+                    yield _rows(now[1][:end], None, now[0][:end])
+                if end == len(now[0]):
+                    continue
+                now, growing = [x[end:] for x in now], None
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last key may go on
             held = [x[cut:] for x in now]
             if cut:
-                yield _record(now[0][:cut], now[1][:cut])
-        if held is not None and len(held[0]):
-            yield _record(*held)
-
-    def _record(keys, bits):
-        a, b = run_links(keys, bits.view(np.uint64))
-        both = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in np.ascontiguousarray(both)], names=["a", "b"])
-
-    return met.mapInArrow(run, "a long, b long").distinct()
+                yield from _whole(now[0][:cut], now[1][:cut])
+            if hot is not None and len(held[0]) > hot:
+                growing = held[0][-1]
+                yield _rows(held[1], None, held[0])
+                held = [x[:0] for x in held]
+        if len(held[0]):
+            yield from _whole(*held)
+
+    def _whole(keys, bits):
+        if hot is not None:
+            starts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+            many = np.repeat(np.diff(starts, append=len(keys)) > hot, np.diff(starts, append=len(keys)))
+            if many.any():
+                yield _rows(bits[many], None, keys[many])
+            keys, bits = keys[~many], bits[~many]
+        a, b = run_links(keys, bits.view(np.uint64), split=hot is not None)
+        if len(a):
+            yield _rows(*np.ascontiguousarray(np.unique(np.stack([a, b]), axis=1)).view(np.int64), None)
+
+    def _rows(*columns):
+        n = len(columns[0])
+        made = [pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns]
+        return pa.RecordBatch.from_arrays(made, names=["a", "b", "key"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -158,17 +204,25 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Documents without near copies of others (nearcopies: five-word shingles, similarity 0.8): of each component the
-    row with the smallest id stays.
+    """Documents without near copies of others (nearcopies: five-word shingles, similarity 0.8): of each component one
+    row stays, the one with the smallest id, nulls last.
 
-    All columns stay as they are. Rows with a null id can't be told apart and stay. Of repeated rows one stays.
+    All columns stay as they are. Rows of one id are told apart by their shingles: each is judged by its own component.
+    Of rows of one id and the same shingles the one that Spark meets first stays.
     """
-    groups = near_copies(docs, id_column)
-    kept = groups.filter(F.col(id_column) == F.col("component_id")).groupBy(id_column).agg(F.count("*").alias("__n"))
-    kept = shared_table(kept, "kept").hint("merge")  # as many ids as documents stay: never broadcast
-    once = docs.join(kept.filter("__n = 1").select(id_column), id_column, "left_semi")
-    again = docs.join(kept.filter("__n > 1").select(id_column), id_column, "left_semi").dropDuplicates([id_column])
-    return once.unionByName(again).unionByName(docs.filter(F.col(id_column).isNull()))
+    kept = kept_rows(docs, id_column)
+    frame, restore = set_aside(docs, id_column, "text")
+    once = kept.filter("__rows = 1").hint("merge")
+    out = frame.join(once, frame[id_column].eqNullSafe(once["__id"]), "left_semi")
+    several = kept.filter("__rows > 1")
+    if several.limit(1).count():
+        ids = several.select("__id").distinct().hint("merge")
+        again = frame.join(ids, frame[id_column].eqNullSafe(ids["__id"]), "left_semi")
+        again = map_texts(again, lambda texts: [nodes_of(texts)], "__node bigint", again.columns)
+        met = again[id_column].eqNullSafe(several["__id"]) & (again["__node"] == several["__set"])
+        again = again.join(several.hint("merge"), met, "left_semi").dropDuplicates([id_column, "__node"])
+        out = out.unionByName(again.drop("__node"))
+    return restore(out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
