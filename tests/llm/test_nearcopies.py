@@ -35,11 +35,13 @@ def near_rows(n=25, size=200):
     return rows
 
 
-@pytest.mark.parametrize("many, frequent", [(32, 100_000), (2, 0), (3, 100_000)])
-def test_near_copies_against_all_pairs(spark, monkeypatch, many, frequent):
+@pytest.mark.parametrize("many, frequent, hot, block", [(32, 100_000, 64, 256), (2, 0, 64, 256), (3, 100_000, 64, 2), (32, 100_000, 3, 1)])
+def test_near_copies_against_all_pairs(spark, monkeypatch, many, frequent, hot, block):
     monkeypatch.setattr(nearcopies, "MANY", many)
+    monkeypatch.setattr(nearcopies, "SAMPLE_HOT", hot)
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
     if not frequent:
-        monkeypatch.setattr(nearcopies, "_frequent", lambda *_: nearcopies.np.zeros(0, nearcopies.np.uint64))
+        monkeypatch.setattr(nearcopies, "_frequent", lambda *_: (nearcopies.np.zeros(0, nearcopies.np.uint64), 0))
     rows = near_rows() + [(1000 + i, t) for i, t in some_rows()]
     rows += [(2000 + k, r[1]) for k, r in enumerate(edge_rows()) if len(r[1] or "") < 20000]
     got = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
@@ -52,3 +54,26 @@ def test_the_stage_takes_out_copies_of_similarity_0_8(spark):
     rows = near_rows(10)
     made = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF)
     assert {r["doc_id"] for r in made.collect()} == slow_kept(rows)
+
+
+def test_sets_that_share_frequent_shingles_only(spark, monkeypatch):
+    """Each text is most of a few passages that all share: every shingle is hot, and hardly any two texts are near."""
+    monkeypatch.setattr(nearcopies, "MANY", 2)
+    monkeypatch.setattr(nearcopies, "BLOCK", 3)
+    draw = random.Random(8)
+    passages = [" ".join("".join(draw.choices("abcdefghij", k=5)) for _ in range(30)) for _ in range(6)]
+    rows = [(i, "\n".join(draw.sample(passages, draw.randint(2, 5)))) for i in range(60)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r["doc_id"] for r in got.collect()} == slow_kept(rows)
+
+
+def test_rows_of_one_id_are_judged_apart(spark):
+    draw = random.Random(9)
+    text = lambda: " ".join("".join(draw.choices("abcdefghij", k=5)) for _ in range(80))
+    a, b, c = text(), text(), text()
+    rows = [(1, a, "x"), (2, b, "x"), (2, c, "x"), (3, c + " more", "x"), (4, b, "y"), (4, a + " more", "y"), (None, c, "z"), (None, "null id alone", "z"), (None, "null id alone", "z")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, __id string"))
+    assert got.columns == ["doc_id", "text", "__id"]
+    want = [rows[0], rows[1], rows[2], rows[7]]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert not simhash.keep_one(spark.createDataFrame([], "doc_id bigint, text string")).collect()

@@ -9,7 +9,7 @@ import xxhash
 from edge import edge_docs, edge_rows, empty_docs, some_docs, some_rows
 from pyspark.sql import functions as F
 
-from relispan.llm import decontam, fingerprint, secrets, simhash
+from relispan.llm import components, decontam, fingerprint, secrets, simhash
 
 KINDS = ["assign", "access", "hex"]
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("password|passwd|secret|token|api_?key", "(?ai:password|passwd|secret|token|api_?key)"))
@@ -147,6 +147,46 @@ def test_links_reach_all_pairs_within_the_distance(spark, dense, monkeypatch):
     assert len(set(label)) == len(set(want)) and len(set(zip(label, want, strict=True))) == len(set(want))
 
 
+@pytest.mark.parametrize("hot", [3, 40])
+def test_values_that_many_fingerprints_share(spark, monkeypatch, hot):
+    """Rows of hot values go out and meet again, with the same components."""
+    draw = random.Random(6)
+    bits = {draw.getrandbits(64) for _ in range(20)}
+    for s in list(bits):
+        for _ in range(25):
+            t = s
+            for _ in range(draw.randint(1, 5)):
+                t ^= 1 << draw.randrange(64)
+            bits.add(t)
+    bits |= {(5 << 32) | draw.getrandbits(32) for _ in range(150)}
+    bits = sorted(bits)
+    monkeypatch.setattr(simhash, "HOT", hot)
+    frame = spark.createDataFrame([(b - (1 << 64) if b >> 63 else b,) for b in bits], "bits bigint")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    found = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.links(frame).collect()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    label = {b: b for b in bits}
+    for a, b in found:
+        old, new = label[a], label[b]
+        label = {k: new if v == old else v for k, v in label.items()}
+    want = slow_components(list(range(len(bits))), bits)
+    assert len(set(label.values())) == len(set(want)) == len(set(zip((label[b] for b in bits), want, strict=True)))
+
+
+@pytest.mark.parametrize("block", [7, 1 << 20])
+def test_components(spark, monkeypatch, block):
+    monkeypatch.setattr(components, "BLOCK_LINKS", block)
+    draw = random.Random(3)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(draw.randrange(200, 300), draw.randrange(200, 300)) for _ in range(60)]
+    got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert got == label
+    assert not components.components(spark.createDataFrame([], "a bigint, b bigint")).collect()
+
+
 def test_keep_one(spark):
     rows = [(1, "a b c d e f g", "x"), (2, "a b c d e f g", "y"), (2, "a b c d e f g", "z"), (None, "q r s", None), (5, "other text altogether", "w")]
     got = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, extra string")).collect()
