@@ -7,6 +7,8 @@ matching decides and reports the span. Base phrases are places of consecutive wo
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,31 +64,39 @@ class Scanner:
         """Number of words, places of base phrases (word, label), and notices (first word, word behind, label, edits)."""
         found = text.translate(WORDS_ONLY).split()
         line = b" " + b" ".join(found) + b" "
-        base, more = [], []
+        spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+        base = []
         for needle, label in self.base:
-            p = line.find(needle)
-            while p >= 0:
-                base.append((line.count(b" ", 0, p + 1) - 1, label))
-                p = line.find(needle, p + 1)
+            base += [(w, label) for w in np.searchsorted(spaces, _places(line, needle)).tolist()]
+        more = []
         for label, phrase, errors, pattern, seeds in self.notices:
-            windows: list[list[int]] = []
-            for seed, at in seeds:
-                p = line.find(seed)
-                while p >= 0:  # code points may take four bytes, and the window must hold a word's end on each side
-                    windows.append([p - at - 4 * errors - 2, p + len(phrase) - at + 4 * errors + 2])
-                    p = line.find(seed, p + 1)
-            for low, high in _merged(windows):
+            windows = []
+            for seed, at in seeds:  # code points may take four bytes, and the window must hold a word's end on each side
+                low = np.array(_places(line, seed), np.int64) - at - 4 * errors - 2
+                windows.append(np.stack([low, low + len(phrase) + 8 * errors + 4], 1))
+            matched: dict[tuple[int, int], int] = {}
+            for low, high in _gathered(np.concatenate(windows), 4 * (len(phrase) + 8 * errors + 4)):
                 low, high = _code_point(line, max(0, low)), _code_point(line, min(len(line), high))
                 part = line[low:high].decode("utf-8", "replace")
                 for m in _matches(pattern, part):
-                    a = low + len(part[: m.start()].encode())
-                    b = low + len(part[: m.end()].encode())
-                    more.append((line.count(b" ", 0, a) - 1, line.count(b" ", 0, b), label, sum(m.fuzzy_counts), len(phrase)))
+                    span = low + len(part[: m.start()].encode()), low + len(part[: m.end()].encode())
+                    matched[span] = min(sum(m.fuzzy_counts), matched.get(span, errors))
+            for (a, b), edits in _apart(matched):
+                more.append((int(np.searchsorted(spaces, a)) - 1, int(np.searchsorted(spaces, b)), label, edits, len(phrase)))
         return len(found), base, more
 
 
+def _places(line: bytes, needle: bytes) -> list[int]:
+    """All places of a needle, overlapping ones too."""
+    out, p = [], line.find(needle)
+    while p >= 0:
+        out.append(p)
+        p = line.find(needle, p + 1)
+    return out
+
+
 def _matches(pattern, part: str) -> list:
-    """The best match of the text, and those of what is left before and behind it, again and again."""
+    """The best match of a short text, and those of what is left before and behind it, again and again."""
     found, rest = [], [(0, len(part))]
     while rest:
         low, high = rest.pop()
@@ -97,17 +107,29 @@ def _matches(pattern, part: str) -> list:
     return found
 
 
-def _merged(windows: list[list[int]]) -> list[list[int]]:
-    """Windows that overlap as one."""
+def _gathered(windows: np.ndarray, most: int) -> list[list[int]]:
+    """Windows of ``most`` bytes at most that hold all the given ones whole, each in one that overlaps it."""
     out: list[list[int]] = []
-    for low, high in sorted(windows):
-        if out and low <= out[-1][1]:
+    for low, high in windows[np.argsort(windows[:, 0], kind="stable")].tolist():
+        if out and low <= out[-1][1] and high - out[-1][0] <= most:
             out[-1][1] = max(out[-1][1], high)
         else:
             out.append([low, high])
     return out
 
 
+def _apart(matched: dict[tuple[int, int], int]) -> list[tuple[tuple[int, int], int]]:
+    """Of matches that overlap the one with fewest edits, then the first; such arise where windows overlap."""
+    kept: list[tuple[tuple[int, int], int]] = []
+    taken: list[tuple[int, int]] = []
+    for span, edits in sorted(matched.items(), key=lambda x: (x[1], x[0])):
+        k = bisect.bisect(taken, span)
+        if (k == 0 or taken[k - 1][1] <= span[0]) and (k == len(taken) or span[1] <= taken[k][0]):
+            taken.insert(k, span)
+            kept.append((span, edits))
+    return kept
+
+
 def _code_point(line: bytes, at: int) -> int:
     """The place itself or the next one at which a code point begins."""
     while at < len(line) and line[at] & 0xC0 == 0x80:
@@ -115,18 +137,19 @@ def _code_point(line: bytes, at: int) -> int:
     return at
 
 
-def licenses(docs: DataFrame, columns: list[str]) -> DataFrame:
+def licenses(docs: DataFrame, columns: list[str], notices: list[tuple[str, str, int]] = NOTICES) -> DataFrame:
     """The named columns with n_words, n_base, first_word, last_word, base_labels, labels, score and notices.
 
     ``notices`` lists what the fuzzy search found as label:first word:word behind:edits. ``score`` is 1 where a base
     phrase stands, else the largest share of a notice that is free of edits, 0 without any. Null counts as the empty
-    text. Repeated rows give a row each; an empty table gives an empty result.
+    text. Repeated rows give a row each; an empty table gives an empty result. ``notices`` are (label, words in small
+    letters, most edits).
     """
     held: list[Scanner] = []
 
     def run(texts: list[bytes]) -> list[pa.Array]:
         if not held:
-            held.append(Scanner())
+            held.append(Scanner(notices))
         rows = []
         for text in texts:
             n, base, more = held[0].scan(text)
