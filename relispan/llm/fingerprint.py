@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from relispan.plans.shared import shared_table
 
 BUCKET_ROWS = 1000
-BUCKETS_MOST = 10_000  # bounds of buckets are part of the plan
-BROADCAST_ROWS = 200_000  # two digests each: some 25 MB
+RANGES = 512  # ranges of ids that are part of the plan, whatever their number; each is parted into as many buckets as it needs
+BROADCAST_ROWS = 200_000  # digests, or bounds of buckets: some 25 MB
 
 
 def _icu(cls: str, method: str, text: Column) -> Column:
@@ -35,29 +35,62 @@ def digest(form: Column) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in both]))
 
 
-def with_next(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """(id, text, next_text) in which the next document is that of the next larger id; after the last comes the first.
+def _ranges(keys: DataFrame, bucket_rows: int) -> tuple[list[int], list[int]]:
+    """The first key of each of ``RANGES`` ranges at most, and the buckets that each is parted into, by its rows."""
+    at = [i / RANGES for i in range(RANGES)]
+    n, least, found = keys.agg(F.count("*"), F.min("__k"), F.percentile_approx("__k", at, 10 * RANGES)).first()
+    if not n:
+        return [0], [1]
+    found = [least, *found]
+    often = {b for a, b in zip(found, found[1:], strict=False) if a == b}  # an id that fills a range has one of its own
+    lows = sorted({*found, *(b + 1 for b in often if b < (1 << 63) - 1)})
+    each = max(1, round(n / RANGES / bucket_rows))
+    return lows, [each * max(1, found.count(low)) for low in lows]
 
-    Null ids come before all others; rows of one id follow each other by text. Rows are dealt to buckets of neighbouring
-    ids. The first row of each bucket is also put at the end of the bucket before, so that no order over all rows in one
-    place is needed.
+
+def with_next(docs: DataFrame, id_column: str = "doc_id", bucket_rows: int | None = None) -> DataFrame:
+    """(id, text, next_text, fingerprint, next_fingerprint) in which the next document is that of the next larger id;
+    after the last comes the first.
+
+    Null ids come before all others; rows of one id follow each other by the hash of their texts, then by these. Rows
+    are dealt to buckets of neighbours: by ranges of ids that the search in a table of fixed size finds, and within a
+    range by the place of the id, or of the hash where one id fills the range. The first rows of each bucket are also
+    put at the end of the bucket before, so that no order over all rows in one place is needed.
     """
+    text = F.coalesce("text", F.lit(""))
     rows = docs.select(
-        F.col(id_column), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(id_column), F.lit(-(1 << 63))).alias("__k")
+        F.col(id_column).alias("__id"), text.alias("text"), F.coalesce(F.col(id_column), F.lit(-(1 << 63))).alias("__k"), F.xxhash64(text).alias("__h")
+    )
+    lows, parts = _ranges(rows.select("__k"), bucket_rows or BUCKET_ROWS)
+    highs = [*lows[1:], (1 << 63) - 1]
+    longs = lambda values: F.array(*[F.lit(v).cast("bigint") for v in values])
+    halves = [1 << i for i in reversed(range(max(1, len(lows) - 1).bit_length()))]
+    ahead = lambda at, step: F.coalesce(F.get(longs(lows), (at + step).cast("int")) <= F.col("__k"), F.lit(False))
+    found = F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), lambda at, step: F.when(ahead(at, step), at + step).otherwise(at))
+    rows = rows.withColumn("__r", found)
+    low, high, part = (F.get(longs(x), F.col("__r")) for x in (lows, highs, parts))
+    span = F.greatest(high.cast("double") - low.cast("double"), F.lit(1.0))
+    by_hash = (F.col("__h").cast("double") + 2.0**63) / 2.0**64
+    share = F.when(high - 1 > low, (F.col("__k").cast("double") - low.cast("double")) / span).otherwise(by_hash)
+    within = F.least(F.floor(share * part), part - 1)
+    rows = rows.withColumn("__b", F.struct(F.col("__r").cast("bigint").alias("r"), within.alias("w")))
+    firsts = rows.groupBy("__b").agg(F.min(F.struct("__k", "__h")).alias("__first"))  # a short row a bucket
+    order = Window.orderBy("__b")
+    firsts = firsts.select(
+        "__b", "__first", F.coalesce(F.lag("__b").over(order), F.max("__b").over(order.rowsBetween(0, Window.unboundedFollowing))).alias("__before")
     )
-    keys = rows.select("__k")
-    n = keys.count()
-    buckets = max(1, min(BUCKETS_MOST, n // BUCKET_ROWS))
-    at = [i / buckets for i in range(buckets)]
-    least, found = keys.agg(F.min("__k"), F.percentile_approx("__k", at, 10 * BUCKETS_MOST)).first()
-    bounds = sorted({least if least is not None else 0, *(found or [])})
-    array = F.array(*[F.lit(b).cast("bigint") for b in bounds])
-    bucket = F.size(F.filter(array, lambda b: b <= F.col("__k"))) - 1
-    own = F.struct(bucket.alias("bucket"), F.lit(False).alias("copy"))
-    before = F.struct(((bucket + len(bounds) - 1) % len(bounds)).alias("bucket"), F.lit(True).alias("copy"))
-    dealt = rows.withColumn("__at", F.explode(F.when(F.array_contains(array, F.col("__k")), F.array(own, before)).otherwise(F.array(own))))
-    order = Window.partitionBy("__at.bucket").orderBy("__at.copy", "__k", "text")
-    return dealt.withColumn("next_text", F.lead("text").over(order)).filter("NOT __at.copy").select(id_column, "text", "next_text")
+    firsts = shared_table(firsts, "buckets")
+    side = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
+    # the call of ICU is worked out wherever it is named, so that it stands in a column of its own
+    rows = rows.withColumn("__form", canonical(F.col("text"))).withColumn("fingerprint", digest(F.col("__form"))).drop("__form")
+    joined = rows.join(side, "__b")
+    is_first = F.struct("__k", "__h") == F.col("__first")
+    own = F.struct(F.col("__b").alias("b"), F.lit(False).alias("copy"))
+    before = F.struct(F.col("__before").alias("b"), F.lit(True).alias("copy"))
+    dealt = joined.withColumn("__at", F.explode(F.when(is_first, F.array(own, before)).otherwise(F.array(own))))
+    order = Window.partitionBy("__at.b").orderBy("__at.copy", "__k", "__h", "text")
+    dealt = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fingerprint", F.lead("fingerprint").over(order))
+    return dealt.filter("NOT __at.copy").select(F.col("__id").alias(id_column), "text", "next_text", "fingerprint", "next_fingerprint")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -67,54 +100,57 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def groups(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """(fingerprint, exact, group_id, n_copies): one row for each canonical form.
+    """(fingerprint, form, group_id, n_copies): one row for each canonical form; ``group_id`` is the smallest id.
 
-    ``exact`` is the form's SHA-256; ``group_id`` the smallest id. Buckets of equal digests are counted first; the forms
-    of those with several rows, and no others, are then grouped by their bytes. Copies are counted in the tasks that
-    read them before anything is shuffled. The buckets are broadcast if there are ``BROADCAST_ROWS`` of them at most.
+    Rows of equal digests are counted first, in the tasks that read them; the forms of digests with several rows, and of
+    no others, are then grouped by their bytes. ``form`` is null where one form alone has the digest. The repeated
+    digests are broadcast if there are ``BROADCAST_ROWS`` of them at most, else joined by a shuffle.
     """
-    forms = docs.select(id_column, canonical(F.col("text")).alias("form")).select(
-        id_column, "form", digest(F.col("form")).alias("fingerprint"), F.sha2("form", 256).alias("exact")
-    )
-    made = [F.min(id_column).alias("group_id"), F.count("*").alias("n_copies")]
-    counted = shared_table(forms.groupBy("fingerprint", "exact").agg(*made), "buckets")
-    several = counted.filter("n_copies > 1").select("fingerprint", "exact")
+    forms = docs.select(F.col(id_column).alias("__id"), canonical(F.col("text")).alias("form"))
+    forms = forms.select("__id", "form", digest(F.col("form")).alias("fingerprint"))
+    made = [F.min("__id").alias("group_id"), F.count("*").alias("n_copies")]
+    counted = shared_table(forms.groupBy("fingerprint").agg(*made), "digests")
+    several = counted.filter("n_copies > 1").select("fingerprint")
     side = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
-    inside = forms.join(side, ["fingerprint", "exact"], "left_semi").groupBy("fingerprint", "exact", "form").agg(*made)
-    return counted.filter("n_copies = 1").unionByName(inside.drop("form"))
+    inside = shared_table(forms.join(side, "fingerprint", "left_semi").groupBy("fingerprint", "form").agg(*made), "forms")
+    clashes = inside.groupBy("fingerprint").agg(F.count("*").alias("forms")).filter("forms > 1").select("fingerprint", F.lit(True).alias("clash"))
+    parted = inside.join(clashes, "fingerprint", "left").select("fingerprint", F.when(F.col("clash"), F.col("form")).alias("form"), "group_id", "n_copies")
+    alone = counted.filter("n_copies = 1").select("fingerprint", F.lit(None).cast("string").alias("form"), "group_id", "n_copies")
+    return alone.unionByName(parted)
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Per document: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, group_id,
     n_copies.
 
-    Likeness of an exact digest is 1 where the canonical forms are equal byte by byte and 0 elsewhere. Null texts are
-    empty texts. Rows with a null id are first in order; repeated rows are each other's next. A single document is its
-    own next. An empty table gives an empty result.
+    Likeness of an exact digest is 1 where the canonical forms are equal byte by byte and 0 elsewhere; bytes are compared
+    where digests are equal. Null texts are empty texts. Rows with a null id are first in order; repeated rows are each
+    other's next. A single document is its own next. An empty table gives an empty result.
     """
-    pairs = with_next(docs, id_column)
-    pairs = pairs.select(id_column, "text", "next_text", edited(F.col("text"), F.col("next_text")).alias("edited"))
-    forms = pairs.select(
-        id_column,
+    pairs = with_next(docs, id_column).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    pairs = pairs.withColumn("__form", canonical(F.col("edited"))).withColumn("edited_fingerprint", digest(F.col("__form")))
+    same_next = (canonical(F.col("text")) == canonical(F.col("next_text"))).cast("double")
+    each = pairs.select(
+        F.col(id_column).alias("__id"),
         F.length("text").cast("bigint").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        canonical(F.col("text")).alias("a"),
-        canonical(F.col("edited")).alias("b"),
-        canonical(F.col("next_text")).alias("c"),
-    )
-    each = forms.select(
-        id_column,
-        "n_chars",
-        "edited_sha256",
-        digest(F.col("a")).alias("fingerprint"),
-        digest(F.col("b")).alias("edited_fingerprint"),
-        (F.col("a") == F.col("b")).cast("double").alias("near_edited"),
-        (F.col("a") == F.col("c")).cast("double").alias("near_next"),
-        F.sha2("a", 256).alias("exact"),
+        "fingerprint",
+        "edited_fingerprint",
+        F.when(F.col("fingerprint") == F.col("edited_fingerprint"), (canonical(F.col("text")) == F.col("__form")).cast("double")).otherwise(0.0).alias("near_edited"),
+        F.when(F.col("fingerprint") == F.col("next_fingerprint"), same_next).otherwise(0.0).alias("near_next"),
+        "text",
     )
     known = shared_table(groups(docs, id_column), "groups")
-    return each.join(known, ["fingerprint", "exact"]).select(
-        id_column, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id", "n_copies"
+    if known.filter("form IS NOT NULL").limit(1).count():  # several forms of one digest: bytes decide
+        plain = known.filter("form IS NULL").drop("form")
+        clash = known.filter("form IS NOT NULL").withColumnRenamed("fingerprint", "__f")
+        formed = each.withColumn("__form", canonical(F.col("text")))
+        parted = formed.join(clash, (F.col("fingerprint") == F.col("__f")) & (F.col("__form") == F.col("form"))).drop("__f", "form", "__form")
+        joined = each.join(plain, "fingerprint").select(parted.columns).unionByName(parted)
+    else:
+        joined = each.drop("text").join(known.drop("form"), "fingerprint")
+    return joined.select(
+        F.col("__id").alias(id_column), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id", "n_copies"
     )
 
 
