@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 
 import numpy as np
@@ -48,6 +49,40 @@ def test_the_models_tell_random_strings_from_identifiers(spark):
     assert a < 0 < secrets.THRESHOLD < b
 
 
+def test_a_long_text_of_many_matches(spark, monkeypatch):
+    """60,000 matches in 1.6 MB take seconds: no step goes through all matches, or the text, for each of them."""
+    draw = random.Random(4)
+    text = "".join(f"{draw.getrandbits(60):017x}/{'' if i % 3 else 'password=abcdefghijklmn0'} Ünrelated-Abcdefghijklmnopqrstuvwxyz " for i in range(30_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    model = [1.0] * len(secrets.ALPHABET) ** 2
+    monkeypatch.setattr(secrets, "train", lambda *_: model)
+    began = time.time()
+    got = secrets.secrets(docs, ["doc_id"]).collect()[0]
+    cleaned = secrets.redact(docs).collect()[0]["text"]
+    assert time.time() - began < 90
+    base = base_spans(text)
+    assert [got["n_assign"], got["n_access"], got["n_hex"]] == [sum(k == i for _, k, _ in base) for i in range(3)]
+    covered = np.zeros(len(text) + 1, bool)
+    for a, _, b in base:
+        covered[a:b] = True
+    more = [(m.start(), 3, m.end()) for m in re.finditer("[A-Za-z0-9+/_-]{20,}", text) if not covered[m.start() : m.end()].any()]
+    spans = sorted(base + more)
+    assert got["spans"] == ",".join(f"{[*KINDS, 'markov'][k]}:{a}:{b}" for a, k, b in spans)
+    at, out = 0, []
+    for a, _, b in spans:
+        if a >= at:
+            out += [text[at:a], "<SECRET>"]
+        at = max(at, b)
+    assert cleaned == "".join(out) + text[at:]
+
+
+def test_columns_of_clashing_names(spark):
+    rows = [(1, "password=abcdef0123456789ab", 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __t int, __base int, __all int, __long int")
+    assert [tuple(r) for r in secrets.redact(docs).collect()] == [(1, "<SECRET>", 1, 2, 3, 4)]
+    assert secrets.secrets(docs, ["doc_id", "__t", "__all"]).collect()[0]["__all"] == 3
+
+
 def test_redaction(spark):
     rows = [(1, "see password=abcdef0123456789ab and more", 40), (2, "nothing", 7), (3, None, None)]
     got = secrets.redact(spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")).orderBy("doc_id").collect()
@@ -61,8 +96,10 @@ def canonical(text):
 
 def test_fingerprints(spark):
     for docs, rows in ((some_docs(spark), some_rows()), (edge_docs(spark), edge_rows()), (some_docs(spark, 1), some_rows(1))):
-        ordered = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
-        got = sorted(fingerprint.fingerprints(docs).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["n_chars"]))
+        spark_hash = {r[0]: r[1] for r in docs.select(F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
+        ordered = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, spark_hash[r[1]]))
+        place = {(d, len(t)): i for i, (d, t) in enumerate(ordered)}
+        got = sorted(fingerprint.fingerprints(docs).collect(), key=lambda r: place[r["doc_id"], r["n_chars"]])
         want = []
         for i, (doc, text) in enumerate(ordered):
             after = ordered[(i + 1) % len(ordered)][1]
@@ -86,6 +123,27 @@ def test_buckets_of_neighbours(spark, monkeypatch):
     assert {(r[0], r[1], r[2]) for r in got} == {(i, by[i], by[(i + 1) % 50]) for i in range(50)}
 
 
+@pytest.mark.parametrize("ids", ["one", "none", "far", "some"])
+def test_buckets_of_repeated_null_and_far_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(fingerprint, "RANGES", 8)
+    draw = random.Random(7)
+    made = {"one": lambda i: 5, "none": lambda i: None, "far": lambda i: draw.choice([-(1 << 63) + i, i, (1 << 63) - 1 - i]), "some": lambda i: draw.choice([None, 7, 7, i])}
+    rows = [(made[ids](i), f"text {i}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    hashed = {r[0]: r[1] for r in docs.select("text", F.xxhash64("text")).collect()}
+    ordered = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], hashed[r[1]]))
+    want = {(r[0], r[1], ordered[(i + 1) % 90][1]) for i, r in enumerate(ordered)}
+    assert {(r["doc_id"], r["text"], r["next_text"]) for r in fingerprint.with_next(docs).collect()} == want
+
+
+def test_equal_digests_of_other_bytes_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "digest", lambda form: F.lpad(F.length(form).cast("string"), 32, "0"))
+    docs = spark.createDataFrame([(1, "aa"), (2, "bb"), (3, "AA "), (4, "ccc"), (5, "aa")], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["group_id"], r["n_copies"], r["near_next"], r["near_edited"]) for r in fingerprint.fingerprints(docs).collect()}
+    assert got == {1: (1, 3, 0.0, 0.0), 2: (2, 1, 0.0, 0.0), 3: (1, 3, 0.0, 0.0), 4: (4, 1, 0.0, 0.0), 5: (1, 3, 1.0, 1.0)}
+
+
 def slow_simhash(text):
     lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
