@@ -1,30 +1,26 @@
 """Benchmark decontamination by winnowing.
 
 Of every window of consecutive k-gram hashes the smallest is kept, on either side. With k = 5 and six hashes to a
-window, two texts that share ten consecutive words share at least one kept hash there. Documents' kept hashes are
-joined with those of the benchmark, and each hit is extended to the ten-word windows around it, which are compared byte
-by byte. Items of fewer than ten words are windows as a whole and are looked up with every k-gram kept.
+window, two texts that share ten consecutive words share at least one kept hash there. Documents' kept hashes are joined
+with those of the benchmark; around each hit the document's windows of ten words are joined with the benchmark's by
+their bytes. Items of fewer than ten words are windows as a whole, and every k-gram of their length is kept.
 
-The benchmark goes to the executors in blocks of at most ``BLOCK_WORDS`` words; documents never move.
+Both joins are of tables, so that neither side need fit in memory. A bitmap of fixed size, made of the benchmark's hashes,
+goes to all tasks beforehand: kept hashes that it lacks never leave them.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
 
-from relispan.llm.blocks import WORDS_ONLY, map_texts, mix, set_aside, slices, small_batches, text_bytes, words
+from relispan.llm.blocks import WORDS_ONLY, map_texts, mix, set_aside, words
+from relispan.plans.shared import shared_table
 
 WINDOW, K = 10, 5
-BLOCK_WORDS = 2_000_000
+BITMAP_BITS = 1 << 23  # 1 MB, whatever the size of the benchmark
 _STEP = np.uint64(0xA24BAED4963EE407)
 
 
@@ -53,144 +49,186 @@ def winnow(g: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(most == g)
 
 
-class Block:
-    """The windows of some benchmark items, by length in words, and the kept fingerprints of the long ones."""
+def _keep(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes that are kept for windows of ``size`` words: winnowed 5-grams, or all hashes of short ones."""
+    if size == WINDOW:
+        g = gram_hashes(h, K)
+        at = winnow(g, WINDOW - K + 1)
+    else:
+        g = gram_hashes(h, size)
+        at = np.arange(len(g))
+    return at, mix(g[at] + np.uint64(size))  # windows of different sizes never meet
+
+
+def item_windows(benchmark: DataFrame, item_id: str = "item_id") -> DataFrame:
+    """(item, size, h, win): every window of every item once; its words joined by spaces, and the hash that is kept for
+    it wherever it occurs."""
 
-    def __init__(self, items: list[tuple[str | None, bytes]]):
-        owners: dict[int, dict[bytes, set]] = defaultdict(lambda: defaultdict(set))
-        kept = [np.zeros(0, np.uint64)]
-        for item, text in items:
+    def run(texts: list[bytes]) -> list[pa.Array]:
+        sizes, hashed, wins = [], [], []
+        for text in texts:
             row = text.translate(WORDS_ONLY).split()
             size = min(len(row), WINDOW)
-            for i in range(len(row) - size + 1 if row else 0):
-                owners[size][b" ".join(row[i : i + size])].add(item)
-            if len(row) >= WINDOW:
-                g = gram_hashes(words([text])[3], K)
-                kept.append(g[winnow(g, WINDOW - K + 1)])
-        self.fingerprints = np.unique(np.concatenate(kept))
-        self.sizes = {}
-        for size, texts in owners.items():
-            keys = list(texts)
-            h = gram_hashes(words([b" ".join(keys)])[3], size)[::size]
-            order = np.argsort(h, kind="stable")
-            self.sizes[size] = h[order], [keys[i] for i in order], [sorted(texts[keys[i]] - {None}) for i in order]
-
-    def places(self, buffer, starts, ends, h, first) -> list[tuple[int, int, list[str]]]:
-        """First word, number of words and items of each occurring window; ``first``: the words before each text."""
-        found = []
-        for size, (table, keys, items) in self.sizes.items():
+            h = words([text])[3]
             if size == WINDOW:
                 g = gram_hashes(h, K)
-                seeds = winnow(g, WINDOW - K + 1)
-                seeds = seeds[_within(g[seeds], self.fingerprints)]
-                near = np.unique((seeds[:, None] - np.arange(WINDOW - K + 1)).ravel())
-                near = near[(near >= 0) & (near <= len(h) - WINDOW)]
+                n = len(g) - WINDOW + K
+                least = np.min([g[j : j + n] for j in range(WINDOW - K + 1)], axis=0)
             else:
-                near = np.arange(max(0, len(h) - size + 1))
-            whole = h[near].copy()
-            for j in range(1, size):
-                whole = whole * _STEP + h[near + j]
-            whole = mix(whole)
-            good = _within(whole, table) & (np.searchsorted(first, near, "right") == np.searchsorted(first, near + size - 1, "right"))
-            near, whole = near[good], whole[good]
-            low, high = np.searchsorted(table, whole), np.searchsorted(table, whole, "right")
-            for p, a, b in zip(near.tolist(), low, high, strict=True):
-                text = b" ".join(buffer[starts[q] : ends[q]].tobytes() for q in range(p, p + size))
-                found += [(p, size, items[i]) for i in range(a, b) if keys[i] == text]
-        return found
-
-
-def _within(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(values), bool)
-    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
-
-
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, item_id: str = "item_id") -> Iterator[Block]:
-    """The benchmark's distinct rows in blocks of bounded size, read one after the other; one block if it is empty."""
-    rows = benchmark.select(F.col(item_id).cast("string").alias("id"), text_bytes()).distinct()
-    size = rows.agg(F.sum(F.length("__text"))).first()[0] or 0
-    n = 1 + int(size) // (2 * block_words)  # a word and what parts it from the next take two bytes at least
-    for i in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("id", "__text"), F.lit(n)) == i)
-        yield Block([(r[0], bytes(r[1])) for r in part.toLocalIterator()])
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str], item_id: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The named columns of ``docs`` with n_words, n_hit, n_items, items_sha256, contaminated, items and runs.
+                least = gram_hashes(h, size) if size else np.zeros(0, np.uint64)
+            sizes.append([size] * len(least))
+            hashed.append(mix(least + np.uint64(size)).view(np.int64).tolist())
+            wins.append([b" ".join(row[i : i + size]) for i in range(len(least))])
+        return [pa.array(sizes, pa.list_(pa.int32())), pa.array(hashed, pa.list_(pa.int64())), pa.array(wins, pa.list_(pa.binary()))]
 
-    ``runs`` holds start and end (exclusive) of each run of hit words in turn, in words from 0; ``items`` the items
-    with occurring windows, sorted as strings. Null texts have no words. Repeated items count once; items with a null
-    id hit words but aren't listed. Without items nothing is hit. Repeated documents give a row each.
-    """
-    frame = docs.select(*columns, F.col("text").alias("__doc"))
-    held = [docs.sparkSession.sparkContext.broadcast(block) for block in item_blocks(benchmark, block_words, item_id)]
-    for k, block in enumerate(held[:-1]):  # each pass looks for one block's windows and hands the text on
-        frame = map_texts(frame, _finder(block), f"__r{k} array<bigint>, __i{k} array<string>", frame.columns, "__doc")
-    return _last_pass(frame, held[-1], columns, len(held) - 1)
+    rows = benchmark.select(F.col(item_id).cast("string").alias("item"), "text")
+    made = map_texts(rows, run, "size array<int>, h array<bigint>, win array<binary>", ["item"])
+    return made.select("item", F.explode(F.arrays_zip("size", "h", "win")).alias("w")).select("item", "w.size", "w.h", "w.win").distinct()
 
 
-MADE = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, runs array<bigint>"
+def bitmap(hashes: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
+    """The set of the hashes' places below ``bits``, eight to a byte; it never takes more than ``bits`` / 8 bytes."""
+    part = min(bits, 1 << 15)
+    place = F.pmod(F.col("h"), F.lit(bits))
+    parts = hashes.groupBy(F.floor(place / part).alias("part")).agg(F.bitmap_construct_agg((place % part).cast("bigint")).alias("bytes"))
+    out = np.zeros((bits // part, 4096), np.uint8)
+    for r in parts.collect():  # 4096 bytes each
+        out[r["part"]] = np.frombuffer(bytes(r["bytes"]), np.uint8)
+    return out[:, : part // 8].ravel()
 
 
-def _search(block: Block, texts: list[bytes]) -> tuple[list[int], list[list[int]], list[list[str]]]:
-    """Words, runs of hit words and items of each text."""
-    buffer, starts, ends, h, first = words(texts)
-    runs, items = [[] for _ in texts], [set() for _ in texts]
-    for p, size, named in sorted(block.places(buffer, starts, ends, h, first), key=lambda x: x[0]):
-        doc = int(np.searchsorted(first, p, "right")) - 1
-        _extend(runs[doc], p - int(first[doc]), p - int(first[doc]) + size)
-        items[doc].update(named)
-    return np.diff(first)[: len(texts)].tolist(), runs, [sorted(x) for x in items]
+def _known(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    place = values & np.uint64(8 * len(held) - 1)
+    return (held[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _extend(runs: list[int], a: int, b: int) -> None:
-    """Add a span to runs of which none begins behind it."""
-    if runs and a <= runs[-1]:
-        runs[-1] = max(runs[-1], b)
-    else:
-        runs += [a, b]
+def _text_key() -> list[Column]:
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("__t"), F.xxhash64(F.lit(1), text).alias("__u")]
 
 
-def _finder(held):
-    def run(texts: list[bytes]) -> list[pa.Array]:
-        _, runs, items = _search(held.value, texts)
-        return [pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-
-    return run
+KEY = ["__t", "__u"]
 
 
-def _last_pass(frame: DataFrame, held, columns: list[str], earlier: int) -> DataFrame:
-    """Look for the last block's windows and put together what all passes have found."""
-    found = [f"__{c}{k}" for k in range(earlier) for c in "ri"]
-    whole = StructType([*(frame.schema[c] for c in columns), *StructType.fromDDL(MADE).fields])
-    kinds = [to_arrow_type(f.dataType) for f in StructType.fromDDL(MADE)]
+def _marked(docs: DataFrame, sizes: list[int], held) -> DataFrame:
+    """All columns of ``docs`` but the text, with n_words and the kept hashes that the benchmark may have, as ``hs``."""
 
-    def run(batches):
+    def run(texts: list[bytes]) -> list[pa.Array]:
+        _, _, _, h, first = words(texts)
+        doc, kept = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for size in sizes:
+            at, values = _keep(h, size)
+            some = _known(values, held.value)
+            doc.append(np.searchsorted(first, at[some], "right") - 1)
+            kept.append(values[some])
+        doc, kept = np.concatenate(doc), np.concatenate(kept)
+        order = np.argsort(doc, kind="stable")
+        ends = np.searchsorted(doc[order], np.arange(len(texts) + 1))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(kept[order].view(np.int64)))
+        return [pa.array(np.diff(first)[: len(texts)], pa.int64()), lists]
+
+    return map_texts(docs, run, "n_words bigint, hs array<bigint>", [c for c in docs.columns if c != "text"])
+
+
+def _windows(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """(__t, __u, p, size, win) around the hits ``hs`` of each text: first word, number of words and the words."""
+
+    def run(texts: list[bytes], hits: list[np.ndarray]) -> list[pa.Array]:
+        places, many, wins = [], [], []
+        for text, hit in zip(texts, hits, strict=True):
+            buffer, starts, ends, h, _ = words([text])
+            raw = buffer.tobytes()
+            spans = []
+            for size in sizes:
+                at, values = _keep(h, size)
+                at = at[np.isin(values, hit)]
+                if size == WINDOW:
+                    at = np.unique((at[:, None] - np.arange(WINDOW - K + 1)).ravel())
+                    at = at[(at >= 0) & (at <= len(h) - WINDOW)]
+                spans += [(p, size) for p in at.tolist()]
+            places.append([p for p, _ in spans])
+            many.append([n for _, n in spans])
+            wins.append([b" ".join(raw[starts[q] : ends[q]] for q in range(p, p + n)) for p, n in spans])
+        return [pa.array(places, pa.list_(pa.int64())), pa.array(many, pa.list_(pa.int32())), pa.array(wins, pa.list_(pa.binary()))]
+
+    def batches(found):
+        for batch in found:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                hit = row.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                made = run([row.column(3)[0].as_py()], [hit])
+                yield pa.RecordBatch.from_arrays([*row.columns[:2], *made], names=[*KEY, "p", "size", "win"])
+
+    frame = docs.select(*KEY, "hs", F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+    made = frame.mapInArrow(batches, "__t bigint, __u bigint, p array<bigint>, size array<int>, win array<binary>")
+    return made.select(*KEY, F.explode(F.arrays_zip("p", "size", "win")).alias("w")).select(*KEY, "w.p", "w.size", "w.win")
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, item_id: str, bits: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (with ``__t``, ``__u`` that tell texts apart; without the text) with n_words, and (__t, __u, runs, items)
+    of the texts that hold a window."""
+    windows = shared_table(item_windows(benchmark, item_id), "windows")
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # ten at most
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(windows.select("h"), bits))
+    texts = docs.withColumns(dict(zip(KEY, _text_key(), strict=True)))
+    marked = shared_table(_marked(texts, sizes, held), "marked")
+    maybe = marked.filter("size(hs) > 0").select(*KEY, F.explode("hs").alias("h")).distinct()
+    hits = maybe.join(windows.select("h").distinct(), "h").groupBy(*KEY).agg(F.collect_list("h").alias("hs"))
+    hits = shared_table(hits, "hits")
+    near = texts.select(*KEY, "text").join(hits, KEY).dropDuplicates(KEY)
+    met = _windows(near, sizes).join(windows.select("item", "size", "win"), ["size", "win"])
+    span = F.collect_set(F.struct("p", (F.col("p") + F.col("size")).alias("q")))
+    found = met.groupBy(*KEY).agg(F.array_sort(span).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+
+    def merge(batches):
         for batch in batches:
-            for low, texts in slices(batch.column(batch.num_columns - 1)):
-                part = batch.slice(low, len(texts))
-                before = [part.column(len(columns) + k).to_pylist() for k in range(2 * earlier)]
-                rows = []
-                for i, (n, runs, items) in enumerate(zip(*_search(held.value, texts), strict=True)):
-                    spans = [r[j : j + 2] for r in (runs, *(x[i] for x in before[::2])) for j in range(0, len(r), 2)]
-                    merged: list[int] = []
-                    for a, b in sorted(spans):
-                        _extend(merged, a, b)
-                    names = sorted({*items, *(x for found in before[1::2] for x in found[i])})
-                    hit = sum(merged[1::2]) - sum(merged[::2])
-                    rows.append((n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0, names, merged))
-                made = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(part.columns[: len(columns)] + made, names=whole.names)
-
-    small_batches(frame)
-    return frame.select(*columns, *found, text_bytes("__doc")).mapInArrow(run, whole)
+            out = []
+            for spans in batch.column(2):
+                runs: list[int] = []
+                for x in spans.as_py():
+                    if runs and x["p"] <= runs[-1]:
+                        runs[-1] = max(runs[-1], x["q"])
+                    else:
+                        runs += [x["p"], x["q"]]
+                out.append(runs)
+            columns = [*batch.columns[:2], pa.array(out, pa.list_(pa.int64())), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*KEY, "runs", "items"])
+
+    runs = found.select(*KEY, "spans", "items").mapInArrow(merge, "__t bigint, __u bigint, runs array<bigint>, items array<string>")
+    return marked.drop("hs"), shared_table(runs, "found")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str], item_id: str = "item_id", bits: int = BITMAP_BITS) -> DataFrame:
+    """The named columns of ``docs`` with n_words, n_hit, n_items, items_sha256, contaminated, items and runs.
+
+    ``runs`` holds start and end (exclusive) of each run of hit words in turn, in words from 0; ``items`` the items
+    with occurring windows, sorted as strings. Null texts have no words. Repeated items count once; items with a null
+    id hit words but aren't listed. Without items nothing is hit. Repeated documents give a row each.
+    """
+    names = [f"__own{i}" for i in range(len(columns))]
+    frame = docs.select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)], "text")
+    marked, found = _search(frame, benchmark, item_id, bits)
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    joined = marked.join(found, KEY, "left").select(*names, "n_words", empty("items", "array<string>"), empty("runs", "array<bigint>"))
+    hit = F.aggregate(F.transform("runs", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return joined.select(
+        *[F.col(n).alias(c) for c, n in zip(columns, names, strict=True)],
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("runs") > 0).alias("contaminated"),
+        "items",
+        "runs",
+    )
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, without those that hold a window of a benchmark item."""
     frame, restore = set_aside(docs, "text")
-    return restore(contamination(frame, benchmark, frame.columns).filter(~F.col("contaminated")))
+    _, found = _search(frame.select("text"), benchmark, "item_id", BITMAP_BITS)
+    keyed = frame.withColumns(dict(zip(KEY, _text_key(), strict=True)))
+    return restore(keyed.join(found.select(*KEY), KEY, "left_anti"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
