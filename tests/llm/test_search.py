@@ -270,16 +270,16 @@ def slow_contamination(docs, items):
     return out
 
 
-@pytest.mark.parametrize("block_words", [20, decontam.BLOCK_WORDS])
-def test_contamination(spark, block_words):
+@pytest.mark.parametrize("bits", [8, 1 << 12, decontam.BITMAP_BITS])
+def test_contamination(spark, bits):
     docs = [r[:2] for r in edge_rows() if len(r[1] or "") < 1000] + [(i, t) for i, t in some_rows(60) if len(t) < 4000]
     long = max(docs, key=lambda r: len(r[1] or ""))[1]
     items = [(7, "One two three four five six seven eight nine ten eleven twelve"), (70, "one, two: three"), (8, None), (9, ""), (10, "TINY item"), (None, "word"), (11, long[200:900]), (11, long[200:900]), (100, long[300:700]), (12, "ünïcödé"), (13, "seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen")]
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    got = decontam.contamination(frame, bench, ["doc_id"], block_words=block_words).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    got = decontam.contamination(frame, bench, ["doc_id"], bits=bits).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, slow_contamination(docs, items)))
-    none = decontam.contamination(frame, bench.limit(0), ["doc_id"], block_words=block_words)
+    none = decontam.contamination(frame, bench.limit(0), ["doc_id"], bits=bits)
     assert not none.filter("contaminated").count() and none.count() == len(docs)
     assert not decontam.contamination(empty_docs(spark), bench, ["doc_id", "key"]).collect()
     assert decontam.clean_documents(edge_docs(spark), bench).columns == edge_docs(spark).columns
