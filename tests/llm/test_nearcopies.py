@@ -41,7 +41,7 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, many, frequent, hot,
     monkeypatch.setattr(nearcopies, "SAMPLE_HOT", hot)
     monkeypatch.setattr(nearcopies, "BLOCK", block)
     if not frequent:
-        monkeypatch.setattr(nearcopies, "_frequent", lambda *_: (nearcopies.np.zeros(0, nearcopies.np.uint64), 0))
+        monkeypatch.setattr(nearcopies, "_frequent", lambda *_: (nearcopies.np.zeros(0, nearcopies.np.uint64), nearcopies.np.zeros(0, nearcopies.np.int64)))
     rows = near_rows() + [(1000 + i, t) for i, t in some_rows()]
     rows += [(2000 + k, r[1]) for k, r in enumerate(edge_rows()) if len(r[1] or "") < 20000]
     got = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
