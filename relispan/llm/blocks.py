@@ -131,8 +131,8 @@ def gear_cuts(text: bytes, one_in: float, least: int, most: int) -> np.ndarray:
 
     The gear hash h = 2h + table[byte] is kept to 16 bits, so that it depends on the last 16 bytes alone; a cut stands
     where it falls below 2**16 / one_in and no such place lies in the ``least`` bytes before. The rule is local: bytes
-    inserted somewhere move no cut more than a few bytes away. Chunks longer than ``most`` are cut evenly. No cut
-    splits a code point.
+    inserted somewhere move no cut more than a few bytes away. Chunks longer than ``most`` are cut where the hash is least
+    in the next ``most`` bytes, again and again. No cut splits a code point.
     """
     n = len(text)
     if not n:
@@ -147,8 +147,13 @@ def gear_cuts(text: bytes, one_in: float, least: int, most: int) -> np.ndarray:
     cuts = np.append(found[found < n], n)
     gaps = np.diff(cuts, prepend=0)
     if (gaps > most).any():
-        extra = [np.arange(c - g + most, c, most) for c, g in zip(cuts[gaps > most], gaps[gaps > most], strict=True)]
-        cuts = np.unique(np.concatenate([cuts, *extra]))
+        extra = []
+        for cut, gap in zip(cuts[gaps > most].tolist(), gaps[gaps > most].tolist(), strict=True):
+            at = cut - gap
+            while cut - at > most:
+                at += least + int(h[at + least : at + most].argmin()) + 1
+                extra.append(at)
+        cuts = np.unique(np.concatenate([cuts, np.array(extra, np.int64)]))
     inside = cuts < n
     while (split := inside & ((b[np.minimum(cuts, n - 1)] & 0xC0) == 0x80)).any():
         cuts = cuts + split
