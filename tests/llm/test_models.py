@@ -3,6 +3,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pytest
 from edge import SF, edge_docs, edge_rows, empty_docs, some_docs, some_rows
 
 from relispan.llm import chunks, langid, licenses, quality
@@ -146,43 +147,61 @@ def test_cuts_resist_insertions_and_keep_code_points_whole():
     assert gear_cuts(b"", 32, 8, 512).tolist() == [] and gear_cuts(b"a", 32, 8, 512).tolist() == [1]
 
 
-def slow_spans(rows):
-    held = {}
-    cut = {i: (t or "").encode() for i, t in rows}
+def slow_spans(rows, span_bytes):
     from relispan.llm.blocks import gear_cuts
 
-    cuts = {i: gear_cuts(t, chunks.ONE_IN, chunks.LEAST, chunks.MOST).tolist() for i, t in cut.items()}
-    pieces = {i: list(zip([0, *c], c, strict=False)) for i, c in cuts.items()}
-    for i, ps in pieces.items():
-        for a, b in ps:
-            held.setdefault(cut[i][a:b], []).append(i)
+    texts = {i: (t or "").encode() for i, t in rows}
+    held, units = {}, {}
+    for i in sorted(texts):
+        cuts = [0, *gear_cuts(texts[i], chunks.ONE_IN, chunks.LEAST, chunks.MOST).tolist()]
+        units[i] = [(a, b) for a, b in zip(cuts, cuts[2:], strict=False)] or [(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+        for a, b in units[i]:
+            held.setdefault(texts[i][a:b], []).append((i, a))
     out = []
-    for i, ps in pieces.items():
-        run = []
-        for a, b in [*ps, (None, None)]:
-            owners = held.get(cut[i][a:b], []) if a is not None else []
-            if len(set(owners)) > 1:
-                run.append((a, b, len(owners), min(owners)))
-            else:
-                if run and run[-1][1] - run[0][0] >= chunks.SPAN_BYTES:
-                    out.append((i, run[0][0], run[-1][1], len(run), max(x[2] for x in run), min(x[3] for x in run), min(x[3] for x in run) < i))
-                run = []
+    for i, us in units.items():
+        runs = [[]]
+        for a, b in us:
+            if len(held[texts[i][a:b]]) > 1:
+                runs[-1].append((a, b))
+            elif runs[-1]:
+                runs.append([])
+        for run in filter(None, runs):
+            owners = [held[texts[i][a:b]] for a, b in run]
+            if run[-1][1] - run[0][0] >= span_bytes:
+                first = min(o[0][0] for o in owners)
+                elsewhere = any(len({d for d, _ in o}) > 1 for o in owners)
+                repeated = any(o[0] != (i, a) for o, (a, _) in zip(owners, run, strict=True))
+                out.append((i, run[0][0], run[-1][1], run[-1][1] - run[0][0], len(run), max(map(len, owners)), first, elsewhere, repeated))
     return sorted(out)
 
 
-def test_repeated_spans(spark):
+@pytest.mark.parametrize("span_bytes", [0, chunks.SPAN_BYTES])
+def test_repeated_spans(spark, span_bytes):
     draw = np.random.RandomState(1)
     word = lambda: "".join(draw.choice(list("abcdefghijklmnop"), 6))
     passage = " ".join(word() for _ in range(60))
     rows = [(i, " ".join(word() for _ in range(100)) + (f" {passage} " if i % 3 == 0 else " ") + " ".join(word() for _ in range(draw.randint(20)))) for i in range(30)]
     rows += [(100 + i, t) for i, t in some_rows(60)]
+    rows += [(200, f"{passage[:200]} and once more {passage[:200]}"), (201, "over and over " * 300), (202, "so over and over " + "over and over " * 200)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = sorted(tuple(r) for r in chunks.repeated_spans(docs).drop("row").collect())
-    assert got == slow_spans(rows)
-    assert {r[0] for r in got if r[0] < 30} == set(range(0, 30, 3))
+    got = sorted(tuple(r) for r in chunks.repeated_spans(docs, span_bytes=span_bytes).drop("row").collect())
+    assert got == slow_spans(rows, span_bytes)
+    assert {r[0] for r in got if r[0] < 30 and r[3] > 200} == set(range(0, 30, 3))
+    assert {201, 202} <= {r[0] for r in got if r[3] > 1000}
     kept = {r["doc_id"]: r["text"] for r in chunks.remove_repeats(docs).collect()}
     assert kept[0] == rows[0][1] and all(len(kept[i]) < len(rows[i][1]) - 200 for i in range(3, 30, 3))
     assert all(kept[i] == rows[i][1] for i in range(30) if i % 3)
+    assert 0 < len(kept[201]) < 1000 and len(kept[202]) < 1000
+
+
+def test_rows_of_one_id_that_repeat_each_other(spark):
+    draw = np.random.RandomState(2)
+    text = " ".join("".join(draw.choice(list("abcdefghijklmnop"), 6)) for _ in range(60))
+    docs = spark.createDataFrame([(1, text, 3), (1, "before " + text, 4), (2, "other", 5)], "doc_id bigint, text string, row int")
+    got = chunks.repeated_spans(docs, span_bytes=88).collect()
+    assert sorted((r["doc_id"], r["elsewhere"], r["repeated"]) for r in got) == [(1, False, False), (1, False, True)]
+    kept = sorted(map(tuple, chunks.remove_repeats(docs).collect()), key=lambda r: r[2])
+    assert [r[2] for r in kept] == [3, 4, 5] and sum(len(r[1]) > 300 for r in kept) == 1
 
 
 def test_repeats_in_awkward_rows(spark):
