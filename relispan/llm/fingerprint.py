@@ -88,9 +88,10 @@ def with_next(docs: DataFrame, id_column: str = "doc_id", bucket_rows: int | Non
     own = F.struct(F.col("__b").alias("b"), F.lit(False).alias("copy"))
     before = F.struct(F.col("__before").alias("b"), F.lit(True).alias("copy"))
     dealt = joined.withColumn("__at", F.explode(F.when(is_first, F.array(own, before)).otherwise(F.array(own))))
-    order = Window.partitionBy("__at.b").orderBy("__at.copy", "__k", "__h", "text")
-    dealt = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fingerprint", F.lead("fingerprint").over(order))
-    return dealt.filter("NOT __at.copy").select(F.col("__id").alias(id_column), "text", "next_text", "fingerprint", "next_fingerprint")
+    dealt = dealt.select("__id", "text", "fingerprint", "__k", "__h", F.col("__at.b").alias("__bucket"), F.col("__at.copy").alias("__copy"))
+    order = Window.partitionBy("__bucket").orderBy("__copy", "__k", "__h", "text")
+    following = {f"next_{c}": F.lead(c).over(order) for c in ("text", "fingerprint")}  # one window, so that texts move once
+    return dealt.withColumns(following).filter("NOT __copy").select(F.col("__id").alias(id_column), "text", "next_text", "fingerprint", "next_fingerprint")
 
 
 def edited(text: Column, following: Column) -> Column:
