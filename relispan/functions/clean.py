@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,8 +60,8 @@ def unicode(text: Column, form: str = "NFC") -> Column:
     if form not in ("NFC", "NFD", "NFKC", "NFKD"):
         raise ValueError(f"unknown form {form!r}")
     method = "compose" if form in ("NFC", "NFKC") else "decompose"
-    made = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), text, F.lit("K" in form))
-    return F.when(text.isNotNull(), made)
+    # the call fails for null alone, and gives null then; the text is named once, so that it is worked out once
+    return F.try_reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), text, F.lit("K" in form))
 
 
 def whitespace(text: Column) -> Column:
@@ -78,13 +77,34 @@ def accents(text: Column, fast: bool = False) -> Column:
     return _sub(plain, r"[^\x00-\x7F]", "") if fast else plain
 
 
-def brackets(text: Column, only: str | list[str] | None = None, depth: int = 3) -> Column:
-    """Without bracketed parts of the given kinds, from the inside, up to so many levels."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def brackets(text: Column, only: str | list[str] | None = None) -> Column:
+    """Without bracketed parts of the given kinds, from the inside, as many times as brackets stand in brackets."""
     kinds = [only] if isinstance(only, str) else (only or list(_BRACKETS))
-    for _ in range(depth):
-        for k in kinds:
-            text = _sub(text, _BRACKETS[k], "")
-    return text
+    marks = {"curly": "{}", "square": "[]", "round": "()"}
+    opening, closing = (F.array(*[F.lit(marks[k][i]) for k in kinds]) for i in (0, 1))
+    held = "".join("\\" + m for k in kinds for m in marks[k])
+
+    def without(t: Column) -> Column:
+        def step(acc: Column, c: Column) -> Column:
+            at = F.when(F.array_contains(opening, c), acc["at"] + 1).when(F.array_contains(closing, c), F.greatest(acc["at"] - 1, F.lit(0))).otherwise(acc["at"])
+            return F.struct(at.alias("at"), F.greatest(acc["most"], at).alias("most"))
+
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("most"))
+        depth = F.aggregate(F.split(_sub(t, f"[^{held}]", ""), ""), start, step, lambda acc: acc["most"])
+
+        def once(acc: Column, _: Column) -> Column:
+            for k in kinds:
+                acc = _sub(acc, _BRACKETS[k], "")
+            return acc
+
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), t, once)
+
+    return _let(text, lambda t: F.when(F.rlike(t, F.lit(f"[{held}]")), without(t)).otherwise(t))
 
 
 def html_tags(text: Column) -> Column:
@@ -116,46 +136,50 @@ _PARTS = {"half": 2, "halves": 2, "third": 3, "thirds": 3, "quarter": 4, "quarte
 _SMALL = {w: i for i, w in enumerate(_UNITS)} | {w: 10 * (i + 2) for i, w in enumerate(_TENS)}
 _WORD = "|".join([*_SMALL, *_SCALES])
 _SPELLED = rf"(?:{_WORD})(?:(?:[ -]+(?:and[ -]+)?)(?:{_WORD}))*"
-_NUMBER = re.compile(rf"\b(?:{_SPELLED}? and (?:{'|'.join(_UNITS)}|a) (?:{'|'.join(_PARTS)})|{_SPELLED})\b", re.I)
-
-
-def number_of(words: str) -> str:
-    """A spelled number in digits; juxtaposed parts ("one fifty") are hundreds."""
-    parts = re.split(r"[ -]+", words.lower())
-    share = 0.0
-    if parts[-1] in _PARTS:
-        share = _SMALL.get(parts[-2], 1) / _PARTS[parts[-1]]
-        parts = parts[:-3]
-    total = group = last = 0
-    for w in parts:
-        if w == "and":
-            continue
-        if w in _SMALL:
-            v = _SMALL[w]
-            if group and v >= 10 and last < 100 and last and (last < 20 or v >= last):
-                group *= 100
-            group, last = group + v, v
-        elif w == "hundred":
-            group, last = max(1, group) * 100, 100
-        else:
-            total, group, last = total + max(1, group) * _SCALES[w], 0, 0
-    value = total + group + share
-    return f"{value:g}" if share else str(total + group)
-
-
-def numerize_text(text: str | None) -> str | None:
-    """Spelled numbers in digits, and hyphens between words as spaces; "second" and single articles stay."""
-    if text is None:
-        return None
-    return _NUMBER.sub(lambda m: number_of(m[0]), text).replace("-", " ")
+_NUMBER = rf"(?i)\b(?:{_SPELLED}? and (?:{'|'.join(_UNITS)}|a) (?:{'|'.join(_PARTS)})|{_SPELLED})\b"
+
+
+def number_of(phrase: Column) -> Column:
+    """A spelled number in digits; juxtaposed parts ("one fifty") are hundreds. Null if it is too large for 64 bits."""
+    table = lambda values: F.create_map(*[F.lit(x).cast("bigint") if isinstance(x, int) else F.lit(x) for kv in values.items() for x in kv])
+
+    def step(acc: Column, w: Column) -> Column:
+        small, scale = F.try_element_at(table(_SMALL), w), F.try_element_at(table(_SCALES), w)
+        group, last = acc["group"], acc["last"]
+        beside = (group > 0) & (small >= 10) & (last < 100) & (last > 0) & ((last < 20) | (small >= last))
+        some = F.when(group < 1, F.lit(1).cast("bigint")).when(group >= 1, group)  # null stays null
+        row = lambda total, group, last: F.struct(total.alias("total"), group.alias("group"), last.cast("bigint").alias("last"))
+        return (
+            F.when(w == "and", acc)
+            .when(small.isNotNull(), row(acc["total"], F.try_add(F.when(beside, F.try_multiply(group, F.lit(100))).otherwise(group), small), small))
+            .when(w == "hundred", row(acc["total"], F.try_multiply(some, F.lit(100).cast("bigint")), F.lit(100)))
+            .otherwise(row(F.try_add(acc["total"], F.try_multiply(some, scale)), F.lit(0).cast("bigint"), F.lit(0)))
+        )
+
+    def value(words: Column) -> Column:
+        part = F.try_element_at(table(_PARTS), F.element_at(words, -1))
+        share = F.coalesce(F.try_element_at(table(_SMALL), F.get(words, F.size(words) - 2)), F.lit(1)) / part
+        whole = F.when(part.isNotNull(), F.slice(words, F.lit(1), F.greatest(F.size(words) - 3, F.lit(0)))).otherwise(words)
+        zero = F.lit(0).cast("bigint")
+        start = F.struct(zero.alias("total"), zero.alias("group"), zero.alias("last"))
+        n = F.aggregate(whole, start, step, lambda acc: F.try_add(acc["total"], acc["group"]))
+        six = lambda x: F.regexp_replace(F.format_string("%.6f", x), r"\.?0+$", "")
+        digits = F.when(n + share >= 1000, F.round(n + share, 2)).otherwise(F.round(n + share, 5))
+        return F.when(part.isNull(), n.cast("string")).otherwise(six(digits))
+
+    return _let(F.split(F.lower(phrase), "[ -]+"), value)
 
 
 def numerize(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(numerize_text)
+    """Spelled numbers in digits, and hyphens between words as spaces; "second" and single articles stay."""
+    plain = lambda t: F.replace(t, F.lit("-"), F.lit(" "))
+
+    def made(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(_NUMBER), F.lit(0))
+        put = lambda gap, phrase: F.concat(plain(gap), F.coalesce(number_of(phrase), phrase, F.lit("")))
+        return F.array_join(F.zip_with(F.split(t, _NUMBER, -1), found, put), "")
 
-    return run(text)
+    return _let(text, lambda t: F.when(F.rlike(t, F.lit(_NUMBER)), made(t)).otherwise(plain(t)))
 
 
 STEPS: dict[str, Callable] = {

@@ -53,9 +53,11 @@ def _pairs(c: str) -> Column:
 
 
 def merge_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    """``nodes`` with those of ``new`` whose label and key they lack; of several new ones the least properties count."""
-    once = new.withColumn("p", _pairs("props")).groupBy("label", "key").agg(F.min("p").alias("p"))
-    fresh = once.select("label", "key", F.map_from_entries("p").alias("props")).join(nodes.select("label", "key"), ["label", "key"], "left_anti")
+    """``nodes`` with those of ``new`` whose label and key they lack; several new ones of a key are one with all their
+    properties, of each the least value."""
+    once = new.withColumn("p", _pairs("props")).groupBy("label", "key").agg(F.array_sort(F.flatten(F.collect_set("p"))).alias("p"))
+    one = F.filter("p", lambda x, i: (i == 0) | (F.get("p", F.greatest(i - 1, F.lit(0)))["key"] != x["key"]))
+    fresh = once.select("label", "key", F.map_from_entries(one).alias("props")).join(nodes.select("label", "key"), ["label", "key"], "left_anti")
     return nodes.unionByName(fresh)
 
 
@@ -155,22 +157,28 @@ def reach(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 def betweenness(vertices: DataFrame, links: DataFrame, most_links: int = 5_000_000) -> DataFrame:
     """(id, score): shortest paths through each vertex, over links (src, dst) read both ways, each pair counted once.
 
-    Sources are spread over the tasks; each holds all links, of which there may be ``most_links`` (their size is checked).
+    Ids are of any type. Sources are spread over the tasks; each holds all links. Beyond ``most_links`` of them, which is
+    checked, the same is done by joins, level by level.
     """
     n = links.count()
     if n > most_links:
-        raise ValueError(f"{n} links exceed the bound of {most_links} that every task can hold")
-    pairs = np.array(links.select("src", "dst").distinct().toPandas(), np.int64).reshape(-1, 2)
-    held = vertices.sparkSession.sparkContext.broadcast(pairs[pairs[:, 0] != pairs[:, 1]])
+        return _betweenness_by_levels(vertices, links)
+    ends = links.select("src", "dst").distinct().toPandas()
+    codes, names = pd.factorize(pd.concat([ends["src"], ends["dst"]]))
+    pairs = codes.reshape(2, -1).T
+    held = vertices.sparkSession.sparkContext.broadcast((pairs[pairs[:, 0] != pairs[:, 1]], np.asarray(names)))
+    kind = vertices.schema["id"].dataType.simpleString()
 
     def run(batches):
+        pairs, names = held.value
+        places = {x: i for i, x in enumerate(names.tolist())}
         around: dict[int, set] = {}
-        for a, b in held.value.tolist():
+        for a, b in pairs.tolist():
             around.setdefault(a, set()).add(b)
             around.setdefault(b, set()).add(a)
         for batch in batches:
             total: dict[int, float] = {}
-            for s in batch["id"].tolist():
+            for s in (places[x] for x in batch["id"].tolist() if x in places):
                 dist, paths, before, order, queue = {s: 0}, {s: 1.0}, {s: []}, [], deque([s])
                 while queue:
                     v = queue.popleft()
@@ -188,8 +196,41 @@ def betweenness(vertices: DataFrame, links: DataFrame, most_links: int = 5_000_0
                         share[v] += paths[v] / paths[w] * (1 + share[w])
                     if w != s:
                         total[w] = total.get(w, 0.0) + share[w] / 2
-            yield pd.DataFrame({"id": list(total), "score": list(total.values())})
+            yield pd.DataFrame({"id": names[list(total)], "score": list(total.values())})
 
-    parts = vertices.select(F.col("id").cast("bigint").alias("id")).repartition(int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    sums = parts.mapInPandas(run, "id bigint, score double").groupBy("id").agg(F.sum("score").alias("score"))
+    parts = vertices.select("id").repartition(int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    sums = parts.mapInPandas(run, f"id {kind}, score double").groupBy("id").agg(F.sum("score").alias("score"))
+    return vertices.select("id").join(sums, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def _betweenness_by_levels(vertices: DataFrame, links: DataFrame) -> DataFrame:
+    """``betweenness`` by joins: from all sources at once a level further at a time, then back with the shares of paths.
+
+    A level is a table (s, v, paths) in the shared folder; there are as many as the longest shortest path has links.
+    """
+    pairs = links.select("src", "dst").filter("src <> dst")
+    both = shared_table(pairs.union(pairs.select("dst", "src")).distinct().toDF("a", "b"), "links")
+    levels = [shared_table(vertices.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")), "level")]
+    while True:
+        step = levels[-1].join(both, F.col("v") == F.col("a")).groupBy("s", F.col("b").alias("v")).agg(F.sum("paths").alias("paths"))
+        for seen in levels[-2:]:  # read both ways, a link leads a level back, on, or to the same level
+            step = step.join(seen.select("s", "v"), ["s", "v"], "left_anti")
+        front = shared_table(step, "level")
+        if front.isEmpty():
+            break
+        levels.append(front)
+    share, scores = None, []
+    for low, high in zip(levels[-2::-1], levels[:0:-1], strict=True):
+        end = high.withColumn("share", F.lit(0.0)) if share is None else high.join(share, ["s", "v"], "left").fillna(0.0, ["share"])
+        end = shared_table(end, "shares")
+        scores.append(end.select(F.col("v").alias("id"), "share"))
+        back = end.select("s", F.col("v").alias("w"), F.col("paths").alias("beyond"), "share").join(both, F.col("w") == F.col("a"))
+        met = back.join(low.withColumnRenamed("v", "b"), ["s", "b"])
+        share = met.groupBy("s", F.col("b").alias("v")).agg(F.sum(F.col("paths") / F.col("beyond") * (1 + F.col("share"))).alias("share"))
+    if not scores:
+        return vertices.select("id", F.lit(0.0).alias("score"))
+    every = scores[0]
+    for x in scores[1:]:
+        every = every.unionByName(x)
+    sums = every.groupBy("id").agg((F.sum("share") / 2).alias("score"))
     return vertices.select("id").join(sums, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -83,17 +83,22 @@ def sentence_similarity(semantic: Column, order: Column, delta: float = 0.85) ->
     return delta * semantic + (1 - delta) * order
 
 
-def ancestors(taxonomy: DataFrame, most: int = 64) -> DataFrame:
-    """(node, ancestor, up): every concept's ancestors, itself with 0 steps included; each level is one join."""
+def ancestors(taxonomy: DataFrame) -> DataFrame:
+    """(node, ancestor, up): every concept's ancestors, itself with 0 steps included; each level is one join.
+
+    There are as many levels as the taxonomy has; a cycle, in which they would not end, is refused.
+    """
     nodes = taxonomy.select(F.col("child").alias("node")).union(taxonomy.select("parent")).distinct()
     front = shared_table(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("up")), "level")
-    found = front
-    for step in range(1, most + 1):
+    found, step = front, 0
+    while True:
+        step += 1
         front = shared_table(front.join(taxonomy, front["ancestor"] == taxonomy["child"]).select("node", F.col("parent").alias("ancestor"), F.lit(step).alias("up")), "level")
         if front.isEmpty():
-            break
+            return found
+        if not front.filter("node = ancestor").isEmpty():
+            raise ValueError("the taxonomy has a cycle")
         found = found.unionByName(front)
-    return found
 
 
 def concept_similarity(pairs: DataFrame, up: DataFrame, counts: DataFrame | None = None) -> DataFrame:
@@ -149,6 +154,21 @@ def best_senses(contexts: DataFrame, senses: DataFrame) -> DataFrame:
     return best.select("id", "word", F.col("b.sense").alias("sense"), (-F.col("b.k")).alias("overlap"))
 
 
+def best_overlaps(contexts: DataFrame, senses: DataFrame) -> DataFrame:
+    """(id, sense, overlap): of all senses (sense, gloss array) the one whose gloss shares most words with the context
+    (id, context array); ties, and contexts that share no word, by the least sense.
+
+    Contexts and glosses meet by their words; only shared words make rows, and they are counted before the shuffle.
+    """
+    c = contexts.select("id", F.explode(F.array_distinct("context")).alias("word"))
+    g = senses.select("sense", F.explode(F.array_distinct("gloss")).alias("word"))
+    met = c.join(g, "word").groupBy("id", "sense").agg(F.count("*").cast("int").alias("overlap"))
+    best = met.groupBy("id").agg(F.min(F.struct((-F.col("overlap")).alias("k"), "sense")).alias("b"))
+    least = senses.agg(F.min("sense").alias("least"))  # one row
+    joined = contexts.select("id").join(best, "id", "left").crossJoin(F.broadcast(least))
+    return joined.select("id", F.coalesce("b.sense", "least").alias("sense"), F.coalesce(-F.col("b.k"), F.lit(0)).alias("overlap")).filter("sense IS NOT NULL")
+
+
 def match_similarity(v1: Column, v2: Column, threshold: float = 0.8025) -> Column:
     """Similarity from two lists of best word similarities: |v1| |v2| by the number of good ones over 1.8, or by half
     of all where none is good."""

@@ -65,6 +65,51 @@ def clean_accents(read):
     return _cleaned(read, "accents")
 
 
+@query("SELECT doc_id, md5(t) AS cleaned, CAST(length(t) AS INTEGER) AS n FROM (SELECT doc_id, translate(coalesce(text, ''), 'ʼ‘’´`“”„«»', '\'\'\'\'\'\'\'\'\'\'\"\"\"\"\"') AS t FROM documents)")
+def clean_quotes(read):
+    return _cleaned(read, "quotation_marks")
+
+
+@query("SELECT doc_id, md5(t) AS cleaned, CAST(length(t) AS INTEGER) AS n FROM (SELECT doc_id, nfc_normalize(coalesce(text, '')) AS t FROM documents)")
+def clean_unicode(read):
+    return _cleaned(read, "unicode")
+
+
+@query(_sub((r"(?m)^[ \t]*[‣⁃⌁⍁∙▪●◦•][ \t]*", "- ")))
+def clean_bullets(read):
+    return _cleaned(read, "bullet_points")
+
+
+@query(_sub((r"([0-9A-Za-z_]+[A-Za-z_])-\s+([A-Za-z_][0-9A-Za-z_]+)", r"\1\2")))
+def clean_hyphenated(read):
+    return _cleaned(read, "hyphenated_words")
+
+
+@query(_sub((r"(?:\.){2,}", ".")))
+def clean_repeating(read):
+    return _cleaned(read, "repeating_chars", repeating_chars={"chars": "."})
+
+
+@query(_sub((r"[\x{2600}-\x{26FF}\x{2700}-\x{27BF}\x{1F300}-\x{1FAFF}]", "_EMOJI_")))
+def clean_emojis(read):
+    return _cleaned(read, "emojis")
+
+
+@query(_sub((r"(^|[^0-9A-Za-z_#&/])#([0-9A-Za-z_]*[A-Za-z_][0-9A-Za-z_]*)", r"\1_TAG_"), table="pages", key="page_id", column="html"))
+def clean_hashtags(read):
+    return _cleaned(read, "hashtags", table="pages", key="page_id", column="html")
+
+
+@query(_sub((r"(^|[^0-9A-Za-z_.%+-])@[A-Za-z0-9_]+", r"\1_USER_")))
+def clean_handles(read):
+    return _cleaned(read, "user_handles")
+
+
+@query()
+def clean_numerize(read):
+    return _cleaned(read, "numerize")
+
+
 @query()
 def clean_default(read):
     return _cleaned(read, *C.DEFAULT)
@@ -345,9 +390,24 @@ def taxonomy_res_lin_jcn(read):
 )
 def lesk_overlap(read):
     words = F.regexp_extract_all(F.lower("text"), F.lit(_LOW), F.lit(0))
-    senses = read("benchmark").select(F.lit("w").alias("word"), F.col("item_id").alias("sense"), words.alias("gloss"))
-    contexts = read("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lit("w").alias("word"), words.alias("context"))
-    return similarity.best_senses(contexts, F.broadcast(senses) if senses.count() <= 10_000 else senses).select("id", "sense", "overlap")
+    senses = read("benchmark").select(F.col("item_id").alias("sense"), words.alias("gloss"))
+    contexts = read("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), words.alias("context"))
+    return similarity.best_overlaps(contexts, senses)
+
+
+@query(
+    "WITH g AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark), c AS (SELECT conv_id * 1000 + turn AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS context FROM conversations), "
+    "s AS (SELECT DISTINCT item_id, unnest(w) AS word, list_distinct(w) AS gloss FROM g), x AS (SELECT id, unnest(context) AS word, context FROM c), rare AS (SELECT word FROM x GROUP BY 1 HAVING count(*) <= 20), "
+    "m AS (SELECT id, word, item_id, len(list_intersect(context, gloss)) AS o, row_number() OVER (PARTITION BY id, word ORDER BY len(list_intersect(context, gloss)) DESC, item_id) AS r FROM x JOIN s USING (word) JOIN rare USING (word)) SELECT id, word, item_id AS sense, CAST(o AS INTEGER) AS overlap FROM m WHERE r = 1"
+)
+def lesk_words(read):
+    words = F.regexp_extract_all(F.lower("text"), F.lit(_LOW), F.lit(0))
+    g = read("benchmark").select(F.col("item_id").alias("sense"), words.alias("gloss"))
+    senses = g.select("sense", "gloss", F.explode(F.array_distinct("gloss")).alias("word"))
+    c = read("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), words.alias("context"))
+    contexts = c.select("id", "context", F.explode(F.array_distinct("context")).alias("word"))
+    rare = contexts.groupBy("word").count().filter("count <= 20").select("word")
+    return similarity.best_senses(contexts.join(rare, "word"), senses).select("id", "word", "sense", "overlap")
 
 
 @query(

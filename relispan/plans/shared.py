@@ -6,6 +6,7 @@ never a recomputation of everything before it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a local one."""
+    """A new folder below ``spark.checkpoint.dir``.
+
+    Where that is unset a local folder does on one machine alone; on a cluster, whose executors don't see each other's
+    disks, it is refused.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_relispan_dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-relispan-", dir="/tmp")
         spark._relispan_dir = base
     return f"{base.rstrip('/')}/relispan-{uuid.uuid4().hex}"
@@ -27,3 +34,12 @@ def shared_table(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table of ``shared_table`` that nothing will read again, as rounds leave them."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/relispan-" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from relispan.operators import graph
+from relispan.operators import catalog_graph, graph
 from relispan.sources import models, schema
 
 SCHEMA = """
@@ -86,8 +86,49 @@ def test_paths_and_centralities(spark):
     assert {(r["id"], r["depth"]) for r in graph.reach(links, v.filter("id = 1"), 2).collect()} == {(1, 0), (2, 1), (3, 2)}
     e = {r["id"]: r["score"] for r in graph.eigenvector(v.filter("id < 5"), links, 12).collect()}
     assert e[2] == pytest.approx(e[3]) and e[2] > e[1] and sum(x * x for x in e.values()) == pytest.approx(1)
-    with pytest.raises(ValueError):
-        graph.betweenness(v, links, most_links=2)
+    assert {r["id"]: r["score"] for r in graph.betweenness(v, links, most_links=2).collect()} == {1: 0, 2: 2, 3: 2, 4: 0, 5: 0}
+
+
+def test_betweenness_of_any_ids_by_either_way(spark):
+    import random
+
+    draw = random.Random(2)
+    pairs = {tuple(sorted(draw.sample(range(25), 2))) for _ in range(35)}
+    links = spark.createDataFrame([(f"a:{a}", f"a:{b}") for a, b in sorted(pairs)] + [("a:1", "a:1")], "src string, dst string")
+    v = spark.createDataFrame([(f"a:{i}",) for i in range(27)], "id string")
+    want = {i: 0.0 for i in range(27)}
+    around = {i: {b if a == i else a for a, b in pairs if i in (a, b)} for i in range(27)}
+
+    def paths(s):
+        dist, queue, found = {s: 0}, [s], {s: [[s]]}
+        for x in queue:
+            for y in sorted(around[x]):
+                if y not in dist:
+                    dist[y] = dist[x] + 1
+                    queue.append(y)
+                    found[y] = []
+                if dist[y] == dist[x] + 1:
+                    found[y] += [p + [y] for p in found[x]]
+        return found
+
+    for s in range(27):
+        for t, ps in paths(s).items():
+            if s < t:
+                for p in ps:
+                    for x in p[1:-1]:
+                        want[x] += 1 / len(ps)
+    for most in (10**6, 0):
+        got = {int(r["id"][2:]): r["score"] for r in graph.betweenness(v, links, most_links=most).collect()}
+        assert got == pytest.approx(want)
+    nodes = spark.createDataFrame([("p", "1", {}), ("p", "2", {}), ("p", "3", {})], graph.NODE)
+    edges = spark.createDataFrame([("r", "p", "1", "p", "2", {}), ("r", "p", "2", "p", "3", {})], graph.EDGE)
+    catalog = catalog_graph.GraphCatalog().project("g", nodes, edges, ["p"], ["r"])
+    assert {r["id"]: r["score"] for r in catalog.centrality("g", "betweenness").collect()} == {"p:1": 0, "p:2": 1, "p:3": 0}
+
+
+def test_properties_of_rows_of_one_key_are_put_together(spark):
+    rows = spark.createDataFrame([("p", "1", {"a": "x"}), ("p", "1", {"b": "y"}), ("p", "1", {"a": "w", "c": "z"})], graph.NODE)
+    assert [r["props"] for r in graph.merge_nodes(rows.limit(0), rows).collect()] == [{"a": "w", "b": "y", "c": "z"}]
 
 
 def test_system_model_checks(spark):

@@ -39,6 +39,14 @@ def one(spark, text, f):
         ("urls", {}, "from www.stackoverflow.com and http://wikipedia.org/ and Mom.", "from _URL_ and _URL_ and Mom."),
         ("user_handles", {}, "wth twitter @b_dewilde", "wth twitter _USER_"),
         ("user_handles", {}, "foo@bar.com is not", "foo@bar.com is not"),
+        ("brackets", {}, "a (b [c (d {e (f) g} h) i] j) k )( l", "a  k )( l"),
+        ("brackets", {}, "(" * 40 + "x" + ")" * 40 + "y", "y"),
+        ("numerize", {}, None, None),
+        ("unicode", {}, None, None),
+        ("accents", {}, None, None),
+        ("numerize", {}, "hundred " * 15, "hundred " * 15),
+        ("numerize", {}, "two and a half", "2.5"),
+        ("numerize", {}, "two and one third, seventy-five", "2.33333, 75"),
         ("numerize", {}, "forty-two", "42"),
         ("numerize", {}, "four hundred and sixty two", "462"),
         ("numerize", {}, "one fifty", "150"),
@@ -172,3 +180,25 @@ def test_workflow(spark, tmp_path):
     for bad in ({"what": {}}, {"text": {"steps": ["x"]}}, {"ner": {"x": True}}, {"causal": {"kind": "x"}}, {"graph": {"nodes": [{"file": "a"}]}}):
         with pytest.raises(ValueError):
             workflow.Workflow.check(bad)
+
+
+def test_a_taxonomy_of_many_levels_and_one_with_a_cycle(spark):
+    deep = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(70)], "child string, parent string")
+    assert similarity.ancestors(deep).filter("node = 'n0'").agg({"up": "max"}).first()[0] == 70
+    with pytest.raises(ValueError):
+        similarity.ancestors(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b")], "child string, parent string"))
+
+
+def test_tables_on_a_cluster_need_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from relispan.plans.shared import drop_table, shared_dir, shared_table
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(far)
+    table = shared_table(spark.range(3))
+    assert table.count() == 3
+    drop_table(table)
+    with pytest.raises(Exception):
+        spark.read.parquet(*table.inputFiles()).count()
