@@ -9,7 +9,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN = r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*|[^\sA-Za-z0-9]"
@@ -36,25 +36,43 @@ def patterns(entries: DataFrame) -> DataFrame:
 def match_entities(docs: DataFrame, dictionary: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Entities of a dictionary in texts, overlaps resolved.
 
-    A text's distinct words meet the dictionary by first word; only then are the places compared. Dictionary words that
-    are frequent in texts multiply rows no more than they occur.
+    Runs of as many words as the dictionary's entries have meet these by equality; only the runs themselves go to the
+    join, not the texts around them.
     """
-    lowered = docs.select(F.col(id_column).alias("doc_id"), F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)).alias("t"))
-    firsts = dictionary.groupBy("w0").agg(F.collect_set(F.struct("label", "ent_id", "words", "n")).alias("entries"))
-    near = lowered.select("doc_id", "t", F.posexplode("t").alias("i", "w")).join(firsts, F.col("w") == F.col("w0"))
-    hits = near.select("doc_id", "t", "i", F.explode("entries").alias("e")).filter(F.slice("t", F.col("i") + 1, F.col("e.n")) == F.col("e.words"))
-    spans = hits.select("doc_id", F.col("i").alias("start"), (F.col("i") + F.col("e.n")).alias("end"), F.array_join("e.words", " ").alias("text"), "e.label", "e.ent_id")
-    return filter_spans(spans)
+    sizes = sorted(r[0] for r in dictionary.select("n").distinct().collect())  # a few lengths
+    if not sizes:
+        sizes = [1]
+    entries = dictionary.select("label", "ent_id", "n", F.array_join("words", " ").alias("gram")).distinct()
+    t = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    lowered = docs.select(F.col(id_column).alias("doc_id"), t.alias("t"))
+    runs = None
+    for n in sizes:
+        if n == 1:
+            part = lowered.select("doc_id", F.posexplode("t").alias("start", "gram"))
+        else:
+            starts = F.when(F.size("t") >= n, F.sequence(F.lit(0), F.size("t") - n)).otherwise(F.array().cast("array<int>"))
+            part = lowered.select("doc_id", "t", F.explode(starts).alias("start")).select("doc_id", "start", F.array_join(F.slice("t", F.col("start") + 1, F.lit(n)), " ").alias("gram"))
+        part = part.withColumn("n", F.lit(n))
+        runs = part if runs is None else runs.unionByName(part)
+    hits = runs.join(entries, ["n", "gram"])
+    return filter_spans(hits.select("doc_id", "start", (F.col("start") + F.col("n")).alias("end"), F.col("gram").alias("text"), "label", "ent_id"))
 
 
 def filter_spans(spans: DataFrame) -> DataFrame:
-    """Of overlapping spans of a document the longest stays, of equal ones the first (then by label and id)."""
+    """Of overlapping spans of a document the longest stays, of equal ones the first (then by label and id).
+
+    Spans that overlap, if only over others, are settled together; all else stays as it is.
+    """
+    w = Window.partitionBy("doc_id").orderBy("start", "end", "label", "ent_id", "text")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    parted = spans.withColumn("new", (F.col("start") >= F.coalesce(before, F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(w))
     row = F.struct((F.col("start") - F.col("end")).alias("k"), "start", "label", "ent_id", "end", "text")
-    each = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(row)).alias("s"))
+    each = parted.groupBy("doc_id", "run").agg(F.sort_array(F.collect_set(row)).alias("s"))
     start = F.lit(None).cast("array<struct<k:int,start:int,label:string,ent_id:string,end:int,text:string>>")
     start = F.coalesce(start, F.array().cast("array<struct<k:int,start:int,label:string,ent_id:string,end:int,text:string>>"))
     free = lambda acc, x: ~F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    kept = F.aggregate("s", start, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    settled = F.aggregate("s", start, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    kept = F.when(F.size("s") == 1, F.col("s")).otherwise(settled)
     return each.select("doc_id", F.explode(kept).alias("e")).select("doc_id", "e.start", "e.end", "e.text", "e.label", "e.ent_id")
 
 
@@ -81,11 +99,18 @@ TEMPORAL = "|".join(
     [
         r"\d{4}-\d{1,2}-\d{1,2}",
         r"\d{1,2}/\d{1,2}/\d{2,4}",
+        r"\d{4}/\d{1,2}/\d{1,2}",
+        r"\d{1,2}-\d{1,2}-\d{2,4}",
         r"\d{1,2}/\d{4}",
+        r"\d{1,2}/\d{1,2}",
         rf"\d{{1,2}}(?:st|nd|rd|th)? {_MONTH}(?:,? \d{{4}})?",
         rf"{_MONTH} \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}}",
         rf"{_MONTH} (?:{_ORDINAL}|\d{{4}}|\d{{1,2}}(?:st|nd|rd|th)?)",
         r"\d+ (?:second|minute|hour|day|week|month|year)s?",
+        r"(?:last|next|past|previous|following|this) (?:second|minute|hour|day|night|week|weekend|month|quarter|year|spring|summer|autumn|fall|winter)",
+        r"(?:yesterday|today|tomorrow|tonight)",
+        r"(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d)?(?: ?[ap]m)?",
+        r"(?:1[0-2]|[1-9]) ?[ap]m",
     ]
 )
 #: Unit words by kind of quantity; time is left out as it is none here.

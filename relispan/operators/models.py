@@ -18,7 +18,7 @@ class AnomalyModel:
 
     def fit(self, series: DataFrame, other: DataFrame | None = None) -> AnomalyModel:
         """Fit the scaling on a series (series_id, i, v), and score it; ``other`` is an annotated series to compare with."""
-        self.columns = sorted(r[0] for r in series.select("series_id").distinct().collect())
+        self.columns = series.select("series_id").distinct()
         self.scale = timeseries.fit_scale(series, self.norm)
         self.other = other
         self.history = series
@@ -26,8 +26,9 @@ class AnomalyModel:
 
     def evaluate(self, series: DataFrame) -> AnomalyModel:
         """Add later samples of the same series, scaled as the first ones."""
-        if sorted(r[0] for r in series.select("series_id").distinct().collect()) != self.columns:
-            raise ValueError(f"expected the series {self.columns}")
+        now = series.select("series_id").distinct()
+        if not now.join(self.columns, "series_id", "left_anti").isEmpty() or not self.columns.join(now, "series_id", "left_anti").isEmpty():
+            raise ValueError("expected the series of the first samples")
         self.history = self.history.unionByName(series)
         return self
 

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relispan.plans.shared import shared_table
+
 TILE = 2048  # subsequences to a side of a tile: a tile's distances take 32 MB
 
 
@@ -82,8 +84,8 @@ def matrix_profile(series: DataFrame, m: int, other: DataFrame | None = None, zn
     Each pair of blocks is a task of its own, so that one long series spreads over the cluster.
     """
     zone = math.ceil(m / zone_denominator)
-    left = _tiles(series, m, "a", tile)
-    right = _tiles(other if other is not None else series, m, "b", tile)
+    left = shared_table(_tiles(series, m, "a", tile), "tiles")  # read several times; what it is made from is read once
+    right = left.withColumn("role", F.lit("b")) if other is None else shared_table(_tiles(other, m, "b", tile), "tiles")
     counts = right.groupBy("series_id").agg(F.max("block").alias("last_b"))
     lasts = left.groupBy("series_id").agg(F.max("block").alias("last_a"))
     a = left.join(counts, "series_id").select("series_id", "role", "values", F.col("block").alias("ab"), F.explode(F.sequence(F.lit(0), F.col("last_b"))).alias("bb"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TILE = 1024
@@ -97,13 +98,26 @@ def mmd_unbiased(k: np.ndarray, m: int) -> float:
     return float((x.sum() - np.trace(x)) / (m * (m - 1)) + (y.sum() - np.trace(y)) / (n * (n - 1)) - 2 * xy.mean())
 
 
+@lru_cache(maxsize=8)
+def _permuted(n: int, m: int, iterations: int, seed: int) -> np.ndarray:
+    """A row for each iteration: 1 for the m places of the first sample, 0 for others."""
+    draw = np.random.RandomState(seed)
+    out = np.zeros((iterations, n))
+    for row in out:
+        row[draw.permutation(n)[:m]] = 1
+    return out
+
+
 def permutation_test(x, y, name: str = "rbf", iterations: int = 200, seed: int = 0, thin: int = 1, **options) -> dict:
     """Statistic, p-value (no less than 1 / iterations), null distribution, bound and Chebyshev's decision of two samples."""
     x, y = np.atleast_2d(np.asarray(x, float).T).T[::thin], np.atleast_2d(np.asarray(y, float).T).T[::thin]
     k = kernel(name, np.vstack([x, y]), np.vstack([x, y]), **options)
     stat, m = mmd_unbiased(k, len(x)), len(x)
-    draw = np.random.RandomState(seed)
-    null = np.array([mmd_unbiased(k[np.ix_(o, o)], m) for o in (draw.permutation(len(k)) for _ in range(iterations))])
+    a = _permuted(len(k), m, iterations, seed)  # all iterations in three products
+    b, n = 1 - a, len(k) - m
+    ka, trace = a @ k, np.diag(k)
+    xx, yy, xy = (ka * a).sum(1) - a @ trace, ((b @ k) * b).sum(1) - b @ trace, (ka * b).sum(1)
+    null = xx / (m * (m - 1)) + yy / (n * (n - 1)) - 2 * xy / (m * n)
     return {
         "statistic": stat,
         "p_value": max(1 / iterations, float((null > stat).mean())),
@@ -113,14 +127,79 @@ def permutation_test(x, y, name: str = "rbf", iterations: int = 200, seed: int =
     }
 
 
-def hash_permutations(rows: DataFrame, iterations: int) -> DataFrame:
-    """(iteration, id, side): the sides dealt anew ``iterations`` times, in the order of md5(iteration:id)."""
-    from pyspark.sql import Window
+def hash_permutations(rows: DataFrame, iterations: int, bucket_rows: int = 4096) -> DataFrame:
+    """(iteration, id, side): the sides dealt anew ``iterations`` times, in the order of md5(iteration:id).
 
-    dealt = rows.select("id", "side", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iteration"))
-    order = Window.partitionBy("iteration").orderBy(F.md5(F.concat_ws(":", F.col("iteration").cast("string"), F.col("id").cast("string"))))
-    first = dealt.groupBy("iteration").agg(F.sum((F.col("side") == 0).cast("int")).alias("m"))
-    return dealt.withColumn("r", F.row_number().over(order)).join(first, "iteration").select("iteration", "id", F.when(F.col("r") <= F.col("m"), 0).otherwise(1).alias("side"))
+    Ranks are counted within buckets of the hash's first digits, and the buckets' sizes are summed, so that no task
+    sorts a whole sample.
+    """
+    digits = max(0, math.ceil(math.log(max(1, rows.count()) / bucket_rows, 16)))
+    hashed = F.md5(F.concat_ws(":", F.col("iteration").cast("string"), F.col("id").cast("string")))
+    dealt = rows.select("id", "side", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iteration")).withColumn("h", hashed)
+    dealt = dealt.withColumn("bucket", F.substring("h", 1, digits) if digits else F.lit(""))
+    sizes = dealt.groupBy("iteration", "bucket").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("iteration").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("iteration", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    first = rows.filter("side = 0").count()
+    rank = F.row_number().over(Window.partitionBy("iteration", "bucket").orderBy("h", "id")) + F.col("before")
+    ranked = dealt.join(sizes, ["iteration", "bucket"]).withColumn("r", rank)
+    return ranked.select("iteration", "id", F.when(F.col("r") <= first, 0).otherwise(1).alias("side"))
+
+
+def null_statistics(rows: DataFrame, permutations: DataFrame, name: str = "rbf", gamma: float = 1.0, degree: int = 3, constant: float = 1.0, tile: int = TILE) -> DataFrame:
+    """(iteration, m, n, mmd_u): the unbiased squared discrepancy of rows (id, side, x array), as iteration 0, and of each
+    of the given ``permutations`` (iteration, id, side).
+
+    Each row carries its sides in all iterations. Rows are dealt to blocks by a hash, each pair of blocks is a task, and
+    only sums leave it; kernel values are worked out once for all iterations. An id that an iteration lacks, or ids
+    that repeat, are refused by a failing check of the counts.
+    """
+    every = permutations.select("iteration", "id", "side").unionByName(rows.select(F.lit(0).alias("iteration"), "id", "side"))
+    wide = every.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("iteration", "side"))).alias("s"))
+    numbers = [r[0] for r in every.select("iteration").distinct().orderBy("iteration").collect()]  # one an iteration
+    good = F.transform("s", lambda x: x["iteration"]) == F.array(*[F.lit(i) for i in numbers])
+    sides = F.when(good, F.transform("s", lambda x: x["side"].cast("int"))).otherwise(F.raise_error(F.lit("an iteration must hold each id once")))
+    blocks = max(1, math.ceil(rows.count() / tile))
+    placed = rows.select("id", "x").join(wide.select("id", sides.alias("sides")), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    others = F.sequence(F.lit(0), F.lit(blocks - 1))
+    a = placed.withColumn("other", F.explode(others)).select(F.col("block").alias("ab"), F.col("other").alias("bb"), F.lit(True).alias("first"), "id", "x", "sides")
+    b = placed.withColumn("other", F.explode(others)).select(F.col("other").alias("ab"), F.col("block").alias("bb"), F.lit(False).alias("first"), "id", "x", "sides")
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x, y = part[part["first"]], part[~part["first"]]
+        out = pd.DataFrame({"iteration": np.array(numbers, np.int32)})
+        if not len(x) or not len(y):
+            return out.assign(**dict.fromkeys(("xx", "yy", "xy", "m", "n"), 0.0))
+        k = kernel(name, np.stack(x["x"].to_list()), np.stack(y["x"].to_list()), gamma, degree, constant)
+        k = np.where(x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :], 0.0, k)
+        u, v = (np.stack(s["sides"].to_list()).astype(float) for s in (x, y))
+        ones = [((1 - u) * (k @ (1 - v))).sum(0), (u * (k @ v)).sum(0)]
+        own = key[0] == key[1]
+        cross = ((1 - u) * (k @ v)).sum(0)
+        return out.assign(xx=ones[0], yy=ones[1], xy=cross, m=(1 - u).sum(0) if own else 0.0, n=u.sum(0) if own else 0.0)
+
+    each = a.unionByName(b).groupBy("ab", "bb").applyInPandas(run, "iteration int, xx double, yy double, xy double, m double, n double")
+    sums = each.groupBy("iteration").agg(*[F.sum(c).alias(c) for c in ("xx", "yy", "xy", "m", "n")])
+    m, n = F.col("m"), F.col("n")
+    stat = F.col("xx") / (m * (m - 1)) + F.col("yy") / (n * (n - 1)) - 2 * F.col("xy") / (m * n)
+    return sums.select("iteration", m.cast("bigint").alias("m"), n.cast("bigint").alias("n"), stat.alias("mmd_u"))
+
+
+def two_sample_test(statistics: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """(iterations, statistic, p_value, null_mean, null_deviation, chebyshev_accepts) from ``null_statistics``; one row.
+
+    The p-value is the share of iterations with a larger statistic, no less than one of them.
+    """
+    null, own = F.col("iteration") > 0, F.col("iteration") == 0
+    wide = statistics.crossJoin(F.broadcast(statistics.filter(own).select(F.col("mmd_u").alias("statistic")))).filter(null)  # one row
+    found = wide.groupBy("statistic").agg(
+        F.count("*").alias("iterations"),
+        F.avg((F.col("mmd_u") > F.col("statistic")).cast("double")).alias("share"),
+        F.avg("mmd_u").alias("null_mean"),
+        F.stddev_pop("mmd_u").alias("null_deviation"),
+    )
+    accepts = chebyshev(F.col("statistic"), F.col("null_mean"), F.col("null_deviation"), alpha)
+    return found.select("iterations", "statistic", F.greatest(1 / F.col("iterations"), "share").alias("p_value"), "null_mean", "null_deviation", accepts.alias("chebyshev_accepts"))
 
 
 def chebyshev(stat: Column, mean: Column, deviation: Column, alpha: float) -> Column:

@@ -142,7 +142,7 @@ def event_tscore(read):
 @query()
 def event_series_relation(read):
     s = hourly(read)
-    return twosample.event_relations(s, _peaks(s, "week"), M, samples=20, iterations=50)
+    return twosample.event_relations(s, _peaks(s, "day"), M)
 
 
 @query(f"{S} SELECT series_id, i, round(v, 6) AS v FROM s WHERE i % 7 = 0")
@@ -193,6 +193,34 @@ def mmd_permutation(read):
     return twosample.hash_permutations(_sides(read), 20)
 
 
+_NULL = """WITH v AS (SELECT vec_id AS id, label AS side, list_transform(embedding, lambda e: e::DOUBLE) AS x FROM embeddings WHERE label IN (0, 1)),
+p AS (SELECT k, id, row_number() OVER (PARTITION BY k ORDER BY md5(k || ':' || id)) AS r FROM v, range(1, 21) t(k)),
+q AS (SELECT k AS iteration, id, CASE WHEN r <= (SELECT count(*) FROM v WHERE side = 0) THEN 0 ELSE 1 END AS side FROM p UNION ALL SELECT 0, id, side FROM v),
+kk AS (SELECT a.id AS a, b.id AS b, exp(-0.5 * list_distance(a.x, b.x) * list_distance(a.x, b.x)) AS k FROM v a, v b),
+z AS (SELECT s.iteration, sum(k) FILTER (s.side = 0 AND t.side = 0) AS xx, sum(k) FILTER (s.side = 1 AND t.side = 1) AS yy, sum(k) FILTER (s.side = 0 AND t.side = 1) AS xy, count(*) FILTER (a = b AND s.side = 0) AS m, count(*) FILTER (a = b AND s.side = 1) AS n
+  FROM kk JOIN q s ON s.id = kk.a JOIN q t ON t.id = kk.b AND t.iteration = s.iteration GROUP BY 1),
+d AS (SELECT iteration, (xx - m) / (m * (m - 1)) + (yy - n) / (n * (n - 1)) - 2 * xy / (m * n) AS mmd_u FROM z)"""
+
+
+def _nulls(read):
+    rows = _sides(read)
+    return twosample.null_statistics(rows, twosample.hash_permutations(rows, 20), "rbf", gamma=GAMMA)
+
+
+@query(f"{_NULL} SELECT CAST(iteration AS INTEGER) AS iteration, round(mmd_u, 6) AS mmd_u FROM d")
+def mmd_null(read):
+    return _nulls(read).select("iteration", r6("mmd_u", "mmd_u"))
+
+
+@query(
+    f"{_NULL}, s AS (SELECT mmd_u FROM d WHERE iteration = 0) SELECT count(*) AS iterations, round((SELECT mmd_u FROM s), 6) AS statistic, round(greatest(1 / count(*), avg(CASE WHEN mmd_u > (SELECT mmd_u FROM s) THEN 1.0 ELSE 0.0 END)), 6)::DOUBLE AS p_value, "
+    "round(avg(mmd_u), 6) AS null_mean, abs((SELECT mmd_u FROM s) - avg(mmd_u)) < stddev_pop(mmd_u) / sqrt(0.05) AS chebyshev_accepts FROM d WHERE iteration > 0"
+)
+def mmd_p_value(read):
+    found = twosample.two_sample_test(_nulls(read))
+    return found.select("iterations", r6("statistic", "statistic"), r6("p_value", "p_value"), r6("null_mean", "null_mean"), "chebyshev_accepts")
+
+
 # ---- property graph
 
 NODES = """
