@@ -25,7 +25,7 @@ from relispan.llm.blocks import gear_cuts, map_texts, slices, text_bytes
 
 TABLE_CHUNKS = 8192  # shared chunks in the table, each of CHUNK_MOST bytes at most: 64 MB
 CHUNK_ONE_IN, CHUNK_LEAST, CHUNK_MOST = 1024, 256, 8192
-KEPT_PIECES = 400_000  # about 80 MB in a Python worker
+KEPT_PIECES = 400_000  # in two generations, about 80 MB in a Python worker
 BATCH = 256
 SPACES = b" \t\n\r\x0b\x0c"
 
@@ -55,6 +55,7 @@ class Encoder:
         mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.kept: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _without_rules(self):
         """The same model for words of small letters a-z, which normalisation and the splitting rule leave whole.
@@ -72,9 +73,13 @@ class Encoder:
 
     def learn(self, pieces: set[bytes]) -> None:
         """Have the ids of all these pieces at hand."""
-        if len(self.kept) > KEPT_PIECES:
-            self.kept.clear()
+        if len(self.kept) > KEPT_PIECES // 2:  # pieces that no text has had since the last time go
+            self.kept, self.older = {}, self.kept
         new = pieces - self.kept.keys()
+        known = new & self.older.keys()
+        for p in known:
+            self.kept[p] = self.older[p]
+        new -= known
         # a word of letters has one token that ends a word, its last
         if self.plain is not None:
             self._learn([p for p in new if p.isalpha() and p.islower()], " ", self.word_ends, self.plain)
@@ -107,6 +112,10 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def whole(self, text: bytes) -> bytes:
+        """The ids of a text as the library gives them for it as a whole."""
+        return self._ids(text.decode("utf-8", "replace"))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [pieces_of(t) for t in texts]
@@ -181,25 +190,51 @@ def parts(chunk: bytes) -> tuple[bytes, bytes, bytes] | None:
 def assemble(texts: list[bytes], table: dict[bytes, bytes], enc: Encoder) -> list[bytes]:
     """The ids of whole texts from the table's chunks and from what is encoded here.
 
-    ``table``: the ids of the middle part of each shared chunk.
+    ``table``: the ids of the middle part of each shared chunk. Every join with such a chunk is encoded again by the
+    library itself, with the words on both sides of it: where it doesn't give the ids that were put together, more
+    words are taken, until both agree or all of the text has been encoded as a whole.
     """
     plans, fresh = [], []
     for text in texts:
-        plan: list[tuple[bool, bytes]] = []
+        plan: list[tuple[bytes, bytes | None]] = []  # a part of the text, and its ids if the table has them
         held = b""  # bytes that aren't encoded yet: they may go on in the next chunk
         for chunk in chunks(text):
             ids = table.get(chunk)
             if ids is None:
                 held += chunk
                 continue
-            head, _, tail = parts(chunk)
-            plan += [(False, held + head), (True, ids)]
+            head, middle, tail = parts(chunk)
+            plan += [(held + head, None), (middle, ids)]
             held = tail
-        plan.append((False, held))
+        plan.append((held, None))
         plans.append(plan)
-        fresh += [x for known, x in plan if not known]
+        fresh += [x for x, ids in plan if ids is None]
     made = iter(enc.encode(fresh))
-    return [b"".join(x if known else next(made) for known, x in plan) for plan in plans]
+    out = []
+    for text, plan in zip(texts, plans, strict=True):
+        filled = [(x, next(made) if ids is None else ids) for x, ids in plan]
+        joined = b"".join(ids for _, ids in filled)
+        if len(filled) > 1:
+            joined = repaired(text, filled, joined, enc)
+        out.append(joined)
+    return out
+
+
+def repaired(text: bytes, filled: list[tuple[bytes, bytes]], joined: bytes, enc: Encoder) -> bytes:
+    """``joined`` if the library agrees around each join of the parts ``filled`` (bytes, ids), else what it gives for a
+    window around the join, for a wider one, and in the end for the whole text."""
+    for k in range(len(filled) - 1):
+        words = 1
+        while True:
+            left, right = filled[k][0].split()[-words:], filled[k + 1][0].split()[:words]
+            window = b" ".join(left) + (b" " if left and right else b"") + b" ".join(right)
+            apart = b"".join(enc.encode([b" ".join(left)]) + enc.encode([b" ".join(right)]))
+            if enc.whole(window) == apart and filled[k][1].endswith(enc.encode([b" ".join(left)])[0]) and filled[k + 1][1].startswith(enc.encode([b" ".join(right)])[0]):
+                break
+            if words >= max(len(filled[k][0]), len(filled[k + 1][0])):
+                return enc.whole(text)
+            words *= 8
+    return joined
 
 
 def shared_chunks(docs: DataFrame, path: str, table_chunks: int = TABLE_CHUNKS) -> dict[bytes, bytes]:
