@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from relispan.llm.blocks import hashes, map_texts, set_aside, word_runs
 from relispan.llm.langid import held_out
 
-TRAIN_DOCS = 2500  # labelled documents at most, chosen by a hash of their ids
+TRAIN_DOCS = 2500  # labelled rows at most, chosen by a hash of their ids and texts
+TRAIN_MOST = 1000  # lines that a text may have to be trained on; the sample's figures take 140 MB at most. All are scored
 TRAIN_LINES = 64  # training texts are parted into sequences of so many lines; all are used
 ROUNDS = 150
 _SYMBOLS = b"!\"#$%&*+/<=>@[\\]^_`{|}~"
@@ -206,14 +207,17 @@ def fit(texts_figures: list[tuple[np.ndarray, np.ndarray, int]]) -> Chain:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_column: str = "doc_id") -> Chain:
-    """A chain from documents and their labels; at most ``train_docs`` labels are used, chosen by a hash of the id.
+    """A chain from documents and their labels; at most ``train_docs`` rows are used, chosen by a hash, of texts of
+    ``TRAIN_MOST`` lines at most.
 
-    Rows without id or label are left out; of several labels of one id the smallest counts. Without any label every
-    text scores one half.
+    Rows without id or label are left out; of several labels of one id the smallest counts, and rows of one id share it.
+    Without any label every text scores one half.
     """
     one = labels.filter(F.col(id_column).isNotNull() & F.col("quality").isin(0, 1)).groupBy(id_column).agg(F.min("quality").alias("quality"))
     some = one.orderBy(F.xxhash64(id_column, F.lit("train")), id_column).limit(train_docs)
     rows = docs.select(id_column, "text").join(F.broadcast(some), id_column)
+    lines = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\n]", ""))
+    rows = rows.filter(lines < TRAIN_MOST).orderBy(F.xxhash64(id_column, "text"), id_column).limit(train_docs)
 
     def run(texts: list[bytes]) -> list[pa.Array]:
         own, length, per_text = line_figures(texts)
