@@ -67,6 +67,37 @@ def phrase_status(sentences: DataFrame, entity: str) -> DataFrame:
     return found.select("doc_id", "sent", F.trim(F.when(F.col("at") == 1, rest).otherwise(other)).alias("status"))
 
 
+def entity_status(sentences: DataFrame, entities: DataFrame, negations: list[str], conjectures: list[str]) -> DataFrame:
+    """(doc_id, sent, entity, i, status, negated, conjecture) of entities (word, alias) in sentences (doc_id, sent, text).
+
+    For short notes without clauses, by place and words alone. A leading entity's status is what follows it. Behind
+    others, one with an alias has the sentence with the alias in its place; one without has the sentence without it if it
+    is the only entity there, else null. Negation and conjecture are the sentence's.
+    """
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    s = sentences.select("doc_id", "sent", words.alias("t"))
+    known = entities.groupBy(F.lower("word").alias("entity")).agg(F.min("alias").alias("alias"))
+    met = s.select("doc_id", "sent", "t", F.posexplode("t").alias("i", "entity")).join(known, "entity")
+    many = met.groupBy("doc_id", "sent").agg(F.count("*").alias("many"))
+    has = lambda held: F.arrays_overlap("t", F.array(*[F.lit(w) for w in held]))
+    rest = F.slice("t", F.col("i") + 2, F.size("t"))
+    named = F.transform("t", lambda w: F.when(w == F.col("entity"), F.col("alias")).otherwise(w))
+    other = F.filter("t", lambda w: w != F.col("entity"))
+    status = F.when(F.col("i") == 0, rest).when(F.col("alias").isNotNull(), named).when(F.col("many") == 1, other)
+    return met.join(many, ["doc_id", "sent"]).select("doc_id", "sent", "entity", "i", F.array_join(status, " ").alias("status"), has(negations).alias("negated"), has(conjectures).alias("conjecture"))
+
+
+def entity_sequences(words: DataFrame, entities: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(doc_id, sent, sequence) of sentences with causal keywords (keyword): entities (word) and keywords, the latter in
+    brackets, in order of place."""
+    known = entities.select(F.col("word").alias("w"), F.lit(False).alias("key")).unionByName(keywords.select(F.col("keyword").alias("w"), F.lit(True).alias("key")))
+    known = known.groupBy("w").agg(F.max("key").alias("key"))
+    met = words.join(known, F.col("word") == F.col("w"))
+    shown = F.when(F.col("key"), F.concat(F.lit("["), "word", F.lit("]"))).otherwise(F.col("word"))
+    made = met.groupBy("doc_id", "sent").agg(F.max("key").alias("any"), F.sort_array(F.collect_list(F.struct("i", shown.alias("w")))).alias("s"))
+    return made.filter("any").select("doc_id", "sent", F.transform("s", lambda x: x["w"]).alias("sequence"))
+
+
 _SUBJECT = ("nsubj", "nsubjpass", "csubj")
 _OBJECT = ("dobj", "pobj", "obj", "iobj")
 

@@ -173,6 +173,65 @@ def corrections(words: DataFrame, known: DataFrame, distance: int = 2) -> DataFr
     return best.select("word", F.col("b.known").alias("correction"), F.col("b.d").cast("int").alias("distance"))
 
 
+def correct_text(docs: DataFrame, fixes: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """(doc_id, text) with the words of a table (word, correction) replaced; what stands between words stays as it is.
+
+    Words that begin with a capital keep it. Texts without such words stay whole.
+    """
+    pattern = "[A-Za-z0-9]+"
+    each = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("t"), F.monotonically_increasing_id().alias("row"))
+    words = each.select("doc_id", "row", F.posexplode(F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).alias("i", "w"))
+    known = fixes.groupBy(F.lower("word").alias("k")).agg(F.min("correction").alias("fix"))
+    met = words.join(known, F.lower("w") == F.col("k"))
+    put = F.when(F.col("w").rlike("^[A-Z]"), F.concat(F.upper(F.substring("fix", 1, 1)), F.substring(F.col("fix"), F.lit(2), F.length("fix")))).otherwise(F.col("fix"))
+    table = met.groupBy("doc_id", F.col("w")).agg(F.min(put).alias("put")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "put"))).alias("fixes"))
+    joined = each.join(table, "doc_id", "left")
+    own = F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
+    put = F.transform(own, lambda w: F.coalesce(F.try_element_at("fixes", w), w))
+    whole = F.array_join(F.zip_with(F.split("t", pattern, -1), put, lambda gap, w: F.concat(gap, F.coalesce(w, F.lit("")))), "")
+    return joined.select("doc_id", F.when(F.col("fixes").isNull(), F.col("t")).otherwise(whole).alias("text"))
+
+
+def fuzzy_lookup(words: DataFrame, dictionary: DataFrame, least: float = 0.8) -> DataFrame:
+    """(word, entry, ratio): of a dictionary (entry) the entry most like each word (word), if the ratio of matching parts
+    is ``least`` or more; ties by entry.
+
+    Words and entries meet by a part of three letters that both hold, so that nothing meets all; with ratios of 0.8 and
+    more of words of six letters and more none is missed but where edits are spread evenly.
+    """
+    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(3)))))
+    w = words.select("word").distinct().select("word", grams("word").alias("g"))
+    d = dictionary.select("entry").distinct().select("entry", grams("entry").alias("g"))
+    met = w.join(d, "g").select("word", "entry").distinct()
+    scored = met.withColumn("ratio", fuzzy_ratio(F.col("word"), F.col("entry"))).filter(F.col("ratio") >= least)
+    best = scored.groupBy("word").agg(F.min(F.struct((-F.col("ratio")).alias("k"), "entry")).alias("b"))
+    return best.select("word", F.col("b.entry").alias("entry"), (-F.col("b.k")).alias("ratio"))
+
+
+def abbreviation_options(texts: DataFrame, pairs: DataFrame, most: int = 64, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """(doc_id, option, words): the ways to spell out the abbreviations of a text, numbered from 0.
+
+    Abbreviations with several long forms give a way for each; their product is bounded by ``most``: texts with more are
+    refused, as no list of them would be of use.
+    """
+    known = abbreviation_map(pairs).select(F.col("abbreviation").alias("w"), "fulls")
+    words = texts.select(F.col(id_column).alias("doc_id"), F.posexplode(F.split(F.lower(text), r"\s+")).alias("i", "w"))
+    forms = words.join(known, "w", "left").select("doc_id", "i", F.coalesce("fulls", F.array("w")).alias("forms"))
+    each = forms.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("i", "forms"))).alias("s"))
+    number = F.aggregate("s", F.lit(1).cast("bigint"), lambda acc, x: F.least(acc * F.size(x["forms"]), F.lit(1 << 31).cast("bigint")))
+    each = each.withColumn("n", number)
+    checked = F.when(F.col("n") > most, F.raise_error(F.lit(f"a text has over {most} ways to spell it out"))).otherwise(F.col("n"))
+    ways = each.select("doc_id", "s", F.explode(F.sequence(F.lit(0).cast("bigint"), checked - 1)).alias("option"))
+    start = F.struct(F.col("option").alias("left"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        size = F.size(x["forms"])
+        pick = F.get(x["forms"], (acc["left"] % size).cast("int"))
+        return F.struct(F.floor(acc["left"] / size).alias("left"), F.concat(acc["out"], F.array(pick)).alias("out"))
+
+    return ways.select("doc_id", F.col("option").cast("int").alias("option"), F.aggregate("s", start, step, lambda acc: acc["out"]).alias("words"))
+
+
 def abbreviation_map(pairs: DataFrame) -> DataFrame:
     """(abbreviation, fulls): all long forms of each abbreviation, both trimmed and in small letters."""
     p = pairs.select(F.lower(F.trim("abbreviation")).alias("abbreviation"), F.lower(F.trim("full")).alias("full"))

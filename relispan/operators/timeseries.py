@@ -195,3 +195,11 @@ def t_scores(windows: DataFrame) -> DataFrame:
 def thin(series: DataFrame, step: int) -> DataFrame:
     """Every step-th sample of each series, from the first."""
     return series.filter(F.col("i") % step == 0)
+
+
+def resample(series: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """(series_id, i, v): ``n`` samples of each series drawn with replacement, at places by a seeded hash."""
+    size = series.groupBy("series_id").agg(F.max("i").alias("last"))
+    drawn = size.select("series_id", "last", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("k"))
+    drawn = drawn.select("series_id", F.col("k"), F.pmod(F.xxhash64("series_id", "k", F.lit(seed)), F.col("last") + 1).alias("i"))
+    return drawn.join(series.select("series_id", "i", "v"), ["series_id", "i"]).select("series_id", F.col("k").alias("i"), "v")

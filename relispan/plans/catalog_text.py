@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from relispan.functions import clean as C
 from relispan.operators import annotate, causal, entities, similarity
 from relispan.plans.catalog import query, r6
+from relispan.plans.workflow import CONJECTURES, NEGATIONS
 
 # ---- cleaning
 
@@ -288,6 +289,39 @@ def causal_sequences(read):
     return found.select("doc_id", "sent", F.array_join("sequence", " ").alias("sequence"))
 
 
+@query(
+    f"{_LEX}, k AS (SELECT word, CASE WHEN r % 2 = 0 THEN 'the ' || word END AS alias FROM top WHERE r BETWEEN 11 AND 60), m AS (SELECT c.doc_id, c.sent, t, i - 1 AS i, t[i] AS entity FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM c) c), "
+    "e AS (SELECT m.*, alias, count(*) OVER (PARTITION BY doc_id, sent) AS many FROM m JOIN k ON entity = word) "
+    "SELECT doc_id, sent, entity, CAST(i AS INTEGER) AS i, CASE WHEN i = 0 THEN array_to_string(t[2:], ' ') WHEN alias IS NOT NULL THEN array_to_string(list_transform(t, lambda w: CASE WHEN w = entity THEN alias ELSE w END), ' ') "
+    "WHEN many = 1 THEN array_to_string(list_filter(t, lambda w: w <> entity), ' ') END AS status, list_has_any(t, ['not', 'no', 'never']) AS negated, list_has_any(t, ['possible', 'likely', 'may', 'should', 'could']) AS conjecture FROM e"
+)
+def simple_status(read):
+    top = _top(read, 11, 60)
+    known = top.select("word", F.when(F.col("r") % 2 == 0, F.concat(F.lit("the "), "word")).alias("alias"))
+    return causal.entity_status(_sentences(read), known, NEGATIONS, CONJECTURES)
+
+
+@query(
+    f"{_LEX}, m AS (SELECT x.*, word IN (SELECT keyword FROM rel) AS key FROM x WHERE word IN (SELECT word FROM ent) OR word IN (SELECT keyword FROM rel)) "
+    "SELECT doc_id, sent, string_agg(CASE WHEN key THEN '[' || word || ']' ELSE word END, ' ' ORDER BY i) AS sequence FROM m GROUP BY 1, 2 HAVING bool_or(key)"
+)
+def simple_sequences(read):
+    ent, rel = _lexicons(read)
+    found = causal.entity_sequences(causal.sentence_words(_sentences(read)), ent, rel)
+    return found.select("doc_id", "sent", F.array_join("sequence", " ").alias("sequence"))
+
+
+@query(
+    f"{FREQ}, f AS (SELECT word, 'w' || r AS fix FROM top WHERE r BETWEEN 5 AND 40) "
+    "SELECT item_id AS doc_id, md5(string_agg(g || CASE WHEN fix IS NULL THEN w WHEN regexp_matches(w, '^[A-Z]') THEN upper(fix[1]) || substr(fix, 2) ELSE fix END, '' ORDER BY i)) AS corrected "
+    "FROM (SELECT item_id, i, gaps[i] AS g, coalesce(ws[i], '') AS w FROM (SELECT item_id, string_split_regex(text, '[A-Za-z0-9]+') AS gaps, regexp_extract_all(text, '[A-Za-z0-9]+') AS ws, unnest(range(1, len(string_split_regex(text, '[A-Za-z0-9]+')) + 1)) AS i FROM benchmark)) z LEFT JOIN f ON lower(z.w) = f.word GROUP BY 1"
+)
+def spell_correct(read):
+    fixes = _top(read, 5, 40).select("word", F.concat(F.lit("w"), F.col("r").cast("string")).alias("correction"))
+    fixed = entities.correct_text(read("benchmark"), fixes, id_column="item_id")
+    return fixed.select("doc_id", F.md5("text").alias("corrected"))
+
+
 @query("SELECT DISTINCT p_brand AS label, unnest([lower(p_type), replace(lower(p_type), '-', ' '), replace(lower(p_type), '-', '')]) AS entity FROM part")
 def entity_library(read):
     return annotate.entity_library(read("part").select(F.col("p_brand").alias("label"), F.col("p_type").alias("entity")))

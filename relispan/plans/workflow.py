@@ -9,7 +9,7 @@
     unit = true
     emergent_activity = true
     [causal]
-    kind = "general"        # or "phrase"
+    kind = "general"        # or "phrase", or "simple"
     [[graph.nodes]]
     file = "nodes.csv"
     label = "label"
@@ -36,6 +36,10 @@ from relispan.functions import clean
 from relispan.operators import causal, entities, graph
 from relispan.sources import models
 
+#: Words of negation and of conjecture.
+NEGATIONS = ["not", "no", "never"]
+CONJECTURES = ["possible", "likely", "may", "should", "could"]
+
 Stage = Callable[[DataFrame], DataFrame]
 STAGES: dict[str, Stage] = {}
 
@@ -84,7 +88,7 @@ class Workflow:
         if unknown := set(ner) - set(STAGES):
             raise ValueError(f"unknown entity stages {sorted(unknown)}")
         kind = data.get("causal", {}).get("kind")
-        if kind not in (None, "general", "phrase"):
+        if kind not in (None, "general", "phrase", "simple"):
             raise ValueError(f"unknown causal kind {kind!r}")
         for part, needed in (("nodes", {"file", "label", "key"}), ("relations", {"file", "relation", "source", "target"})):
             for entry in graph_part.get(part, []):
@@ -96,9 +100,11 @@ class Workflow:
         return docs.withColumn("text", clean.clean(F.col("text"), self.steps, self.options)) if self.steps else docs
 
     def run(self, docs: DataFrame | None = None, dictionary: DataFrame | None = None, relators: DataFrame | None = None) -> dict[str, DataFrame]:
-        """Tables by name: cleaned, ner, causal_relation or phrase_status, nodes, edges; text and graph parts both run.
+        """Tables by name: cleaned, ner, causal_relation, entity_status or causal_sequence, nodes, edges; text and graph
+        parts both run.
 
-        ``dictionary`` has (phrase, label, ent_id), ``relators`` (keyword, kind).
+        ``dictionary`` has (phrase, label, ent_id) and may have alias; ``relators`` has (keyword, kind). The general kind
+        gives relations, the phrase kind statuses, the simple kind statuses and sequences.
         """
         out: dict[str, DataFrame] = {}
         if docs is not None:
@@ -111,6 +117,13 @@ class Workflow:
             if self.causal == "general" and dictionary is not None and relators is not None:
                 words = causal.sentence_words(entities.sentences(text))
                 out["causal_relation"] = causal.cause_effect(words, dictionary.select(F.lower("phrase").alias("word")), relators)
+            if self.causal in ("phrase", "simple") and dictionary is not None:
+                alias = F.col("alias") if "alias" in dictionary.columns else F.lit(None).cast("string")
+                names = dictionary.select(F.lower("phrase").alias("word"), alias.alias("alias"))
+                parted = entities.sentences(text)
+                out["entity_status"] = causal.entity_status(parted, names, NEGATIONS, CONJECTURES)
+                if self.causal == "simple" and relators is not None:
+                    out["causal_sequence"] = causal.entity_sequences(causal.sentence_words(parted), names, relators)
         if self.nodes or self.relations:
             out["nodes"], out["edges"] = self.graph((docs.sparkSession if docs is not None else SparkSession.active()))
         return out

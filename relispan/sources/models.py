@@ -64,6 +64,43 @@ def edge_violations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def check_model(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, problem, id, other): all that is wrong with the nodes and edges of a model."""
+    n = node_violations(nodes).select(F.lit("node").alias("part"), "problem", "id", F.lit(None).cast("string").alias("other"))
+    e = edge_violations(edges, nodes).select(F.lit("edge").alias("part"), "problem", F.col("src").alias("id"), F.col("dst").alias("other"))
+    return n.unionByName(e)
+
+
+def node_ids(nodes: DataFrame) -> DataFrame:
+    """(id) by which edges name the nodes: the ID, or the label of those without one."""
+    return nodes.select(F.coalesce("ID", "label").alias("id")).filter("id is not null").distinct()
+
+
+def add_parts(nodes: DataFrame, edges: DataFrame, more_nodes: DataFrame, more_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A model with more nodes and edges; those that it has already are left out, so that adding twice is adding once."""
+    _columns(more_nodes, NODE_COLUMNS)
+    _columns(more_edges, EDGE_COLUMNS)
+    return nodes.unionByName(more_nodes).distinct(), edges.unionByName(more_edges).distinct()
+
+
+def model_patterns(nodes: DataFrame, listed: DataFrame, label: str = "model") -> DataFrame:
+    """(phrase, label, ent_id) for a dictionary of entities: a model's names, with and without what stands in brackets,
+    and the entries (entity, label) of a list. Of several labels of one phrase the model's counts, else the least."""
+    bare = F.trim(F.regexp_replace("label", r"\s*\([^()]*\)", ""))
+    names = nodes.select(F.explode(F.array(F.lower(F.trim("label")), F.lower(bare), F.lower(acronym(F.col("label"))))).alias("phrase"), F.coalesce("ID", "label").alias("ent_id"))
+    own = names.filter("phrase <> ''").groupBy("phrase").agg(F.min("ent_id").alias("ent_id")).withColumn("label", F.lit(label))
+    other = listed.select(F.lower(F.trim("entity")).alias("phrase"), "label").filter("phrase <> ''").groupBy("phrase").agg(F.min("label").alias("label"))
+    other = other.join(own.select("phrase"), "phrase", "left_anti").withColumn("ent_id", F.col("phrase"))
+    return own.select("phrase", "label", "ent_id").unionByName(other.select("phrase", "label", "ent_id"))
+
+
+def model_links(text: Column) -> Column:
+    """The (model, instance) pairs of "{model:instance}" in a description, as an array of structs."""
+    found = F.regexp_extract_all(text, F.lit(r"\{([^{}:]+):([^{}]+)\}"), F.lit(0))
+    part = lambda x, k: F.trim(F.regexp_extract(x, r"\{([^{}:]+):([^{}]+)\}", k))
+    return F.transform(found, lambda x: F.struct(part(x, 1).alias("model"), part(x, 2).alias("instance")))
+
+
 def only_sources(edges: DataFrame) -> DataFrame:
     """(id) of nodes that edges leave but never reach."""
     return edges.select(F.col("sourceNodeId").alias("id")).subtract(edges.select("targetNodeId"))

@@ -62,6 +62,16 @@ class GraphSchema:
         self.relations |= relations
         return self
 
+    def table(self, spark) -> DataFrame:
+        """(kind, element, property, type, optional, source, target): the declared properties, one row each."""
+        rows = [
+            (kind, e.name, p.name, p.type, p.optional, e.source, e.target)
+            for kind, elements in (("node", self.nodes), ("relation", self.relations))
+            for e in elements.values()
+            for p in e.properties.values()
+        ]
+        return spark.createDataFrame(rows, "kind string, element string, property string, type string, optional boolean, source string, target string")
+
     def check(self, kind: str, name: str, mapping: dict[str, str], df: DataFrame, given: tuple = ()) -> None:
         """Whether a mapping of properties to columns fits: known names, required ones, existing columns, their types."""
         elements = self.nodes if kind == "node" else self.relations
