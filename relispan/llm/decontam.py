@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relispan.llm.bitmaps import bitmap, known
 from relispan.llm.blocks import WORDS_ONLY, map_texts, mix, set_aside, words
 from relispan.plans.shared import shared_table
 
@@ -86,22 +87,6 @@ def item_windows(benchmark: DataFrame, item_id: str = "item_id") -> DataFrame:
     return made.select("item", F.explode(F.arrays_zip("size", "h", "win")).alias("w")).select("item", "w.size", "w.h", "w.win").distinct()
 
 
-def bitmap(hashes: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
-    """The set of the hashes' places below ``bits``, eight to a byte; it never takes more than ``bits`` / 8 bytes."""
-    part = min(bits, 1 << 15)
-    place = F.pmod(F.col("h"), F.lit(bits))
-    parts = hashes.groupBy(F.floor(place / part).alias("part")).agg(F.bitmap_construct_agg((place % part).cast("bigint")).alias("bytes"))
-    out = np.zeros((bits // part, 4096), np.uint8)
-    for r in parts.collect():  # 4096 bytes each
-        out[r["part"]] = np.frombuffer(bytes(r["bytes"]), np.uint8)
-    return out[:, : part // 8].ravel()
-
-
-def _known(values: np.ndarray, held: np.ndarray) -> np.ndarray:
-    place = values & np.uint64(8 * len(held) - 1)
-    return (held[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
 def _text_key() -> list[Column]:
     text = F.coalesce("text", F.lit(""))
     return [F.xxhash64(text).alias("__t"), F.xxhash64(F.lit(1), text).alias("__u")]
@@ -118,7 +103,7 @@ def _marked(docs: DataFrame, sizes: list[int], held) -> DataFrame:
         doc, kept = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for size in sizes:
             at, values = _keep(h, size)
-            some = _known(values, held.value)
+            some = known(values, held.value)
             doc.append(np.searchsorted(first, at[some], "right") - 1)
             kept.append(values[some])
         doc, kept = np.concatenate(doc), np.concatenate(kept)

@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relispan.llm.bitmaps import maybe
 from relispan.llm.blocks import map_texts, set_aside
 from relispan.llm.components import components
 from relispan.llm.nearcopies import kept_rows, nodes_of
@@ -210,17 +211,18 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     All columns stay as they are. Rows of one id are told apart by their shingles: each is judged by its own component.
     Of rows of one id and the same shingles the one that Spark meets first stays.
     """
-    kept = kept_rows(docs, id_column)
+    odd, sets = kept_rows(docs, id_column)
     frame, restore = set_aside(docs, id_column, "text")
-    once = kept.filter("__rows = 1").hint("merge")
-    out = frame.join(once, frame[id_column].eqNullSafe(once["__id"]), "left_semi")
-    several = kept.filter("__rows > 1")
+    marked = frame.withColumn("__odd", maybe(F.xxhash64(id_column), odd.select(F.xxhash64("__id").alias("h"))))
+    out = marked.filter("NOT __odd").drop("__odd")  # most rows stay, and stay where they are
+    some = marked.filter("__odd").drop("__odd")
+    out = out.unionByName(some.join(odd, some[id_column].eqNullSafe(odd["__id"]), "left_anti"))
+    several = odd.filter("__rows > 1")
     if several.limit(1).count():
-        ids = several.select("__id").distinct().hint("merge")
-        again = frame.join(ids, frame[id_column].eqNullSafe(ids["__id"]), "left_semi")
+        again = some.join(several, some[id_column].eqNullSafe(several["__id"]), "left_semi")
         again = map_texts(again, lambda texts: [nodes_of(texts)], "__node bigint", again.columns)
-        met = again[id_column].eqNullSafe(several["__id"]) & (again["__node"] == several["__set"])
-        again = again.join(several.hint("merge"), met, "left_semi").dropDuplicates([id_column, "__node"])
+        met = again[id_column].eqNullSafe(sets["__id"]) & (again["__node"] == sets["__set"])
+        again = again.join(sets, met, "left_semi").dropDuplicates([id_column, "__node"])
         out = out.unionByName(again.drop("__node"))
     return restore(out)
 
