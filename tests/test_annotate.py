@@ -67,7 +67,7 @@ def test_graph_catalog(spark):
     nodes = spark.createDataFrame([("a", "1", {}), ("a", "2", {}), ("b", "3", {})], graph.NODE)
     edges = spark.createDataFrame([("r", "a", "1", "a", "2", {}), ("r", "a", "1", "b", "3", {}), ("q", "a", "2", "a", "1", {})], graph.EDGE)
     c = GraphCatalog().project("g", nodes, edges, ["a"], ["r"])
-    assert c.check("g") == {"vertices": 2, "links": 1}
+    assert c.check("g") == {"vertices": 2, "links": 1, "labels": {"a": 2}}
     assert {(r["id"], r["degree"]) for r in c.centrality("g", "degree").collect()} == {("a:1", 1), ("a:2", 0)}
     for bad in (lambda: c.centrality("g", "x"), lambda: c.project("g", nodes, edges, ["a"], ["r"]), lambda: c.load("h", nodes, edges)):
         with pytest.raises(ValueError):
@@ -114,3 +114,56 @@ def test_semantic_similarity(spark):
     sims = spark.createDataFrame([("cat", "dog", 0.5), ("dog", "cat", 0.5), ("sat", "dog", 0.1)], "x string, y string, s double")
     got = {r["pair_id"]: r["semantic"] for r in similarity.semantic_similarity(pairs, sims).collect()}
     assert got[1] == pytest.approx((0.5 + 1 + 0.5) / (1 + 1 + 0.25)) and got[2] == 0
+
+
+def test_projected_numbers_and_scores_written_back(spark):
+    nodes = spark.createDataFrame([("a", "1", {"w": "2.5", "n": "x"}), ("a", "2", {}), ("b", "3", {"degree": "9"})], graph.NODE)
+    edges = spark.createDataFrame([("r", "a", "1", "a", "2", {"cost": "4"}), ("r", "a", "2", "a", "1", {})], graph.EDGE)
+    c = GraphCatalog().project("g", nodes, edges, ["a"], ["r"], numbers=["w", "n"], weight="cost")
+    v, e = c.graphs["g"]
+    assert sorted((r["id"], r["w"], r["n"]) for r in v.collect()) == [("a:1", 2.5, None), ("a:2", None, None)]
+    assert sorted(r["weight"] for r in e.collect()) == [1.0, 4.0]
+    made = {r["key"]: r["props"] for r in c.write_back("g", nodes, "degree").collect()}
+    assert made == {"1": {"w": "2.5", "n": "x", "degree": "1"}, "2": {"degree": "1"}, "3": {"degree": "9"}}
+
+
+def test_models_are_checked_extended_and_give_patterns(spark):
+    from relispan.sources import models
+
+    nodes = spark.createDataFrame([("Pump (P)", "1", "entity"), ("pipe", None, "entity")], "label string, ID string, type string")
+    edges = spark.createDataFrame([("1", "pipe", "link", None)], "sourceNodeId string, targetNodeId string, type string, medium string")
+    assert {tuple(r)[:3] for r in models.check_model(nodes, edges).collect()} == {("edge", "link without medium", "1")}
+    assert {r["id"] for r in models.node_ids(nodes).collect()} == {"1", "pipe"}
+    n, e = models.add_parts(nodes, edges, nodes, edges)
+    assert (n.count(), e.count()) == (2, 1)
+    listed = spark.createDataFrame([("Pump", "x"), ("Valve", "b"), ("valve ", "a")], "entity string, label string")
+    got = {tuple(r) for r in models.model_patterns(nodes, listed).collect()}
+    assert got == {("pump (p)", "model", "1"), ("pump", "model", "1"), ("p", "model", "1"), ("pipe", "model", "pipe"), ("valve", "a", "valve")}
+    links = spark.range(1).select(models.model_links(F.lit("see {m1:pump 2} and { m2 : x }"))).first()[0]
+    assert [tuple(x) for x in links] == [("m1", "pump 2"), ("m2", "x")]
+
+
+def test_schema_as_a_table(spark):
+    from relispan.sources.schema import GraphSchema
+
+    text = """title = "t"
+version = 1
+[node.pump]
+node_properties = [{name = "id", type = "str"}, {name = "size", type = "float", optional = true}]
+[relation.feeds]
+from_entity = "pump"
+to_entity = "pump"
+relation_properties = [{name = "since", type = "datetime"}]
+"""
+    got = {tuple(r) for r in GraphSchema().load(text).table(spark).collect()}
+    assert got == {("node", "pump", "id", "string", False, None, None), ("node", "pump", "size", "floating", True, None, None), ("relation", "feeds", "since", "datetime", False, "pump", "pump")}
+
+
+def test_samples_with_replacement(spark):
+    from relispan.operators import timeseries
+    from test_timeseries import series
+
+    s = series(spark, range(50))
+    got = timeseries.resample(s, 80, seed=3).collect()
+    assert len(got) == 80 and {r["i"] for r in got} == set(range(80)) and {r["v"] for r in got} <= set(map(float, range(50)))
+    assert sorted(got) == sorted(timeseries.resample(s, 80, seed=3).collect()) != sorted(timeseries.resample(s, 80, seed=4).collect())

@@ -202,3 +202,54 @@ def test_tables_on_a_cluster_need_a_shared_folder(spark):
     drop_table(table)
     with pytest.raises(Exception):
         spark.read.parquet(*table.inputFiles()).count()
+
+
+def test_fuzzy_lookup_finds_what_all_pairs_do(spark):
+    import difflib
+    import random
+
+    draw = random.Random(1)
+    words = ["".join(draw.choices("abcde", k=draw.randint(1, 9))) for _ in range(120)]
+    entries = sorted({"".join(draw.choices("abcde", k=draw.randint(1, 9))) for _ in range(80)})
+    got = entities.fuzzy_lookup(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(e,) for e in entries], "entry string"))
+    want = {}
+    for w in set(words):
+        best = min(((-difflib.SequenceMatcher(None, w, e).ratio(), e) for e in entries))
+        if -best[0] >= 0.8:
+            want[w] = best[1]
+    assert {r["word"]: r["entry"] for r in got.collect()} == want
+    with pytest.raises(ValueError):
+        entities.fuzzy_lookup(spark.range(0).selectExpr("'' as word"), spark.range(0).selectExpr("'' as entry"), least=0.5)
+
+
+def test_ways_to_spell_out_abbreviations(spark):
+    pairs = spark.createDataFrame([("pp", "pump"), ("pp", "pipe"), ("sw", "switch"), ("fl", "flow"), ("fl", "floor")], "abbreviation string, full string")
+    texts = spark.createDataFrame([(1, "PP sw fl"), (2, "none here")], "doc_id int, text string")
+    got = {}
+    for r in entities.abbreviation_options(texts, pairs).collect():
+        got.setdefault(r["doc_id"], set()).add(" ".join(r["words"]))
+    assert got == {1: {f"{a} switch {b}" for a in ("pump", "pipe") for b in ("flow", "floor")}, 2: {"none here"}}
+    with pytest.raises(Exception, match="ways"):
+        entities.abbreviation_options(texts, pairs, most=3).collect()
+
+
+def test_the_simple_and_phrase_kinds_of_workflow(spark):
+    docs = spark.createDataFrame([(1, "Pump leaks badly. The valve may not close due to pump.")], "doc_id bigint, text string")
+    dictionary = spark.createDataFrame([("pump", "part", "p", None), ("valve", "part", "v", "inlet")], "phrase string, label string, ent_id string, alias string")
+    relators = spark.createDataFrame([("due", "effect-relator")], "keyword string, kind string")
+    out = workflow.Workflow.check({"causal": {"kind": "simple"}}).run(docs, dictionary, relators)
+    got = {(r["sent"], r["entity"], r["status"], r["negated"], r["conjecture"]) for r in out["entity_status"].collect()}
+    assert got == {(0, "pump", "leaks badly", False, False), (1, "valve", "the inlet may not close due to pump", True, True), (1, "pump", None, True, True)}
+    assert [tuple(r) for r in out["causal_sequence"].collect()] == [(1, 1, ["valve", "[due]", "pump"])]
+    assert set(workflow.Workflow.check({"causal": {"kind": "phrase"}}).run(docs, dictionary)) == {"cleaned", "ner", "entity_status"}
+
+
+@pytest.mark.parametrize("text, want", [("due 10/2 or 10-2-23", ["10/2", "10-2-23"]), ("on 2024/01/02 at 10:45 pm", ["2024/01/02", "10:45 pm"]), ("last week, yesterday and next spring", ["last week", "yesterday", "next spring"]), ("at 7 am", ["7 am"])])
+def test_more_dates_and_times(spark, text, want):
+    assert spark.range(1).select(entities.temporal_mentions(F.lit(text))).first()[0] == want
+
+
+def test_overlapping_spans_in_chains(spark):
+    rows = [(1, 0, 3, "a", "l", "x"), (1, 2, 4, "b", "l", "x"), (1, 3, 7, "c", "l", "x"), (1, 6, 8, "d", "l", "x"), (1, 9, 10, "e", "l", "x"), (1, 9, 10, "e", "l", "x"), (2, 0, 1, "f", "l", "x")]
+    frame = spark.createDataFrame(rows, "doc_id int, start int, end int, text string, label string, ent_id string")
+    assert sorted(r["text"] for r in entities.filter_spans(frame).collect()) == ["a", "c", "e", "f"]

@@ -149,3 +149,45 @@ def test_events_at_the_edges_of_a_pulse(spark):
     e = spark.createDataFrame([(1, "a", 300), (2, "a", 600)], "event_id bigint, series_id string, loc bigint")
     got = {r["event_id"]: r["relation"] for r in twosample.event_relations(series(spark, v), e, 30, samples=12, iterations=40).collect()}
     assert got[1] in ("E --> S", "E -->* S") and got[2] in ("S!E", "S?E")
+
+
+def test_given_permutations_against_numpy(spark):
+    from relispan.operators import twosample
+
+    draw = np.random.RandomState(5)
+    x = draw.randn(30, 3)
+    sides = np.array([0] * 14 + [1] * 16)
+    rows = spark.createDataFrame([(i, int(s), v.tolist()) for i, (s, v) in enumerate(zip(sides, x))], "id bigint, side int, x array<double>")
+    orders = [draw.permutation(30) for _ in range(6)]
+    given = spark.createDataFrame([(k + 1, int(i), 0 if at < 14 else 1) for k, o in enumerate(orders) for at, i in enumerate(o)], "iteration int, id bigint, side int")
+    k = twosample.kernel("rbf", x, x, gamma=0.3)
+    want = [twosample.mmd_unbiased(k, 14)] + [twosample.mmd_unbiased(k[np.ix_(o, o)], 14) for o in orders]
+    for tile in (1024, 7):
+        stats = twosample.null_statistics(rows, given, gamma=0.3, tile=tile)
+        got = {r["iteration"]: r for r in stats.collect()}
+        assert [got[i]["mmd_u"] for i in range(7)] == pytest.approx(want) and {(r["m"], r["n"]) for r in got.values()} == {(14, 16)}
+    test = twosample.two_sample_test(stats).first()
+    assert test["p_value"] == pytest.approx(max(1 / 6, np.mean(np.array(want[1:]) > want[0]))) and test["iterations"] == 6
+    with pytest.raises(Exception, match="each id once"):
+        twosample.null_statistics(rows, given.filter("NOT (iteration = 2 AND id = 3)")).collect()
+
+
+def test_permutations_by_buckets_equal_one_order(spark):
+    from relispan.operators import twosample
+
+    rows = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "id bigint, side int")
+    key = lambda r: (r["iteration"], r["id"], r["side"])
+    one, many = (sorted(map(key, twosample.hash_permutations(rows, 3, bucket_rows=b).collect())) for b in (4096, 5))
+    assert one == many and sum(s for i, _, s in one if i == 1) == 67
+
+
+def test_fast_permutations_equal_plain_ones():
+    from relispan.operators import twosample
+
+    draw = np.random.RandomState(1)
+    x, y = draw.randn(9, 2), draw.randn(7, 2) + 1
+    got = twosample.permutation_test(x, y, iterations=20, seed=4, gamma=0.5)
+    k = twosample.kernel("rbf", np.vstack([x, y]), np.vstack([x, y]), gamma=0.5)
+    again = np.random.RandomState(4)
+    want = [twosample.mmd_unbiased(k[np.ix_(o, o)], 9) for o in (again.permutation(16) for _ in range(20))]
+    assert got["null"] == pytest.approx(want)
