@@ -134,9 +134,11 @@ _TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 _SCALES = {"hundred": 100, "thousand": 1000, "million": 10**6, "billion": 10**9, "trillion": 10**12}
 _PARTS = {"half": 2, "halves": 2, "third": 3, "thirds": 3, "quarter": 4, "quarters": 4, "fifth": 5, "fifths": 5, "eighth": 8, "eighths": 8, "tenth": 10, "tenths": 10}
 _SMALL = {w: i for i, w in enumerate(_UNITS)} | {w: 10 * (i + 2) for i, w in enumerate(_TENS)}
-_WORD = "|".join([*_SMALL, *_SCALES])
+_LETTERS = sorted({w[0] for w in [*_SMALL, *_SCALES]})
+_WORD = "|".join(f"{c}(?:{'|'.join(w[1:] for w in [*_SMALL, *_SCALES] if w[0] == c)})" for c in _LETTERS)  # one letter parts most
 _SPELLED = rf"(?:{_WORD})(?:(?:[ -]+(?:and[ -]+)?)(?:{_WORD}))*"
-_NUMBER = rf"(?i)\b(?:{_SPELLED}? and (?:{'|'.join(_UNITS)}|a) (?:{'|'.join(_PARTS)})|{_SPELLED})\b"
+_SHARE = rf" and (?:{'|'.join(_UNITS)}|a) (?:{'|'.join(_PARTS)})"
+_NUMBER = rf"(?i)\b(?=[ {''.join(_LETTERS)}])(?:{_SPELLED}{_SHARE}|{_SPELLED}|{_SHARE})\b"
 
 
 def number_of(phrase: Column) -> Column:
