@@ -136,9 +136,9 @@ _PARTS = {"half": 2, "halves": 2, "third": 3, "thirds": 3, "quarter": 4, "quarte
 _SMALL = {w: i for i, w in enumerate(_UNITS)} | {w: 10 * (i + 2) for i, w in enumerate(_TENS)}
 _LETTERS = sorted({w[0] for w in [*_SMALL, *_SCALES]})
 _WORD = "|".join(f"{c}(?:{'|'.join(w[1:] for w in [*_SMALL, *_SCALES] if w[0] == c)})" for c in _LETTERS)  # one letter parts most
-_SPELLED = rf"(?:{_WORD})(?:(?:[ -]+(?:and[ -]+)?)(?:{_WORD}))*"
-_SHARE = rf" and (?:{'|'.join(_UNITS)}|a) (?:{'|'.join(_PARTS)})"
-_NUMBER = rf"(?i)\b(?=[ {''.join(_LETTERS)}])(?:{_SPELLED}{_SHARE}|{_SPELLED}|{_SHARE})\b"
+_PART = rf"(?:{'|'.join(_UNITS)}|a) (?:{'|'.join(_PARTS)})\b"
+_SPELLED = rf"(?:{_WORD})(?:[ -]+(?:and[ -]+(?!{_PART}))?(?:{_WORD}))*"
+_NUMBER = rf"(?i)\b(?=[ {''.join(_LETTERS)}])(?:{_SPELLED}(?: and {_PART})?| and {_PART})\b"
 
 
 def number_of(phrase: Column) -> Column:
