@@ -3,7 +3,7 @@
 Fixed patterns find assignments, access keys and long hexadecimal runs. Beside them, long tokens are scored by two
 Markov models of neighbouring characters, one of random strings and one of ordinary identifiers: a token whose
 log-likelihood ratio is large enough for its length is reported as well. Both models are counted from labelled tokens:
-the values that the patterns find are random, other tokens are ordinary.
+the values that the patterns find are random, tokens that several documents hold are ordinary.
 """
 
 from __future__ import annotations
@@ -133,15 +133,17 @@ def _conditional(counts: list[list[float]]) -> list[list[float]]:
 
 
 def labelled_tokens(docs: DataFrame, id_column: str = "doc_id", train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """(token, random): values of base matches, and tokens that hold none, from a bounded share of the documents."""
+    """(token, random) from a bounded share of the documents: values of base matches are random; tokens that several
+    documents hold, and no base match does, are ordinary. Tokens of one document have no label: they may be secrets."""
     one_in = max(1, math.ceil(docs.count() / train_docs))
     some = docs.filter(F.pmod(F.xxhash64(id_column), F.lit(one_in)) == 0)
     rows = base_matches(some.select("text"), [])
-    values = F.transform("__base", lambda x: x["value"])
-    other = F.regexp_extract_all(F.col("__t"), F.lit(TOKEN % TRAIN_TOKEN), F.lit(0))
-    ordinary = F.filter(other, lambda t: ~F.exists(values, lambda v: F.contains(v, t) | F.contains(t, v)))
-    random = rows.select(F.explode(values).alias("token"), F.lit(True).alias("random"))
-    return random.unionByName(rows.select(F.explode(ordinary).alias("token"), F.lit(False).alias("random")))
+    tokens = lambda text: F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN % TRAIN_TOKEN), F.lit(0)))).alias("token")
+    values = rows.select(F.explode(F.transform("__base", lambda x: x["value"])).alias("value"))
+    random = values.select(F.col("value").alias("token"), F.lit(True).alias("random"))
+    shared = rows.select(tokens(F.col("__t"))).groupBy("token").count().filter("count > 1").select("token")
+    ordinary = shared.join(values.select(tokens(F.col("value"))).distinct(), "token", "left_anti")
+    return random.unionByName(ordinary.select("token", F.lit(False).alias("random")))
 
 
 def ratio(token: Column, model: list[float]) -> Column:
