@@ -49,6 +49,29 @@ def test_the_models_tell_random_strings_from_identifiers(spark):
     assert a < 0 < secrets.THRESHOLD < b
 
 
+def test_planted_secrets_without_a_pattern_and_identifiers(spark):
+    """Random strings that no pattern finds are found, though the sample holds them too; identifiers aren't."""
+    draw = random.Random(11)
+    rows = some_rows(200)
+    words = [w for _, t in rows for w in (t or "").split() if w.isalpha() and w.isascii() and len(w) > 4]
+    letters = secrets.ALPHABET[:62]
+    kinds = {
+        "base62": lambda: "".join(draw.choices(letters, k=draw.randint(20, 40))),
+        "base64": lambda: "".join(draw.choices(letters + "+/", k=draw.randint(24, 44))),
+        "camel": lambda: "".join(w.capitalize() for w in draw.choices(words, k=5)),
+        "snake": lambda: "_".join(draw.choices(words, k=5)).lower(),
+    }
+    docs, planted = [], []
+    for i, (d, t) in enumerate(rows):
+        kind = list(kinds)[i % 4]
+        token = kinds[kind]()
+        docs.append((d, f"{t or ''} see {token} there"))
+        planted.append((d, kind, len(t or "") + 5, len(t or "") + 5 + len(token)))
+    got = {r["doc_id"]: r["spans"].split(",") for r in secrets.secrets(spark.createDataFrame(docs, "doc_id bigint, text string"), ["doc_id"]).collect()}
+    found = {k: np.mean([any(x == f"markov:{a}:{b}" for x in got[d]) for d, kind, a, b in planted if kind == k]) for k in kinds}
+    assert found["base62"] >= 0.95 and found["base64"] >= 0.95 and found["camel"] == found["snake"] == 0
+
+
 def test_a_long_text_of_many_matches(spark, monkeypatch):
     """60,000 matches in 1.6 MB take seconds: no step goes through all matches, or the text, for each of them."""
     draw = random.Random(4)
