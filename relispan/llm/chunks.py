@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from relispan.llm.blocks import gear_cuts, map_texts, set_aside
 from relispan.plans.shared import shared_table
 
-ONE_IN, LEAST, MOST = 32, 8, 512
+ONE_IN, LEAST, MOST = 32, 8, 128
 SPAN_BYTES = 88  # shorter runs of repeated chunks are single lines and set phrases rather than passages
 
 
