@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relispan.plans.shared import shared_table
+from relispan.plans.shared import drop_table, shared_table
 
 NODE = "label string, key string, props map<string,string>"
 EDGE = "rel string, src_label string, src_key string, dst_label string, dst_key string, props map<string,string>"
@@ -131,14 +131,17 @@ def degree(vertices: DataFrame, links: DataFrame, direction: str = "out") -> Dat
 def eigenvector(vertices: DataFrame, links: DataFrame, rounds: int = 100, shifted: bool = True) -> DataFrame:
     """(id, score) after so many steps of power iteration over links (src, dst, weight) read both ways, of length 1.
 
-    ``shifted`` iterates on A + I, which settles on bipartite graphs too. Each step ends in a table in the shared folder.
+    ``shifted`` iterates on A + I, which settles on bipartite graphs too. Each step ends in a table in the shared folder
+    and deletes that of the step before.
     """
     both = shared_table(links.select("src", "dst", "weight").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "links")
-    scores = shared_table(vertices.select("id", F.lit(1.0).alias("score")), "scores")
+    scores = held = shared_table(vertices.select("id", F.lit(1.0).alias("score")), "scores")
     for _ in range(rounds):
         flow = both.join(scores, both["src"] == scores["id"]).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("weight") * F.col("score")).alias("flow"))
         own = F.col("score") if shifted else F.lit(0.0)
         new = shared_table(scores.join(flow, F.col("id") == F.col("to"), "left").select("id", (own + F.coalesce("flow", F.lit(0.0))).alias("score")), "scores")
+        drop_table(held)  # the round before
+        held = new
         norm = new.agg(F.sqrt(F.sum(F.col("score") * F.col("score")))).first()[0] or 1.0
         scores = new.select("id", (F.col("score") / F.lit(norm)).alias("score"))
     return scores
