@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relispan.plans.shared import shared_table
+from relispan.plans.shared import drop_table, shared_table
 
 BLOCK_LINKS = 1 << 20  # links that a task contracts at once: some 100 MB with all temporary arrays
 
@@ -57,7 +57,7 @@ def components(links: DataFrame) -> DataFrame:
     Blocks of ``BLOCK_LINKS`` links at most are contracted in a task each; where there is one block, that is all. What
     several blocks leave is joined in rounds: each takes the least label among a node and its neighbours, then the label
     of that label; the rounds needed grow with the logarithm of the longest chain. Every round ends in a table in the
-    shared folder. Nodes with very many links are no bottleneck: both sides of each join come from tables, so that Spark
+    shared folder and deletes that of the round before. Nodes with very many links are no bottleneck: both sides of each join come from tables, so that Spark
     can split their partitions, and minima are taken before the shuffle.
     """
     links = shared_table(links, "links")
@@ -78,6 +78,8 @@ def components(links: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("up"), F.col("label").alias("beyond"))
         new = lower.join(up, lower["label"] == up["up"]).select("node", "old", F.least("label", "beyond").alias("label"))
         new = shared_table(new, "labels")
+        drop_table(labels)  # the round before
         labels = new.select("node", "label")
         if not new.filter("old <> label").limit(1).count():
+            drop_table(ends)
             return labels
