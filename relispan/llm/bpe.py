@@ -75,11 +75,13 @@ class Encoder:
         """Have the ids of all these pieces at hand."""
         if len(self.kept) > KEPT_PIECES // 2:  # pieces that no text has had since the last time go
             self.kept, self.older = {}, self.kept
-        new = pieces - self.kept.keys()
-        known = new & self.older.keys()
-        for p in known:
-            self.kept[p] = self.older[p]
-        new -= known
+        new = []  # asked for one by one: a difference of sets would go through all that is kept
+        for p in pieces:
+            if p not in self.kept:
+                if p in self.older:
+                    self.kept[p] = self.older[p]
+                else:
+                    new.append(p)
         # a word of letters has one token that ends a word, its last
         if self.plain is not None:
             self._learn([p for p in new if p.isalpha() and p.islower()], " ", self.word_ends, self.plain)
