@@ -230,8 +230,8 @@ def repaired(text: bytes, filled: list[tuple[bytes, bytes]], joined: bytes, enc:
         while True:
             left, right = filled[k][0].split()[-words:], filled[k + 1][0].split()[:words]
             window = b" ".join(left) + (b" " if left and right else b"") + b" ".join(right)
-            apart = b"".join(enc.encode([b" ".join(left)]) + enc.encode([b" ".join(right)]))
-            if enc.whole(window) == apart and filled[k][1].endswith(enc.encode([b" ".join(left)])[0]) and filled[k + 1][1].startswith(enc.encode([b" ".join(right)])[0]):
+            a, b = enc.encode([b" ".join(left), b" ".join(right)])
+            if enc.whole(window) == a + b and filled[k][1].endswith(a) and filled[k + 1][1].startswith(b):
                 break
             if words >= max(len(filled[k][0]), len(filled[k + 1][0])):
                 return enc.whole(text)
