@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from relispan.llm import bpe, chunks, decontam, fingerprint, langid, licenses, quality, secrets, simhash, tokenfiles
+from relispan.llm import bpe, chunks, decontam, fingerprint, langid, licenses, merkle, quality, secrets, sharding, simhash, tokenfiles, trie
 
 QUERIES = {
     "op1_secrets": secrets.query,
@@ -15,5 +15,13 @@ QUERIES = {
     "op8_repeats": chunks.query,
     "op9_simhash": simhash.query,
     "op10_decontamination": decontam.query,
+    "op11_merkle": merkle.query,
+    "op12_shards": sharding.query,
+    "op13_prefix_trie": trie.query,
+}
+ORACLE_SQL = {
+    "op10_decontamination": decontam.SQL,
+    "op11_merkle": merkle.SQL,
+    "op12_shards": sharding.SQL,
+    "op13_prefix_trie": trie.SQL,
 }
-ORACLE_SQL = {"op10_decontamination": decontam.SQL}
