@@ -1,12 +1,10 @@
 """Causes, effects and statuses in sentences.
 
-Position rules need words only; tree rules need annotated tokens (doc_id, sent, i, text, lemma, pos, tag, dep, head),
-one row a token, ``head`` the place of the governing token in the sentence. Entities are (doc_id, sent, start, end, text).
+These rules go by place and need words only; ``trees`` has those that go by dependencies.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,82 +94,3 @@ def entity_sequences(words: DataFrame, entities: DataFrame, keywords: DataFrame)
     shown = F.when(F.col("key"), F.concat(F.lit("["), "word", F.lit("]"))).otherwise(F.col("word"))
     made = met.groupBy("doc_id", "sent").agg(F.max("key").alias("any"), F.sort_array(F.collect_list(F.struct("i", shown.alias("w")))).alias("s"))
     return made.filter("any").select("doc_id", "sent", F.transform("s", lambda x: x["w"]).alias("sequence"))
-
-
-_SUBJECT = ("nsubj", "nsubjpass", "csubj")
-_OBJECT = ("dobj", "pobj", "obj", "iobj")
-
-
-def tree_status(tokens: DataFrame, entities: DataFrame, health: list[str], conjecture: list[str]) -> DataFrame:
-    """Statuses of entities from annotated tokens, one row an entity: (doc_id, sent, entity, role, status, status_kind,
-    amod, negated, negation, conjecture, passive).
-
-    A subject's status is its verb, or the verb's noun or adjective if the verb links; an object's the verb above it;
-    a noun that an entity depends on in a phrase ("degradation of the shaft", "shaft degradation") is its status.
-    ``status_kind`` is health for lemmas of that lexicon, else other. A task sees one sentence's tokens.
-    """
-    health_set, conj_set = set(health), set(conjecture)
-    cols = ["kind", "i", "text", "lemma", "tag", "pos", "dep", "head", "end"]
-    t = tokens.select("doc_id", "sent", F.lit("t").alias("kind"), "i", "text", "lemma", "tag", "pos", "dep", "head", F.lit(0).alias("end"))
-    none = F.lit(None).cast("string")
-    e = entities.select("doc_id", "sent", F.lit("e").alias("kind"), F.col("start").alias("i"), "text", none.alias("lemma"), none.alias("tag"), none.alias("pos"), none.alias("dep"), F.lit(None).cast("int").alias("head"), F.col("end").cast("int").alias("end"))
-    both = t.unionByName(e.join(tokens.select("doc_id", "sent").distinct(), ["doc_id", "sent"], "left_semi"))
-    out = "doc_id bigint, sent int, entity string, role string, status string, status_kind string, amod string, negated boolean, negation string, conjecture boolean, passive boolean"
-    names = [x.split()[0] for x in out.split(", ")]
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        tok = rows[rows["kind"] == "t"].set_index("i").sort_index()[cols[2:-1]].to_dict("index")
-        below: dict[int, list[int]] = {}
-        for i, x in tok.items():
-            if x["head"] != i:
-                below.setdefault(int(x["head"]), []).append(i)
-
-        def find(i, deps):
-            return [c for c in below.get(i, []) if tok[c]["dep"] in deps]
-
-        found = []
-        for ent in rows[rows["kind"] == "e"].itertuples():
-            inside = [i for i in range(int(ent.i), int(ent.end)) if i in tok]
-            if not inside:
-                continue
-            root = next((i for i in inside if tok[i]["head"] not in inside or tok[i]["head"] == i), inside[-1])
-            x, head = tok[root], int(tok[root]["head"])
-            status = None
-            if x["dep"] in _SUBJECT and head in tok:
-                role, status = "subject", head
-                linked = find(head, ("acomp", "attr", "oprd"))
-                status = linked[0] if tok[head]["lemma"] in ("be", "seem", "become", "remain", "look") and linked else head
-            elif x["dep"] == "pobj" and head in tok and int(tok[head]["head"]) in tok and tok[int(tok[head]["head"])]["pos"] == "NOUN":
-                role, status = "of", int(tok[head]["head"])
-            elif x["dep"] in _OBJECT and head in tok:
-                role, status = "object", head
-                while tok[status]["pos"] == "ADP" and int(tok[status]["head"]) != status:
-                    status = int(tok[status]["head"])
-            elif x["dep"] == "compound" and head in tok and head not in inside:
-                role, status = "compound", head
-            elif x["dep"] == "conj":
-                role, status = "conj", head if head in tok else None
-            else:
-                role = "root" if x["dep"] == "ROOT" else "other"
-            verb = head if head in tok else root
-            scope = [status, verb, root] if status is not None else [verb, root]
-            neg = next((tok[c]["text"] for s in scope for c in find(s, ("neg",))), None)
-            guess = any(tok[c]["tag"] == "MD" for s in scope for c in below.get(s, [])) or any(y["lemma"] in conj_set for y in tok.values())
-            amod = " ".join(tok[c]["text"] for c in sorted(find(root, ("amod",))) if c not in inside) or None
-            word = tok[status] if status is not None else None
-            found.append((key[0], key[1], ent.text, role, word["text"] if word else None, ("health" if word["lemma"] in health_set else "other") if word else None, amod, neg is not None, neg, guess, any(tok[c]["dep"].endswith("pass") for c in below.get(verb, []))))
-        return pd.DataFrame(found, columns=names)
-
-    return both.groupBy("doc_id", "sent").applyInPandas(run, out)
-
-
-def tree_causes(tokens: DataFrame, entities: DataFrame, verbs: list[str], effect_relators: list[str]) -> DataFrame:
-    """(doc_id, sent, cause, keyword, effect): entities before and behind a causal keyword, the passive and effect
-    relators turned round; all causes with all effects of a sentence."""
-    key = F.lower("lemma").isin([*verbs, *effect_relators])
-    passive = tokens.filter(F.col("dep").isin("auxpass", "nsubjpass")).select("doc_id", "sent", F.lit(True).alias("passive")).distinct()
-    first = tokens.filter(key).groupBy("doc_id", "sent").agg(F.min(F.struct("i", "text", F.lower("lemma").alias("lemma"))).alias("k")).join(passive, ["doc_id", "sent"], "left")
-    near = entities.join(first, ["doc_id", "sent"])
-    left = near.filter(F.col("end") <= F.col("k.i")).select("doc_id", "sent", F.col("text").alias("a"))
-    right = near.filter(F.col("start") > F.col("k.i")).select("doc_id", "sent", F.col("text").alias("b"), F.col("k.text").alias("keyword"), (F.coalesce("passive", F.lit(False)) | F.col("k.lemma").isin(effect_relators)).alias("turned"))
-    return left.join(right, ["doc_id", "sent"]).select("doc_id", "sent", F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")).alias("cause"), "keyword", F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("effect"))

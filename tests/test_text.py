@@ -114,20 +114,6 @@ def test_abbreviations(spark):
     assert spark.range(1).select(entities.fuzzy_ratio(F.lit("leak"), F.lit("laek"))).first()[0] == pytest.approx(0.75)
 
 
-TOKENS = [
-    ("Rupture", "rupture", "NOUN", "NN", "nsubj", 4), ("of", "of", "ADP", "IN", "prep", 0), ("pump", "pump", "NOUN", "NN", "compound", 3), ("bearings", "bearing", "NOUN", "NNS", "pobj", 1),
-    ("caused", "cause", "VERB", "VBD", "ROOT", 4), ("shaft", "shaft", "NOUN", "NN", "compound", 6), ("degradation", "degradation", "NOUN", "NN", "dobj", 4), (".", ".", "PUNCT", ".", "punct", 4),
-]
-
-
-def test_dependency_rules(spark):
-    t = spark.createDataFrame([(1, 0, i, *x) for i, x in enumerate(TOKENS)], "doc_id bigint, sent int, i int, text string, lemma string, pos string, tag string, dep string, head int")
-    e = spark.createDataFrame([(1, 0, 2, 4, "pump bearings"), (1, 0, 5, 6, "shaft")], "doc_id bigint, sent int, start int, end int, text string")
-    got = {r["entity"]: (r["role"], r["status"], r["status_kind"], r["conjecture"], r["negated"]) for r in causal.tree_status(t, e, ["rupture", "degradation"], ["possible"]).collect()}
-    assert got == {"pump bearings": ("of", "Rupture", "health", False, False), "shaft": ("compound", "degradation", "health", False, False)}
-    assert [tuple(r)[2:] for r in causal.tree_causes(t, e, ["cause"], ["due"]).collect()] == [("pump bearings", "caused", "shaft")]
-
-
 def test_position_rules(spark):
     s = spark.createDataFrame([(1, 0, "Pump failure caused shaft wear"), (1, 1, "The leak is due to a crack"), (2, 0, "nothing caused")], "doc_id bigint, sent int, text string")
     ents = spark.createDataFrame([(w,) for w in ("pump", "shaft", "leak", "crack")], "word string")
