@@ -43,3 +43,11 @@ def drop_table(df: DataFrame) -> None:
         if "/relispan-" in folder:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_tables(*frames: DataFrame) -> None:
+    """``drop_table`` for several, and let go of the shuffle files of the jobs that wrote them: Spark deletes those once the
+    driver's JVM has collected the plans, which it does late where its memory is large."""
+    for df in frames:
+        drop_table(df)
+    frames[0].sparkSession._jvm.System.gc()
