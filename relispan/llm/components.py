@@ -62,7 +62,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = shared_table(links, "links")
     parts = 1 + links.count() // BLOCK_LINKS
-    links = _contracted(links, parts)
+    given, links = links, _contracted(links, parts)
+    drop_table(given)
     if parts == 1:
         return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
     ends = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
