@@ -429,21 +429,6 @@ def lesk_overlap(read):
     return similarity.best_overlaps(contexts, senses)
 
 
-@query(
-    "WITH g AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark), c AS (SELECT conv_id * 1000 + turn AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS context FROM conversations), "
-    "s AS (SELECT DISTINCT item_id, unnest(w) AS word, list_distinct(w) AS gloss FROM g), x AS (SELECT id, unnest(context) AS word, context FROM c), rare AS (SELECT word FROM x GROUP BY 1 HAVING count(*) <= 20), "
-    "m AS (SELECT id, word, item_id, len(list_intersect(context, gloss)) AS o, row_number() OVER (PARTITION BY id, word ORDER BY len(list_intersect(context, gloss)) DESC, item_id) AS r FROM x JOIN s USING (word) JOIN rare USING (word)) SELECT id, word, item_id AS sense, CAST(o AS INTEGER) AS overlap FROM m WHERE r = 1"
-)
-def lesk_words(read):
-    words = F.regexp_extract_all(F.lower("text"), F.lit(_LOW), F.lit(0))
-    g = read("benchmark").select(F.col("item_id").alias("sense"), words.alias("gloss"))
-    senses = g.select("sense", "gloss", F.explode(F.array_distinct("gloss")).alias("word"))
-    c = read("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), words.alias("context"))
-    contexts = c.select("id", "context", F.explode(F.array_distinct("context")).alias("word"))
-    rare = contexts.groupBy("word").count().filter("count <= 20").select("word")
-    return similarity.best_senses(contexts.join(rare, "word"), senses).select("id", "word", "sense", "overlap")
-
-
 @query(
     "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), s AS (SELECT a.vec_id AS id, b.vec_id AS other, list_cosine_similarity(a.x, b.x) AS c FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, other) AS rank FROM s) SELECT id, CAST(rank AS INTEGER) AS rank, round(c, 6) AS cosine FROM r WHERE rank <= 5"
