@@ -48,7 +48,12 @@ def parse(sentences: DataFrame, verbs: list[str] = ()) -> DataFrame:
     """
     words = sentences.select("doc_id", "sent", F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("i", "text"))
     low = F.lower("text")
-    t = words.withColumn("pos", word_class(low, verbs)).withColumn("lemma", lemma(low, F.col("pos")))
+    t = words.withColumn("pos", word_class(low, verbs))
+    if verbs:  # "the cause" is a noun whatever the list says
+        named = F.lag("pos").over(Window.partitionBy("doc_id", "sent").orderBy("i")).isin("DET", "ADJ", "ADP")
+        t = t.withColumn("named", named)
+        t = t.withColumn("pos", F.when(F.coalesce("named", F.lit(False)) & low.isin(list(verbs)) & ~low.rlike("(ed|ing)$"), "NOUN").otherwise(F.col("pos"))).drop("named")
+    t = t.withColumn("lemma", lemma(low, F.col("pos")))
     modal = _one_of(low, MODALS)
     tag = F.when(modal, "MD").when(F.col("pos") == "VERB", F.when(low.endswith("ing"), "VBG").when(low.endswith("ed"), "VBN").otherwise("VB")).when((F.col("pos") == "NOUN") & low.rlike("[a-z]{3}s$"), "NNS").otherwise(F.substring("pos", 1, 2))
     t = t.withColumn("tag", tag)

@@ -161,3 +161,34 @@ def match_patterns(texts: DataFrame, patterns: list[Pattern], keys: list[str]) -
     if out is None:
         return texts.filter(F.lit(False)).select(*keys, F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("text"), F.lit("").alias("label"), F.lit(None).cast("string").alias("ent_id"))
     return out
+
+
+def match_phrases(texts: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, end, text, label, ent_id): places in token arrays ``tokens`` of structs (text, lemma, pos) where the
+    words of an entry (phrase, label, ent_id) stand, as they are or by their lemmas, in small letters.
+
+    For any number of entries: runs of as many tokens as an entry has words meet it by equality. An entry that is found
+    both ways counts once.
+    """
+    words = F.regexp_extract_all(F.lower("phrase"), F.lit("[a-z0-9]+"), F.lit(0))
+    known = entries.select(F.array_join(words, " ").alias("gram"), F.size(words).alias("n"), "label", F.col("ent_id").cast("string").alias("ent_id")).filter("n > 0").distinct()
+    sizes = sorted(r["n"] for r in known.select("n").distinct().collect())  # a few lengths
+    low = lambda c: F.transform("tokens", lambda t: F.lower(t[c]))
+    forms = texts.select(*keys, F.transform("tokens", lambda t: t["text"]).alias("__own"), low("text").alias("__low"), low("lemma").alias("__lem")).filter(F.size("__own") > 0)
+    runs = None
+    for n in sizes:
+        part = _runs(forms, keys, n)
+        runs = part if runs is None else runs.unionByName(part)
+    if runs is None:
+        return match_patterns(texts, [], keys)
+    met = runs.join(known, ["gram", "n"])
+    return met.select(*keys, "start", (F.col("start") + F.col("n")).alias("end"), "text", "label", "ent_id").distinct()
+
+
+def _runs(forms: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, start, gram, text, n): every run of n tokens, in small letters and as lemmas."""
+    starts = F.filter(F.sequence(F.lit(0), F.size("__own") - 1), lambda i: i + n <= F.size("__own"))
+    gram = lambda c, i: F.array_join(F.slice(c, i + 1, F.lit(n)), " ")
+    both = lambda i: F.array(*[F.struct(i.alias("start"), gram(c, i).alias("gram"), gram("__own", i).alias("text")) for c in ("__low", "__lem")])
+    each = F.array_distinct(F.flatten(F.transform(starts, both)))
+    return forms.select(*keys, F.explode(each).alias("r")).select(*keys, "r.*", F.lit(n).alias("n"))

@@ -163,9 +163,32 @@ def test_workflow(spark, tmp_path):
     assert {(r["text"], r["label"]) for r in out["ner"].collect()} == {("25th August 2023", "temporal"), ("pump", "x"), ("leak", "x")}
     assert out["causal_relation"].first()["effect"] == "leak"
     assert out["nodes"].count() == 2 and out["edges"].count() == 1
-    for bad in ({"what": {}}, {"text": {"steps": ["x"]}}, {"ner": {"x": True}}, {"causal": {"kind": "x"}}, {"graph": {"nodes": [{"file": "a"}]}}):
+    for bad in ({"what": {}}, {"text": {"steps": ["x"]}}, {"ner": {"x": True}}, {"causal": {"kind": "x"}}, {"causal": {"keywords": "x"}}, {"causal": {"kind": "place", "y": 1}}, {"dictionaries": [{"label": "x"}]}, {"graph": {"nodes": [{"file": "a"}]}}):
         with pytest.raises(ValueError):
             workflow.Workflow.check(bad)
+    for kind in ("general", "place", "simple", "phrase"):  # without what the kind needs nothing would come out
+        with pytest.raises(ValueError, match="needs"):
+            workflow.Workflow.check({"causal": {"kind": kind}}).run(docs)
+
+
+def test_the_command_line_with_dictionaries_and_keywords(spark, tmp_path):
+    (tmp_path / "entities.csv").write_text("phrase,label,ent_id,alias\npump bearings,comp,b1,bearing set\nshaft,comp,s1,\nseal,comp,e1,\n")
+    (tmp_path / "places.csv").write_text("near,far\nat ? wall,beyond the fence\n")
+    (tmp_path / "causal.csv").write_text("\ufeffVERB,causal-noun,effect-relator,other\ncause,cause,due to,x\ndamage,,because of,\n", encoding="utf-8")
+    (tmp_path / "health.csv").write_text("NOUN\ndegradation\nrupture\n")
+    (tmp_path / "text.txt").write_text("Rupture of pump bearings caused shaft degradation. The seal at the wall was damaged by the shaft.")
+    (tmp_path / "c.toml").write_text(
+        '[ner]\ntemporal = true\n[[dictionaries]]\nfile = "entities.csv"\n[[dictionaries]]\nfile = "places.csv"\nlabel = "location"\nent_id = "loc"\n'
+        '[causal]\nkind = "general"\nentities = ["comp"]\nkeywords = "causal.csv"\nhealth = "health.csv"\n'
+    )
+    workflow.main(["-i", str(tmp_path / "c.toml"), "-t", str(tmp_path / "text.txt"), "-o", str(tmp_path / "out")])
+    table = lambda name: spark.read.option("header", True).csv(str(tmp_path / "out" / name)).collect()
+    assert {(r["text"], r["label"], r["ent_id"], r["alias"], r["sent"], r["start"], r["end"]) for r in table("ner")} == {
+        ("pump bearings", "comp", "b1", "bearing set", "0", "2", "4"), ("shaft", "comp", "s1", None, "0", "5", "6"), ("seal", "comp", "e1", None, "1", "1", "2"),
+        ("shaft", "comp", "s1", None, "1", "9", "10"), ("at the wall", "location", "loc", None, "1", "2", "5"),
+    }
+    assert {(r["cause"], r["cause_status"], r["keyword"], r["effect"], r["effect_status"]) for r in table("causal_relation")} == {("pump bearings", "Rupture", "caused", "shaft", "degradation"), ("shaft", "damaged", "damaged", "seal", "damaged")}
+    assert {(r["entity"], r["status"], r["status_kind"]) for r in table("entity_status") if r["sent"] == "0"} == {("pump bearings", "Rupture", "health"), ("shaft", "degradation", "health")}
 
 
 def test_a_taxonomy_of_many_levels_and_one_with_a_cycle(spark):
