@@ -21,9 +21,30 @@ def tokens(docs: DataFrame, text: str = "text", pattern: str = TOKEN, id_column:
     return docs.select(F.col(id_column).alias("doc_id"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("i", "word"))
 
 
-def sentences(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """(doc_id, sent, text): parted behind . ! ? and white space."""
-    return docs.select(F.col(id_column).alias("doc_id"), F.posexplode(F.split(text, SENTENCE)).alias("sent", "text"))
+#: Abbreviations that no sentence ends with, and those that a number follows.
+ABBREVIATIONS = "Dr Mr Mrs Ms Prof St vs e.g i.e cf approx al Inc Ltd Corp Dept Sr Jr"
+NUMBERED = "No Nos Fig Figs Eq Eqs Ref Refs Sec Ch pp"
+NEAR = 200  # code points within which a bracket or quotation mark that closes shows that a place is inside
+
+
+def _either(words: str) -> str:
+    return "|".join(w.replace(".", r"\.") for w in words.split())
+
+
+#: White space between sentences. It stands behind . ! ? and what closes there, before a capital, a digit or what opens;
+#: not behind abbreviations, initials and the marks of list items, and not within brackets or typographic quotation marks.
+SENTENCE_BREAK = (
+    r"(?<=[.!?][\"'”’)\]]{0,2})"
+    rf"(?<!\b(?:{_either(ABBREVIATIONS)})\.)(?<!\b[A-Z]\.)(?<!(?:\A|\n)[ \t]{{0,3}}(?:[0-9]{{1,2}}|[A-Za-z])\.)"
+    rf"(?:(?<!\b(?:{_either(NUMBERED)})\.)|(?=\s+[^\s0-9]))"
+    r"\s+(?=[A-Z0-9\"'“‘(\[])"
+    rf"(?![^()]{{0,{NEAR}}}\))(?![^“”]{{0,{NEAR}}}”)"
+)
+
+
+def sentences(docs: DataFrame, text: str = "text", id_column: str = "doc_id", pattern: str = SENTENCE) -> DataFrame:
+    """(doc_id, sent, text): parted behind . ! ? and white space, or with ``SENTENCE_BREAK`` by rules."""
+    return docs.select(F.col(id_column).alias("doc_id"), F.posexplode(F.split(text, pattern)).alias("sent", "text"))
 
 
 def patterns(entries: DataFrame) -> DataFrame:
@@ -179,13 +200,14 @@ def correct_text(docs: DataFrame, fixes: DataFrame, text: str = "text", id_colum
     Words that begin with a capital keep it. Texts without such words stay whole.
     """
     pattern = "[A-Za-z0-9]+"
-    each = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("t"), F.monotonically_increasing_id().alias("row"))
-    words = each.select("doc_id", "row", F.posexplode(F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).alias("i", "w"))
+    # equal texts have equal corrections: rows meet by their text's hash and length, so that ids may be null or repeated
+    each = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("t"), F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), text), F.length(text)).alias("row"))
+    words = each.select("row", F.posexplode(F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).alias("i", "w"))
     known = fixes.groupBy(F.lower("word").alias("k")).agg(F.min("correction").alias("fix"))
     met = words.join(known, F.lower("w") == F.col("k"))
     put = F.when(F.col("w").rlike("^[A-Z]"), F.concat(F.upper(F.substring("fix", 1, 1)), F.substring(F.col("fix"), F.lit(2), F.length("fix")))).otherwise(F.col("fix"))
-    table = met.groupBy("doc_id", F.col("w")).agg(F.min(put).alias("put")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "put"))).alias("fixes"))
-    joined = each.join(table, "doc_id", "left")
+    table = met.groupBy("row", F.col("w")).agg(F.min(put).alias("put")).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("w", "put"))).alias("fixes"))
+    joined = each.join(table, "row", "left")
     own = F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
     put = F.transform(own, lambda w: F.coalesce(F.try_element_at("fixes", w), w))
     whole = F.array_join(F.zip_with(F.split("t", pattern, -1), put, lambda gap, w: F.concat(gap, F.coalesce(w, F.lit("")))), "")

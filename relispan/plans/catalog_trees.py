@@ -232,3 +232,30 @@ def tree_causes(read):
     span = ["doc_id", "sent", F.col("i").alias("start"), (F.col("i") + 1).alias("end"), "text"]
     named = kinds.filter("kind IS NULL AND pos = 'NOUN' AND length(text) > 3").select(*span)
     return trees.causes(t, named, kinds.filter("kind IS NOT NULL").select(*span, "kind"), _GUESSES)
+
+
+def _rules_sql() -> str:
+    """Dots that end no sentence are hidden, the other candidates marked; those in brackets or quotation marks are joined."""
+    either = lambda words: "|".join(w.replace(".", "\\.") for w in words.split())
+    hidden = "text"
+    for p, to in (
+        (rf"\b({either(entities.ABBREVIATIONS)})\.", "\\1\x02"),
+        (r"\b([A-Z])\.", "\\1\x02"),
+        (r"(\A|\n)([ \t]{0,3})([0-9]{1,2}|[A-Za-z])\.", "\\1\\2\\3\x02"),
+        (rf"\b({either(entities.NUMBERED)})\.(\s+[0-9])", "\\1\x02\\2"),
+    ):
+        hidden = f"regexp_replace({hidden}, '{p}', '{to}', 'g')"
+    marked = f"regexp_replace({hidden}, '([.!?][\"''”’)\\]]{{0,2}}\\s+)([A-Z0-9\"''“‘(\\[])', '\\1\x01\\2', 'g')"
+    near = entities.NEAR
+    return f"""WITH p AS (SELECT conv_id * 1000 + turn AS doc_id, string_split(replace({marked}, '\x02', '.'), '\x01') AS parts FROM conversations),
+q AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS k, parts FROM p),
+r AS (SELECT doc_id, k, part, k > 0 AND NOT regexp_matches(array_to_string(parts[k + 1:], ''), '^[^()]{{0,{near}}}\\)') AND NOT regexp_matches(array_to_string(parts[k + 1:], ''), '^[^“”]{{0,{near}}}”') AS opens FROM q),
+s AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY doc_id ORDER BY k) AS sent FROM r)
+SELECT doc_id, sent::INTEGER AS sent, md5(regexp_replace(string_agg(part, '' ORDER BY k), '\\s+$', '')) AS digest FROM s GROUP BY ALL"""
+
+
+@query(_rules_sql())
+def sentence_rules(read):
+    docs = read("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    parted = entities.sentences(docs, pattern=entities.SENTENCE_BREAK)
+    return parted.select("doc_id", "sent", F.md5(F.regexp_replace("text", r"\s+$", "")).alias("digest"))

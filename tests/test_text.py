@@ -262,3 +262,25 @@ def test_overlapping_spans_in_chains(spark):
     rows = [(1, 0, 3, "a", "l", "x"), (1, 2, 4, "b", "l", "x"), (1, 3, 7, "c", "l", "x"), (1, 6, 8, "d", "l", "x"), (1, 9, 10, "e", "l", "x"), (1, 9, 10, "e", "l", "x"), (2, 0, 1, "f", "l", "x")]
     frame = spark.createDataFrame(rows, "doc_id int, start int, end int, text string, label string, ent_id string")
     assert sorted(r["text"] for r in entities.filter_spans(frame).collect()) == ["a", "c", "e", "f"]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Dr. Smith saw No. 5 pump, e.g. the spare one. It leaks! Why? See Fig. 3 and J. K. Lee et al. 2020.", ["Dr. Smith saw No. 5 pump, e.g. the spare one.", "It leaks!", "Why?", "See Fig. 3 and J. K. Lee et al. 2020."]),
+        ("1. Open the valve. Close it.\n2. Wait.", ["1. Open the valve.", "Close it.", "2. Wait."]),
+        ("He said “It broke. Then it fell.” Later (see A. It is long. Really.) it worked. approx. 5", ["He said “It broke. Then it fell.”", "Later (see A. It is long. Really.) it worked. approx. 5"]),
+        ("Answer: No. Then we left. it was late.", ["Answer: No.", "Then we left. it was late."]),
+        ("", [""]),
+    ],
+)
+def test_sentence_rules(spark, text, want):
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string")
+    assert [r["text"] for r in entities.sentences(docs, pattern=entities.SENTENCE_BREAK).orderBy("sent").collect()] == want
+
+
+def test_corrections_of_rows_without_ids_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "teh cat"), (1, "Teh end"), (1, "the cat"), (2, None), (3, "")], "doc_id bigint, text string")
+    fixes = spark.createDataFrame([("teh", "the")], "word string, correction string")
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in entities.correct_text(docs, fixes).collect())
+    assert got == [("1", "The end"), ("1", "the cat"), ("2", "None"), ("3", ""), ("None", "the cat")]
