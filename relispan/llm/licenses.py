@@ -70,12 +70,15 @@ class Scanner:
             base += [(w, label) for w in np.searchsorted(spaces, _places(line, needle)).tolist()]
         more = []
         for label, phrase, errors, pattern, seeds in self.notices:
-            windows = []
+            lows = []
             for seed, at in seeds:  # code points may take four bytes, and the window must hold a word's end on each side
-                low = np.array(_places(line, seed), np.int64) - at - 4 * errors - 2
-                windows.append(np.stack([low, low + len(phrase) + 8 * errors + 4], 1))
+                if seed in line:
+                    lows += [place - at - 4 * errors - 2 for place in _places(line, seed)]
+            if not lows:
+                continue
+            size = len(phrase) + 8 * errors + 4
             matched: dict[tuple[int, int], int] = {}
-            for low, high in _gathered(np.concatenate(windows), 4 * (len(phrase) + 8 * errors + 4)):
+            for low, high in _gathered(sorted(lows), size):
                 low, high = _code_point(line, max(0, low)), _code_point(line, min(len(line), high))
                 part = line[low:high].decode("utf-8", "replace")
                 for m in _matches(pattern, part):
@@ -107,14 +110,14 @@ def _matches(pattern, part: str) -> list:
     return found
 
 
-def _gathered(windows: np.ndarray, most: int) -> list[list[int]]:
-    """Windows of ``most`` bytes at most that hold all the given ones whole, each in one that overlaps it."""
+def _gathered(lows: list[int], size: int) -> list[list[int]]:
+    """Windows of four times ``size`` bytes at most that hold whole all those of ``size`` bytes from the ascending places."""
     out: list[list[int]] = []
-    for low, high in windows[np.argsort(windows[:, 0], kind="stable")].tolist():
-        if out and low <= out[-1][1] and high - out[-1][0] <= most:
-            out[-1][1] = max(out[-1][1], high)
+    for low in lows:
+        if out and low <= out[-1][1] and low + size - out[-1][0] <= 4 * size:
+            out[-1][1] = low + size
         else:
-            out.append([low, high])
+            out.append([low, low + size])
     return out
 
 
