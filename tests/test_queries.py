@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from relispan.plans import catalog, catalog_merge, catalog_quantities, catalog_senses, catalog_stream, catalog_text, catalog_trees  # noqa: F401
+from relispan.plans import catalog, catalog_abbreviations, catalog_merge, catalog_quantities, catalog_senses, catalog_stream, catalog_text, catalog_trees  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
