@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relispan.llm.ranks import ranked
 from relispan.plans.shared import shared_table
 
 BUCKET_ROWS = 1000
@@ -35,34 +36,32 @@ def digest(form: Column) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in both]))
 
 
-def _ranges(keys: DataFrame, bucket_rows: int) -> tuple[list[int], list[int]]:
-    """The first key of each of ``RANGES`` ranges at most, and the buckets that each is parted into, by its rows."""
+def _ranges(keys: DataFrame, bucket_rows: int) -> tuple[list[int], list[int], int]:
+    """The first key of each of ``RANGES`` ranges at most, the buckets that each is parted into, by its rows, and the
+    largest key."""
     at = [i / RANGES for i in range(RANGES)]
-    n, least, found = keys.agg(F.count("*"), F.min("__k"), F.percentile_approx("__k", at, 10 * RANGES)).first()
+    n, least, most, found = keys.agg(F.count("*"), F.min("__k"), F.max("__k"), F.percentile_approx("__k", at, 10 * RANGES)).first()
     if not n:
-        return [0], [1]
+        return [0], [1], 0
     found = [least, *found]
     often = {b for a, b in zip(found, found[1:], strict=False) if a == b}  # an id that fills a range has one of its own
     lows = sorted({*found, *(b + 1 for b in often if b < (1 << 63) - 1)})
     each = max(1, round(n / RANGES / bucket_rows))
-    return lows, [each * max(1, found.count(low)) for low in lows]
+    return lows, [each * max(1, found.count(low)) for low in lows], most
 
 
-def with_next(docs: DataFrame, id_column: str = "doc_id", bucket_rows: int | None = None) -> DataFrame:
-    """(id, text, next_text, fingerprint, next_fingerprint) in which the next document is that of the next larger id;
-    after the last comes the first.
+def _buckets(docs: DataFrame, id_column: str, bucket_rows: int) -> DataFrame:
+    """(__id, text, __k, __h, __b): rows with their bucket of neighbours by (__k, __h), about ``bucket_rows`` in each.
 
-    Null ids come before all others; rows of one id follow each other by the hash of their texts, then by these. Rows
-    are dealt to buckets of neighbours: by ranges of ids that the search in a table of fixed size finds, and within a
-    range by the place of the id, or of the hash where one id fills the range. The first rows of each bucket are also
-    put at the end of the bucket before, so that no order over all rows in one place is needed.
+    Buckets cut by place have over four times the rows where ids are clumped, lie far out or repeat: their rows, without
+    texts, are then ranked, and cut by rank. Rows of one id and one hash stay together.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.col(id_column).alias("__id"), text.alias("text"), F.coalesce(F.col(id_column), F.lit(-(1 << 63))).alias("__k"), F.xxhash64(text).alias("__h")
     )
-    lows, parts = _ranges(rows.select("__k"), bucket_rows or BUCKET_ROWS)
-    highs = [*lows[1:], (1 << 63) - 1]
+    lows, parts, most = _ranges(rows.select("__k"), bucket_rows)
+    highs = [*lows[1:], min(most, (1 << 63) - 2) + 1]
     longs = lambda values: F.array(*[F.lit(v).cast("bigint") for v in values])
     halves = [1 << i for i in reversed(range(max(1, len(lows) - 1).bit_length()))]
     ahead = lambda at, step: F.coalesce(F.get(longs(lows), (at + step).cast("int")) <= F.col("__k"), F.lit(False))
@@ -73,18 +72,40 @@ def with_next(docs: DataFrame, id_column: str = "doc_id", bucket_rows: int | Non
     by_hash = (F.col("__h").cast("double") + 2.0**63) / 2.0**64
     share = F.when(high - 1 > low, (F.col("__k").cast("double") - low.cast("double")) / span).otherwise(by_hash)
     within = F.least(F.floor(share * part), part - 1)
-    rows = rows.withColumn("__b", F.struct(F.col("__r").cast("bigint").alias("r"), within.alias("w")))
-    firsts = rows.groupBy("__b").agg(F.min(F.struct("__k", "__h")).alias("__first"))  # a short row a bucket
-    order = Window.orderBy("__b")
-    firsts = firsts.select(
-        "__b", "__first", F.coalesce(F.lag("__b").over(order), F.max("__b").over(order.rowsBetween(0, Window.unboundedFollowing))).alias("__before")
-    )
+    rows = rows.withColumn("__w", F.col("__r").cast("bigint") * (1 << 44) + within).drop("__r")
+    large = shared_table(rows.groupBy("__w").agg(F.count("*").alias("n")).filter(F.col("n") > 4 * bucket_rows).select("__w"), "large")
+    n = large.count()
+    if not n:
+        return rows.select("__id", "text", "__k", "__h", F.struct("__w", F.lit(0).cast("bigint").alias("s")).alias("__b"))
+    side = F.broadcast(large) if n <= BROADCAST_ROWS else large
+    places = ranked(rows.select("__w", "__k", "__h").join(side, "__w"), "__w", ["__k", "__h"])
+    cut = shared_table(places.groupBy("__k", "__h").agg(F.floor(F.min("rank") / bucket_rows).alias("s")), "cuts")
+    calm = rows.join(side, "__w", "left_anti").withColumn("s", F.lit(0).cast("bigint"))
+    both = calm.unionByName(rows.join(side, "__w").join(cut, ["__k", "__h"]).select(calm.columns))
+    return both.select("__id", "text", "__k", "__h", F.struct("__w", "s").alias("__b"))
+
+
+def with_next(docs: DataFrame, id_column: str = "doc_id", bucket_rows: int | None = None) -> DataFrame:
+    """(id, text, next_text, fingerprint, next_fingerprint) in which the next document is that of the next larger id;
+    after the last comes the first.
+
+    Null ids come before all others; rows of one id follow each other by the hash of their texts, then by these. Rows
+    are dealt to buckets of neighbours: by ranges of ids that the search in a table of fixed size finds, within a range by
+    the place of the id, or of the hash where one id fills the range, and by rank where that leaves many together. The
+    first rows of each bucket are also put at the end of the bucket before, so that no order over all rows in one place is
+    needed.
+    """
+    rows = _buckets(docs, id_column, bucket_rows or BUCKET_ROWS)
+    firsts = rows.groupBy("__b").agg(F.min(F.struct("__k", "__h")).alias("__head"))  # a short row a bucket
+    firsts = shared_table(ranked(firsts.withColumn("__one", F.lit(0)), "__one", ["__b"]).drop("__one"), "firsts")
+    behind = firsts.select(F.col("__b").alias("__before"), F.pmod(F.col("rank") + 1, F.col("n")).alias("rank"))
+    firsts = firsts.join(behind, "rank").select("__b", "__head", "__before")
     firsts = shared_table(firsts, "buckets")
     side = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
     # the call of ICU is worked out wherever it is named, so that it stands in a column of its own
     rows = rows.withColumn("__form", canonical(F.col("text"))).withColumn("fingerprint", digest(F.col("__form"))).drop("__form")
     joined = rows.join(side, "__b")
-    is_first = F.struct("__k", "__h") == F.col("__first")
+    is_first = F.struct("__k", "__h") == F.col("__head")
     own = F.struct(F.col("__b").alias("b"), F.lit(False).alias("copy"))
     before = F.struct(F.col("__before").alias("b"), F.lit(True).alias("copy"))
     dealt = joined.withColumn("__at", F.explode(F.when(is_first, F.array(own, before)).otherwise(F.array(own))))

@@ -160,6 +160,26 @@ def test_buckets_of_repeated_null_and_far_ids(spark, monkeypatch, ids):
     assert {(r["doc_id"], r["text"], r["next_text"]) for r in fingerprint.with_next(docs).collect()} == want
 
 
+@pytest.mark.parametrize("ids", ["dense", "clumped", "outlying", "repeated"])
+def test_buckets_of_all_kinds_of_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(fingerprint, "RANGES", 4)
+    k = {
+        "dense": list(range(2000)),
+        "clumped": [*range(10**6, 10**6 + 1500), *range(0, 10**12, 2 * 10**9)],
+        "outlying": [*range(1999), (1 << 63) - 1],
+        "repeated": [*[7] * 900, *range(600), *[600] * 500],
+    }[ids]
+    docs = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(k)], "doc_id bigint, text string")
+    buckets = fingerprint._buckets(docs, "doc_id", 50)
+    sizes = [r["count"] for r in buckets.groupBy("__b").count().collect()]
+    assert sum(sizes) == len(k) and max(sizes) <= 200
+    rows = sorted((r["__b"], r["__k"], r["__h"]) for r in buckets.collect())
+    assert [r[1:] for r in rows] == sorted(r[1:] for r in rows)
+    texts = [r["text"] for r in sorted(buckets.collect(), key=lambda r: (r["__k"], r["__h"]))]
+    got = {(r["text"], r["next_text"]) for r in fingerprint.with_next(docs, bucket_rows=50).collect()}
+    assert got == set(zip(texts, [*texts[1:], texts[0]], strict=True))
+
+
 def test_equal_digests_of_other_bytes_are_parted(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "digest", lambda form: F.lpad(F.length(form).cast("string"), 32, "0"))
     docs = spark.createDataFrame([(1, "aa"), (2, "bb"), (3, "AA "), (4, "ccc"), (5, "aa")], "doc_id bigint, text string")
