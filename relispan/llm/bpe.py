@@ -27,6 +27,8 @@ TABLE_CHUNKS = 8192  # shared chunks in the table, each of CHUNK_MOST bytes at m
 CHUNK_ONE_IN, CHUNK_LEAST, CHUNK_MOST = 1024, 256, 8192
 KEPT_PIECES = 400_000  # in two generations, about 80 MB in a Python worker
 BATCH = 256
+#: Tokenizers that encode its pieces in another way than the whole get whole texts.
+SAMPLE = "The Pump, model A-7 (3.5 kW), can't  fail. Ünïcode é÷× naïve\tÇA va?\n\n x86 DON'T a.b <|x|> 10,000. \u4e2d\u6587 end."
 SPACES = b" \t\n\r\x0b\x0c"
 
 
@@ -56,6 +58,9 @@ class Encoder:
         self.mark = mark[0] if len(mark) == 1 else None
         self.kept: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.by_pieces = True
+        sample = SAMPLE.encode()
+        self.by_pieces = self.encode([sample])[0] == self.whole(sample)
 
     def _without_rules(self):
         """The same model for words of small letters a-z, which normalisation and the splitting rule leave whole.
@@ -120,6 +125,8 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.by_pieces:
+            return [self.whole(t) for t in texts]
         split = [pieces_of(t) for t in texts]
         self.learn(set().union(*split))
         get = self.kept.__getitem__
@@ -194,8 +201,11 @@ def assemble(texts: list[bytes], table: dict[bytes, bytes], enc: Encoder) -> lis
 
     ``table``: the ids of the middle part of each shared chunk. Every join with such a chunk is encoded again by the
     library itself, with the words on both sides of it: where it doesn't give the ids that were put together, more
-    words are taken, until both agree or all of the text has been encoded as a whole.
+    words are taken, until both agree or all of the text has been encoded as a whole. Tokenizers that don't encode pieces
+    independently get whole texts.
     """
+    if not enc.by_pieces:
+        return enc.encode(texts)
     plans, fresh = [], []
     for text in texts:
         plan: list[tuple[bytes, bytes | None]] = []  # a part of the text, and its ids if the table has them

@@ -64,6 +64,19 @@ def test_shared_chunks_are_used(spark, library):
     assert all(got[i] == got[1000 + i] == expected(library, t) for i, t in rows)
 
 
+def test_a_tokenizer_of_another_kind_gets_whole_texts(spark, library):
+    from tokenizers import Tokenizer
+
+    other = bpe.tokenizer_path("byte_bpe_50k.json")
+    known = Tokenizer.from_file(other)
+    texts = ["The Pump  failed, twice.\n\n Again", "", " x", "a passage that two share " * 900, "Ab a passage that two share " * 900]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["ids"], r["decoded"]) for r in bpe.encode_documents(docs, ["doc_id"], other, with_ids=True).collect()}
+    ids = [known.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got == {i: (x, known.decode(x, skip_special_tokens=False)) for i, x in enumerate(ids)}
+    assert bpe.Encoder(bpe.tokenizer_path()).by_pieces and not bpe.Encoder(other).by_pieces
+
+
 def test_elias_fano():
     rng = np.random.RandomState(0)
     for n, span in ((0, 0), (1, 0), (1, 5), (5, 3), (1000, 10), (1000, 1 << 40), (3000, 5000)):
