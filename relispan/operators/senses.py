@@ -6,6 +6,11 @@ a similarity table (x, y, s) holds both directions and leaves out what is not si
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +18,7 @@ from relispan.operators.similarity import harmonic, joint_words, semantic_simila
 from relispan.plans.shared import shared_table
 
 METHODS = ("simple", "cosine", "adapted")
+CONTEXTS, SENSES = 1 << 12, 1 << 15  # of a block
 
 
 def dag_ancestors(taxonomy: DataFrame) -> DataFrame:
@@ -88,10 +94,6 @@ def sense_similarities(similarity: DataFrame) -> DataFrame:
     return s.select(F.col("a").alias("x"), F.col("b").alias("y"), "s").union(s.filter("a <> b").select("b", "a", "s")).distinct()
 
 
-def _counted(frame: DataFrame, key: str, words: str, name: str) -> DataFrame:
-    return frame.select(key, F.explode(words).alias("token")).groupBy(key, "token").agg(F.count("*").alias(name))
-
-
 def extended(senses: DataFrame, links: DataFrame) -> DataFrame:
     """``senses`` with each gloss followed by those of linked senses (sense, other), as of parents and children."""
     own = senses.groupBy("sense").agg(F.first("gloss").alias("gloss"))
@@ -104,9 +106,12 @@ def choose_senses(contexts: DataFrame, senses: DataFrame, method: str = "simple"
     """(id, word, sense, score): of a word's senses the one that fits its context (id, word, context) best; ties by sense.
 
     simple counts the words that the gloss and the context share, each once; cosine compares them as vectors of counts;
-    adapted counts as simple does with glosses extended along ``links``. Every sense of the word is scored, each with a
-    context once, by its gloss's words and the context's, which meet by (context, word), so that a frequent word is no hot
-    key. Words without senses have no row. A context with several rows of one id is that of any of them.
+    adapted counts as simple does with glosses extended along ``links``. ``contexts`` may have an array ``words`` in place
+    of ``word``, so that a context isn't repeated for each of its words. Words without senses have no row. A context with
+    several rows of one id is that of any of them.
+
+    Contexts and senses meet in blocks, in which each sense of a context's words is scored; only the best sense of each
+    word leaves a block, so that what is moved goes with the contexts and not with the words that they share with glosses.
     """
     if method not in METHODS:
         raise ValueError(f"the method must be one of {METHODS}, not {method!r}")
@@ -114,23 +119,65 @@ def choose_senses(contexts: DataFrame, senses: DataFrame, method: str = "simple"
         if links is None:
             raise ValueError("adapted needs links between senses")
         senses = extended(senses, links)
-    asked = contexts.select("id", "word").distinct().join(senses.select("word", "sense").distinct(), "word")
-    asked = shared_table(asked, "asked")
-    glosses = senses.groupBy("sense").agg(F.first("gloss").alias("gloss"))
-    g = _counted(glosses, "sense", "gloss", "g")
-    c = _counted(contexts.groupBy("id").agg(F.first("context").alias("context")), "id", "context", "c")
-    pairs = asked.select("id", "sense").distinct().join(g, "sense").join(c, ["id", "token"])
-    scores = pairs.groupBy("id", "sense").agg(F.count("*").cast("double").alias("shared"), F.sum(F.col("g") * F.col("c")).alias("dot"))
-    score = F.col("shared")
-    if method == "cosine":
-        size = lambda frame, key, n: frame.groupBy(key).agg(F.sqrt(F.sum(F.col(n) * F.col(n))).alias(f"{n}_size"))
-        scores = scores.join(size(g, "sense", "g"), "sense").join(size(c, "id", "c"), "id")
-        score = F.col("dot") / (F.col("g_size") * F.col("c_size"))
-    scored = asked.join(scores.select("id", "sense", score.alias("score")), ["id", "sense"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    best = scored.groupBy("id", "word").agg(F.min(F.struct((-F.col("score")).alias("k"), "sense")).alias("b"))
+    listed = F.flatten(F.collect_list("words")) if "words" in contexts.columns else F.collect_set("word")
+    texts = contexts.filter("id IS NOT NULL").groupBy("id").agg(F.array_distinct(listed).alias("words"), F.first("context").alias("context"))
+    texts = shared_table(texts, "contexts")
+    held = senses.filter("sense IS NOT NULL").groupBy("sense").agg(F.collect_set("word").alias("words"), F.first("gloss").alias("gloss"))
+    held = shared_table(held, "senses")
+    n, m = (max(1, math.ceil(frame.count() / most)) for frame, most in ((texts, CONTEXTS), (held, SENSES)))
+    dealt = lambda key, k: F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = texts.withColumn("block", dealt("id", n)).withColumn("part", every(m))
+    right = held.withColumn("part", dealt("sense", m)).withColumn("block", every(n))
+    kind = lambda frame, c: frame.schema[c].dataType.simpleString()
+    kinds = f"id {kind(texts, 'id')}, word string, sense {kind(held, 'sense')}, score double"
+    run = lambda x, y: _best_in_block(x, y, method == "cosine")
+    best = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, kinds)
+    if m == 1:
+        return best
+    best = best.groupBy("id", "word").agg(F.min(F.struct((-F.col("score")).alias("k"), "sense")).alias("b"))
     return best.select("id", "word", F.col("b.sense").alias("sense"), (-F.col("b.k")).alias("score"))
 
 
+def _best_in_block(texts: pa.Table, senses: pa.Table, cosine: bool) -> pa.Table:
+    """(id, word, sense, score): of a block's senses the best one of each word of each text, in arrays of places."""
+    senses = senses.sort_by("sense")
+    met: dict[str, list[tuple[int, int]]] = {}
+    sizes = np.zeros(len(senses))
+    for j, gloss in enumerate(senses["gloss"].to_pylist()):
+        counts = Counter(gloss or ())
+        sizes[j] = sum(c * c for c in counts.values()) ** 0.5
+        for token, c in counts.items():
+            met.setdefault(token, []).append((j, c if cosine else 1))
+    near = {token: tuple(np.array(x).T) for token, x in met.items() if token is not None}
+    named: dict[str, list[int]] = {}
+    for j, words in enumerate(senses["words"].to_pylist()):
+        for word in words:
+            named.setdefault(word, []).append(j)
+    options = {word: np.array(x) for word, x in named.items()}
+    row, words, chosen, score = [], [], [], []
+    for i, (asked, context) in enumerate(zip(texts["words"].to_pylist(), texts["context"].to_pylist(), strict=True)):
+        counts = Counter(context or ())
+        value = np.zeros(len(senses))
+        for token, c in counts.items():
+            if token in near:
+                at, times = near[token]
+                value[at] += times * c if cosine else times
+        if cosine:
+            low = sizes * sum(c * c for c in counts.values()) ** 0.5
+            value = np.divide(value, low, out=np.zeros(len(senses)), where=low > 0)
+        for word in asked:
+            if word in options:
+                at = options[word]
+                best = at[value[at].argmax()]  # the first of equal ones
+                row.append(i)
+                words.append(word)
+                chosen.append(best)
+                score.append(value[best])
+    columns = [texts["id"].take(pa.array(row, pa.int64())), pa.array(words, pa.string()), senses["sense"].take(pa.array(chosen, pa.int64())), pa.array(score, pa.float64())]
+    return pa.table(columns, names=["id", "word", "sense", "score"])
+
+
 def choose_by_similarity(contexts: DataFrame, senses: DataFrame, similarity: DataFrame) -> DataFrame:
     """(id, word, sense, score): of a word's senses (word, sense) the one whose similarities to the best sense of each
     other word of the context (id, word) sum up highest; ties by sense."""

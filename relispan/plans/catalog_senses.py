@@ -64,7 +64,7 @@ def _choices(read, method: str):
     items = read("benchmark").select(F.col("item_id").alias("sense"), _words().alias("gloss"))
     held = items.select(F.explode(F.array_distinct("gloss")).alias("word"), "sense", "gloss")
     contexts = read("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), _words().alias("context"))
-    contexts = contexts.select("id", F.explode(F.array_distinct("context")).alias("word"), "context")
+    contexts = contexts.select("id", F.array_distinct("context").alias("words"), "context")
     links = items.select("sense", F.explode(F.array(F.col("sense") - 1, F.col("sense") + 1)).alias("other"))
     return senses.choose_senses(contexts, held, method, links).select("id", "word", "sense", r6("score", "score"))
 

@@ -120,3 +120,20 @@ def test_disambiguated_sentences(spark):
     pairs = spark.createDataFrame([(1, "river bank".split(), "river bass".split()), (2, "bank money".split(), "river bass".split()), (3, ["x"], ["x"])], "pair_id int, a array<string>, b array<string>")
     got = {r["pair_id"]: r["semantic"] for r in senses.disambiguated_similarity(pairs, table, near).collect()}
     assert got[1] == pytest.approx(2 * 0.7 / (1 + 0.49)) and got[2] == 0 and got[3] == 0
+
+
+@pytest.mark.parametrize("method", ["simple", "cosine"])
+def test_choice_of_senses_in_blocks(spark, monkeypatch, method):
+    """Contexts and senses in blocks of two give what they give in one, each context coming once with all its words."""
+    glosses = {"s1": ["a", "b", "b"], "s2": ["a", "c"], "s3": ["c", "d"], "s4": ["b"], "s5": ["a", "b"]}
+    table = spark.createDataFrame([(w, s, g) for s, g in glosses.items() for w in ("x", "y", "z") if (s, w) != ("s1", "z")], "word string, sense string, gloss array<string>")
+    texts = [(i, ["x", "z", "none", "x"], t.split()) for i, t in enumerate(["a b", "c d", "a c c", "q", "b b b", "d"])]
+    whole = spark.createDataFrame([*texts, (None, ["x"], ["a"])], "id long, words array<string>, context array<string>")
+    apart = spark.createDataFrame([(i, w, c) for i, ws, c in texts for w in ws], "id long, word string, context array<string>")
+    rows = lambda frame: sorted((r["id"], r["word"], r["sense"], round(r["score"], 9)) for r in frame.collect())
+    one = rows(senses.choose_senses(whole, table, method))
+    assert len(one) == 12 and one[0][2] == ("s5" if method == "cosine" else "s1")
+    monkeypatch.setattr(senses, "CONTEXTS", 2)
+    monkeypatch.setattr(senses, "SENSES", 2)
+    assert rows(senses.choose_senses(whole, table, method)) == one
+    assert rows(senses.choose_senses(apart, table, method)) == one
