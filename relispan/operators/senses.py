@@ -91,7 +91,8 @@ def dag_similarity(pairs: DataFrame, taxonomy: DataFrame, counts: DataFrame | No
 def sense_similarities(similarity: DataFrame) -> DataFrame:
     """(x, y, s) in both directions from path and wup of ``dag_similarity``: their harmonic mean."""
     s = similarity.select("a", "b", harmonic(F.col("path"), F.col("wup")).alias("s"))
-    return s.select(F.col("a").alias("x"), F.col("b").alias("y"), "s").union(s.filter("a <> b").select("b", "a", "s")).distinct()
+    both = s.select(F.col("a").alias("x"), F.col("b").alias("y"), "s").union(s.filter("a <> b").select("b", "a", "s")).distinct()
+    return shared_table(both, "similarities")  # its size is known then, so that a small one isn't moved by its words
 
 
 def extended(senses: DataFrame, links: DataFrame) -> DataFrame:
@@ -180,34 +181,54 @@ def _best_in_block(texts: pa.Table, senses: pa.Table, cosine: bool) -> pa.Table:
 
 def choose_by_similarity(contexts: DataFrame, senses: DataFrame, similarity: DataFrame) -> DataFrame:
     """(id, word, sense, score): of a word's senses (word, sense) the one whose similarities to the best sense of each
-    other word of the context (id, word) sum up highest; ties by sense."""
-    words = contexts.select("id", "word").distinct()
-    held = shared_table(words.join(senses.select("word", "sense").distinct(), "word"), "held")
-    other = held.select("id", F.col("word").alias("w2"), F.col("sense").alias("y"))
-    near = held.withColumnRenamed("sense", "x").join(similarity, "x").join(other, ["id", "y"]).filter("word <> w2")
-    best = near.groupBy("id", "word", "x", "w2").agg(F.max("s").alias("s")).groupBy("id", "word", F.col("x").alias("sense")).agg(F.sum("s").alias("score"))
-    scored = held.join(best, ["id", "word", "sense"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    chosen = scored.groupBy("id", "word").agg(F.min(F.struct((-F.round("score", 9)).alias("k"), "sense", "score")).alias("b"))
-    return chosen.select("id", "word", F.col("b.sense").alias("sense"), F.col("b.score").alias("score"))
+    other word of the context (id, word) sum up highest; ties by sense.
+
+    The choice goes by the words of a context alone: each set of words is settled once. The best similarity of a sense to
+    another word is looked up once for each two words that meet.
+    """
+    sets = shared_table(contexts.filter("id IS NOT NULL").groupBy("id").agg(F.array_sort(F.collect_set("word")).alias("words")), "sets")
+    table = senses.select("word", "sense").distinct()
+    each = shared_table(sets.select("words").distinct(), "words")
+    word = each.select("words", F.explode("words").alias("word"))
+    two = word.join(word.withColumnRenamed("word", "w2"), "words").filter("word <> w2")
+    other = table.select(F.col("word").alias("w2"), F.col("sense").alias("y"))
+    met = two.select("word", "w2").distinct().join(table.withColumnRenamed("sense", "x"), "word").join(other, "w2")
+    near = met.join(similarity, ["x", "y"]).groupBy("word", "w2", F.col("x").alias("sense")).agg(F.max("s").alias("s"))
+    total = two.join(near, ["word", "w2"]).groupBy("words", "word", "sense").agg(F.sum("s").alias("score"))
+    scored = word.join(table, "word").join(total, ["words", "word", "sense"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    chosen = scored.groupBy("words", "word").agg(F.min(F.struct((-F.round("score", 9)).alias("k"), "sense", "score")).alias("b"))
+    row = F.struct("word", F.col("b.sense").alias("sense"), F.col("b.score").alias("score"))
+    settled = shared_table(chosen.groupBy("words").agg(F.collect_list(row).alias("c")), "settled")
+    made = sets.join(settled, "words").select("id", F.explode("c").alias("c")).select("id", "c.*")
+    # rows without an id meet nothing
+    alone = contexts.filter("id IS NULL").select("id", "word").distinct().join(table, "word").groupBy("id", "word").agg(F.min("sense").alias("sense"))
+    return made.unionByName(alone.select("id", "word", "sense", F.lit(0.0).alias("score")))
 
 
 def order_similarity(pairs: DataFrame, similarity: DataFrame, least: float = 0.9) -> DataFrame:
-    """(pair_id, ordering): 1 - |r - s| / |r + s| of the places of all members of lists a and b in both.
+    """(pair_id, ordering), one row a pair: 1 - |r - s| / |r + s| of the places of all members of lists a and b in both.
 
     A member that a list lacks has the place, counted from 0, of the one most like it there (ties by place) if that is over
     ``least``, else 0; others count from 1. Words or senses will do. 1 where all places are 0.
+
+    Pairs are moved once, by their id; what is worked out of them stays where they are unless similarities are so many
+    that they must be moved as well.
     """
-    joint = shared_table(pairs.select("pair_id", "a", "b", F.posexplode(joint_words(F.col("a"), F.col("b"))).alias("k", "x")), "joint")
-    value = joint
-    for side in ("a", "b"):
-        lacks = joint.filter(~F.array_contains(side, F.col("x"))).select("pair_id", "x", F.posexplode(side).alias("at", "y"))
-        best = lacks.join(similarity, ["x", "y"]).groupBy("pair_id", "x").agg(F.max(F.struct("s", (-F.col("at")).alias("at"))).alias("best"))
-        like = best.filter(F.col("best.s") > least).select("pair_id", "x", (-F.col("best.at")).alias(f"like_{side}"))
-        value = value.join(like, ["pair_id", "x"], "left")
-        value = value.withColumn(f"v{side}", F.when(F.array_contains(side, F.col("x")), F.array_position(side, F.col("x"))).otherwise(F.coalesce(f"like_{side}", F.lit(0))).cast("double"))
-    gap, both = F.col("va") - F.col("vb"), F.col("va") + F.col("vb")
-    sums = value.groupBy("pair_id").agg(F.sqrt(F.sum(gap * gap)).alias("gap"), F.sqrt(F.sum(both * both)).alias("both"))
-    return pairs.select("pair_id").join(sums, "pair_id", "left").select("pair_id", F.when(F.coalesce("both", F.lit(0.0)) == 0, 1.0).otherwise(1 - F.col("gap") / F.col("both")).alias("ordering"))
+    dealt = pairs.select("pair_id", "a", "b").repartition("pair_id")
+    joint = dealt.select("pair_id", "a", "b", F.explode_outer(joint_words(F.col("a"), F.col("b"))).alias("word"))
+    place = lambda c: F.coalesce(F.array_position(c, F.col("word")), F.lit(0))
+    joint = joint.withColumns({"pa": place("a"), "pb": place("b")})
+    lacks = F.when(F.col("pa") == 0, F.col("a")).when(F.col("pb") == 0, F.col("b"))
+    each = joint.select("pair_id", "word", "pa", "pb", F.posexplode_outer(lacks).alias("at", "y"))
+    found = each.join(similarity.select(F.col("x").alias("word"), "y", "s"), ["word", "y"], "left")
+    keys = ["pair_id", "word", "pa", "pb"]
+    first = found.groupBy(*keys, "s").agg(F.min("at").alias("at"))  # the first of equal ones
+    best = first.groupBy(*keys).agg(F.max("s").alias("s"), F.max_by("at", "s").alias("at"))
+    like = F.when(F.col("s") > least, F.col("at")).otherwise(0)
+    value = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(like).cast("double")
+    gap, both = value("pa") - value("pb"), value("pa") + value("pb")
+    sums = best.groupBy("pair_id").agg(F.sqrt(F.sum(gap * gap)).alias("gap"), F.sqrt(F.sum(both * both)).alias("both"))
+    return sums.select("pair_id", F.when(F.coalesce("both", F.lit(0.0)) == 0, 1.0).otherwise(1 - F.col("gap") / F.col("both")).alias("ordering"))
 
 
 def list_similarity(pairs: DataFrame, similarity: DataFrame, delta: float = 0.85) -> DataFrame:

@@ -56,24 +56,29 @@ def weighted_cosine(pairs: DataFrame, ic: DataFrame) -> DataFrame:
 
 
 def semantic_similarity(pairs: DataFrame, word_similarity: DataFrame, ic: DataFrame | None = None, least: float = 0.2) -> DataFrame:
-    """(pair_id, semantic): cosine of the joint words' values in both lists a and b of a pair.
+    """(pair_id, semantic), one row a pair: cosine of the joint words' values in both lists a and b of a pair.
 
     A word counts 1 where the list has it, else the best similarity (x, y, s) to a word of the list if that is over
     ``least``; ``ic`` (word, ic) weighs values by the information content of the word. 0 if a list has no value.
+
+    Pairs are moved once, by their id; what is worked out of them stays where they are unless similarities are so many
+    that they must be moved as well.
     """
-    joint = pairs.select("pair_id", F.explode(joint_words(F.col("a"), F.col("b"))).alias("word"), "a", "b")
-    value = joint
-    for side in ("a", "b"):
-        near = joint.select("pair_id", "word", F.explode(F.array_distinct(side)).alias("y"))
-        best = near.join(word_similarity, (F.col("word") == F.col("x")) & (near["y"] == word_similarity["y"])).groupBy("pair_id", "word").agg(F.max("s").alias(f"s{side}"))
-        value = value.join(best, ["pair_id", "word"], "left")
-        v = F.when(F.array_contains(side, F.col("word")), 1.0).when(F.col(f"s{side}") > least, F.col(f"s{side}")).otherwise(0.0)
-        value = value.withColumn(f"v{side}", v)
+    dealt = pairs.select("pair_id", "a", "b").repartition("pair_id")
+    joint = dealt.select("pair_id", "a", "b", F.explode_outer(joint_words(F.col("a"), F.col("b"))).alias("word"))
+    held = lambda c: F.coalesce(F.array_contains(c, F.col("word")), F.lit(False))
+    joint = joint.withColumns({"in_a": held("a"), "in_b": held("b")})
+    lacks = F.when(~F.col("in_a"), F.col("a")).when(~F.col("in_b"), F.col("b"))
+    each = joint.select("pair_id", "word", "in_a", "in_b", F.explode_outer(F.array_distinct(lacks)).alias("y"))
+    found = each.join(word_similarity.select(F.col("x").alias("word"), "y", "s"), ["word", "y"], "left")
+    value = found.groupBy("pair_id", "word", "in_a", "in_b").agg(F.max("s").alias("s"))
+    like = F.when(F.col("s") > least, F.col("s")).otherwise(0.0)
+    value = value.withColumns({f"v{c}": F.when(F.col(f"in_{c}"), 1.0).otherwise(like) for c in ("a", "b")})
     if ic is not None:
         value = value.join(ic, "word", "left").withColumn("va", F.col("va") * F.coalesce("ic", F.lit(1.0))).withColumn("vb", F.col("vb") * F.coalesce("ic", F.lit(1.0)))
     sums = value.groupBy("pair_id").agg(F.sum(F.col("va") * F.col("vb")).alias("xy"), F.sum(F.col("va") * F.col("va")).alias("xx"), F.sum(F.col("vb") * F.col("vb")).alias("yy"))
     low = F.sqrt(F.col("xx") * F.col("yy"))
-    return pairs.select("pair_id").join(sums, "pair_id", "left").select("pair_id", F.when(low > 0, F.col("xy") / low).otherwise(0.0).alias("semantic"))
+    return sums.select("pair_id", F.when(low > 0, F.col("xy") / low).otherwise(0.0).alias("semantic"))
 
 
 def sentence_similarity(semantic: Column, order: Column, delta: float = 0.85) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from relispan.operators import senses
 from relispan.plans.catalog import query, r6
+from relispan.plans.shared import shared_table
 
 # ---- a taxonomy with several parents: nations in regions, and in groups by number, which lie a level deeper
 
@@ -93,12 +94,17 @@ _ALL_PAIRS = "pair AS (SELECT DISTINCT 'n' || s.s_nationkey AS a, 'n' || t.s_nat
 
 
 def _in_orders(read):
-    return read("lineitem").join(read("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("l_orderkey").alias("id"), "l_linenumber", F.col("s_nationkey"), _name("n", F.col("s_nationkey")).alias("n"))
+    return read("lineitem").join(read("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("l_orderkey").alias("id"), "s_nationkey")
 
 
-def _met_in_orders(read):
-    own = _in_orders(read).select("id", "n").distinct()
-    met = own.select("id", F.col("n").alias("a")).join(own.select("id", F.col("n").alias("b")), "id").select("a", "b").distinct()
+def _lists(read):
+    """(id, l): the nations of each order's suppliers; read more than once."""
+    found = _in_orders(read).groupBy("id").agg(F.collect_set("s_nationkey").alias("l"))
+    return shared_table(found.select("id", F.array_sort(F.transform("l", lambda n: _name("n", n))).alias("l")), "lists")
+
+
+def _met_in_orders(read, lists):
+    met = lists.filter("id IS NOT NULL").select("l", F.explode("l").alias("a")).select("a", F.explode("l").alias("b")).distinct()
     return senses.sense_similarities(senses.dag_similarity(met, _dag(read)))
 
 
@@ -111,7 +117,7 @@ def _met_in_orders(read):
 def lesk_max_similarity(read):
     words = _in_orders(read).select("id", (F.col("s_nationkey") % 7).alias("word"))
     held = read("nation").select((F.col("n_nationkey") % 7).alias("word"), _name("n", F.col("n_nationkey")).alias("sense"))
-    return senses.choose_by_similarity(words, held, _met_in_orders(read)).select("id", "word", "sense", r6("score", "score"))
+    return senses.choose_by_similarity(words, held, _met_in_orders(read, _lists(read))).select("id", "word", "sense", r6("score", "score"))
 
 
 @query(
@@ -124,10 +130,10 @@ def lesk_max_similarity(read):
     "SELECT pair_id, round(sum(sa * sb) / sqrt(sum(sa * sa) * sum(sb * sb)), 6) AS semantic, round(1 - sqrt(sum((ra - rb) * (ra - rb))) / sqrt(sum((ra + rb) * (ra + rb))), 6) AS ordering FROM v GROUP BY 1"
 )
 def sense_lists(read):
-    lists = _in_orders(read).groupBy("id").agg(F.array_sort(F.collect_set("n")).alias("l"))
+    lists = _lists(read)
     o = lists.join(read("orders").select(F.col("o_orderkey").alias("id"), "o_custkey"), "id")
     following = F.lead("l").over(Window.partitionBy("o_custkey").orderBy("id"))
     pairs = o.select(F.col("id").alias("pair_id"), F.col("l").alias("a"), following.alias("b")).filter("b IS NOT NULL")
-    near = _met_in_orders(read)
+    near = _met_in_orders(read, lists)
     both = senses.semantic_similarity(pairs, near).join(senses.order_similarity(pairs, near, 0.4), "pair_id")
     return both.select("pair_id", r6("semantic", "semantic"), r6("ordering", "ordering"))

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from relispan.operators import senses
 
@@ -137,3 +138,31 @@ def test_choice_of_senses_in_blocks(spark, monkeypatch, method):
     monkeypatch.setattr(senses, "SENSES", 2)
     assert rows(senses.choose_senses(whole, table, method)) == one
     assert rows(senses.choose_senses(apart, table, method)) == one
+
+
+def test_choice_by_similarity_once_a_set_of_words(spark):
+    """Contexts of the same words are settled once: as many rows meet similarities as sets of words have, not contexts."""
+    words = [("p", "p1"), ("p", "p2"), ("q", "q1"), ("q", "q2"), ("r", "r1")]
+    near = [("p2", "q1", 0.5), ("p1", "q2", 0.4), ("p1", "r1", 0.3)]
+    table = spark.createDataFrame(words, "word string, sense string")
+    sim = spark.createDataFrame([*near, *[(y, x, s) for x, y, s in near]], "x string, y string, s double")
+    rows = [(i, w) for i in range(40) for w in ("q", "p", "q")] + [(40, w) for w in "pqr"] + [(41, "p"), (None, "p"), (None, "q")]
+    got = senses.choose_by_similarity(spark.createDataFrame(rows, "id int, word string"), table, sim)
+    assert sorted((r["word"], r["sense"], r["score"]) for r in got.filter("id = 7").collect()) == [("p", "p2", 0.5), ("q", "q1", 0.5)]
+    assert sorted((r["word"], r["sense"], round(r["score"], 6)) for r in got.filter("id = 40").collect()) == [("p", "p1", 0.7), ("q", "q1", 0.5), ("r", "r1", 0.3)]
+    assert sorted((r["id"], r["sense"], r["score"]) for r in got.filter("id = 41").collect()) == [(41, "p1", 0.0)]
+    assert sorted((r["word"], r["sense"], r["score"]) for r in got.filter("id IS NULL").collect()) == [("p", "p1", 0.0), ("q", "q1", 0.0)]
+    assert got.count() == 2 * 40 + 3 + 1 + 2
+    held = spark.read.parquet(*[p.rsplit("/", 1)[0] for p in got.inputFiles() if "/settled/" in p])
+    assert held.count() == 3
+
+
+def test_pairs_of_lists_move_once(spark):
+    """A pair's row is moved by its id alone; its words stay there when they meet few similarities."""
+    pairs = spark.createDataFrame([(i, ["a", "b", None], ["c"]) for i in range(20)] + [(20, None, ["a"])], "pair_id int, a array<string>, b array<string>")
+    sim = spark.createDataFrame([("a", "c", 0.9), ("c", "a", 0.9)], "x string, y string, s double")
+    both = senses.list_similarity(pairs, F.broadcast(sim))
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    got = {r["pair_id"]: (r["semantic"], r["ordering"]) for r in both.collect()}
+    assert len(got) == 21 and got[20] == (0, 1) and got[3][0] == pytest.approx(1.8 / math.sqrt(2.81 * 1.81))
