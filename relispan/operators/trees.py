@@ -74,15 +74,35 @@ def intervals(places: list[np.ndarray], heads: list[np.ndarray], conj: list[np.n
     return tuple(np.split(x, parts) for x in (depth, pre, pre + size - 1, place[top]))
 
 
-def _intervals(i: Column, head: Column, conj: Column) -> Column:
-    names = ("depth", "pre", "last", "top")
+def neighbours(places: list[np.ndarray], heads: list[np.ndarray], marked: list[np.ndarray]) -> tuple[list[np.ndarray], ...]:
+    """Where in its sentence each token's head is (-1: nowhere), and where the first marked one is of those that stand left
+    of it and hang on it (-1: none)."""
+    ats, firsts = [], []
+    for place, head, mark in zip(places, heads, marked, strict=True):
+        n, own = len(place), np.arange(len(place))
+        at = np.minimum(np.searchsorted(place, head), n - 1)
+        at = np.where(place[at] == head, at, -1) if n else own
+        first = np.full(n, n)
+        left = (at >= 0) & (place < head) & mark.astype(bool)
+        np.minimum.at(first, at[left], own[left])
+        ats.append(at)
+        firsts.append(np.where(first < n, first, -1))
+    return ats, firsts
+
+
+def _intervals(i: Column, head: Column, conj: Column, marks: list[Column]) -> Column:
+    """Arrays: what ``intervals`` gives, ``at`` (the head's index), and ``mark0``, ``mark1``, ... (the index of the first token
+    on the left that hangs on it and has the mark)."""
+    names = ("depth", "pre", "last", "top", "at", *[f"mark{k}" for k in range(len(marks))])
 
     @F.pandas_udf(", ".join(f"{n} array<int>" for n in names))
-    def run(i: pd.Series, head: pd.Series, conj: pd.Series) -> pd.DataFrame:
-        found = intervals(i.to_list(), head.to_list(), conj.to_list())
-        return pd.DataFrame({n: pd.Series([a.astype(np.int32) for a in x], dtype=object) for n, x in zip(names, found, strict=True)})
+    def run(i: pd.Series, head: pd.Series, conj: pd.Series, *marks: pd.Series) -> pd.DataFrame:
+        found = [*intervals(i.to_list(), head.to_list(), conj.to_list())]
+        for k, mark in enumerate(marks):
+            found += neighbours(i.to_list(), head.to_list(), mark.to_list())[1 if k else 0 :]
+        return pd.DataFrame({n: pd.Series([np.asarray(a, np.int32) for a in x], dtype=object) for n, x in zip(names, found, strict=True)})
 
-    return run(i, head, conj)
+    return run(i, head, conj, *marks)
 
 
 def numbered(tokens: DataFrame) -> DataFrame:
@@ -94,25 +114,31 @@ def numbered(tokens: DataFrame) -> DataFrame:
     """
     row = F.struct("i", "text", "lemma", "pos", "tag", "dep", "head")
     whole = tokens.groupBy(*KEY).agg(F.sort_array(F.collect_list(row)).alias("t"))
-    got = whole.withColumn("n", _intervals(F.col("t.i"), F.col("t.head"), F.transform("t", lambda x: F.coalesce(x["dep"] == "conj", F.lit(False)))))
-    each = got.select(*KEY, F.explode(F.arrays_zip("t", F.col("n.depth").alias("depth"), F.col("n.pre").alias("pre"), F.col("n.last").alias("last"), F.col("n.top").alias("top"))).alias("x"))
-    t = shared_table(each.select(*KEY, "x.t.*", "x.depth", "x.pre", "x.last", "x.top"), "numbers")
-    left = t.filter("i < head").groupBy(*KEY, F.col("head").alias("i")).agg(
-        F.max(F.col("dep") == "auxpass").alias("aux"),
-        F.max(F.col("dep").startswith("aux") & (F.col("tag") == "MD")).alias("modal"),
-        F.min(F.when(F.col("dep") == "neg", F.struct("i", "text"))).alias("no"),
-    )
-    heads = t.select(*KEY, F.col("i").alias("head"), F.col("dep").alias("head_dep"))
-    joined = t.join(left, [*KEY, "i"], "left").join(heads, [*KEY, "head"], "left")
-    passive = F.coalesce(F.col("dep").endswith("pass") & (F.col("dep") != "auxpass"), F.lit(False)) | F.coalesce("aux", F.lit(False))
-    neg = F.when(F.col("dep") == "neg", F.col("text")).otherwise(F.col("no.text"))
-    return shared_table(joined.select(*t.columns, "head_dep", passive.alias("passive"), F.coalesce("modal", F.lit(False)).alias("modal"), neg.alias("neg")), "trees")
+    flag = lambda c: F.transform("t", lambda x: F.coalesce(c(x), F.lit(False)))
+    marks = [flag(lambda x: x["dep"] == "auxpass"), flag(lambda x: x["dep"].startswith("aux") & (x["tag"] == "MD")), flag(lambda x: x["dep"] == "neg")]
+    got = whole.withColumn("n", _intervals(F.col("t.i"), F.col("t.head"), flag(lambda x: x["dep"] == "conj"), marks))
+    of = lambda name, field: F.transform(f"n.{name}", lambda k: F.when(k >= 0, F.get("t", k)[field])).alias(f"{name}_{field}")
+    has = lambda name: F.transform(f"n.{name}", lambda k: k >= 0).alias(f"{name}_has")
+    arrays = [F.col(f"n.{c}").alias(c) for c in ("depth", "pre", "last", "top")]
+    each = got.select(*KEY, F.explode(F.arrays_zip("t", *arrays, of("at", "dep"), has("mark0"), has("mark1"), of("mark2", "text"))).alias("x"))
+    each = each.select(*KEY, "x.t.*", "x.depth", "x.pre", "x.last", "x.top", F.col("x.at_dep").alias("head_dep"), "x.mark0_has", "x.mark1_has", "x.mark2_text")
+    passive = F.coalesce(F.col("dep").endswith("pass") & (F.col("dep") != "auxpass"), F.lit(False)) | F.col("mark0_has")
+    neg = F.when(F.col("dep") == "neg", F.col("text")).otherwise(F.col("mark2_text"))
+    out = each.withColumns({"passive": passive, "modal": F.col("mark1_has"), "neg": neg}).drop("mark0_has", "mark1_has", "mark2_text")
+    return shared_table(out, "trees")
 
 
 def _as(frame: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
     return frame.select(*KEY, *[F.col(c).alias(f"{prefix}{c}") for c in columns])
 
 
+def _met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the tokens. Neither may be sent to the driver and from there to all executors:
+    files and shuffled rows are packed so well that Spark takes a table for small that fills the driver's memory as a hash
+    table, several of them at once."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _inside(pre: Column, of: str) -> Column:
     return pre.between(F.col(f"{of}pre"), F.col(f"{of}last"))
 
@@ -121,16 +147,16 @@ def span_roots(trees: DataFrame, spans: DataFrame) -> DataFrame:
     """``spans`` (start, end) with the columns of the token nearest to the root among theirs, named r_..."""
     columns = ["i", "text", "lemma", "pos", "dep", "head", "head_dep", "depth", "pre", "last", "top"]
     t = _as(trees, "r_", columns)
-    met = spans.join(t, KEY).filter((F.col("r_i") >= F.col("start")) & (F.col("r_i") < F.col("end")))
+    met = _met(spans, t, KEY).filter((F.col("r_i") >= F.col("start")) & (F.col("r_i") < F.col("end")))
     best = met.groupBy(*spans.columns).agg(F.min(F.struct("r_depth", *[f"r_{c}" for c in columns if c != "depth"])).alias("r"))
     return best.select(*spans.columns, "r.*")
 
 
 def conjectures(trees: DataFrame, asked: DataFrame, lemmas: list[str]) -> DataFrame:
     """(doc_id, sent, i) of the asked tokens (doc_id, sent, i) that a modal verb or a word of conjecture below marks."""
-    t = asked.select(*KEY, "i").distinct().join(trees, [*KEY, "i"]).select(*KEY, "i", "pre", "last", "modal")
+    t = _met(asked.select(*KEY, "i").distinct(), trees, [*KEY, "i"]).select(*KEY, "i", "pre", "last", "modal")
     words = trees.filter(F.lower("lemma").isin(lemmas)).select(*KEY, F.col("pre").alias("w_pre"))
-    met = t.join(words, KEY).filter(F.col("w_pre").between(F.col("pre"), F.col("last"))).select(*KEY, "i")
+    met = _met(t, words, KEY).filter(F.col("w_pre").between(F.col("pre"), F.col("last"))).select(*KEY, "i")
     return t.filter("modal").select(*KEY, "i").unionByName(met).distinct()
 
 
@@ -147,25 +173,25 @@ def subjects(trees: DataFrame, asked: DataFrame) -> DataFrame:
     one. A passive token asks for passive subjects.
     """
     columns = ["i", "pre", "last", "depth", "passive"]
-    a = _as(asked.select(*KEY, "i").distinct().join(trees, [*KEY, "i"]), "a_", columns)
-    up = a.join(_as(trees, "u_", columns), KEY).filter(F.col("a_pre").between(F.col("u_pre"), F.col("u_last")))
+    a = _as(_met(asked.select(*KEY, "i").distinct(), trees, [*KEY, "i"]), "a_", columns)
+    up = _met(a, _as(trees, "u_", columns), KEY).filter(F.col("a_pre").between(F.col("u_pre"), F.col("u_last")))
     below = Window.partitionBy(*KEY, "a_i").orderBy(F.desc("u_depth")).rowsBetween(Window.unboundedPreceding, -1)
     up = up.withColumn("closed", F.coalesce(F.max("u_passive").over(below), F.lit(False))).filter("NOT closed")
     deps = F.when(F.col("a_passive"), F.array(*map(F.lit, PASSIVE_SUBJECTS))).otherwise(F.array(*map(F.lit, SUBJECTS)))
     x = _as(trees, "x_", ["i", "text", "pre", "depth", "dep", "head_dep"])
     named = x.filter(F.col("x_dep").isin(*SUBJECTS, *PASSIVE_SUBJECTS) | F.col("x_head_dep").isin(*SUBJECTS, *PASSIVE_SUBJECTS))
-    met = up.join(named, KEY).filter(_inside(F.col("x_pre"), "u_") & (F.col("x_pre") > F.col("u_pre")) & (F.col("x_i") < F.col("u_i")) & _matching("x_", deps))
+    met = _met(up, named, KEY).filter(_inside(F.col("x_pre"), "u_") & (F.col("x_pre") > F.col("u_pre")) & (F.col("x_i") < F.col("u_i")) & _matching("x_", deps))
     branch = _as(trees, "b_", ["i", "head", "pre", "last"])
     same = (F.col("b_head") == F.col("u_i")) & (F.col("b_i") < F.col("u_i")) & _inside(F.col("x_pre"), "b_")
-    return _nearest(met.join(branch, KEY).filter(same), F.col("a_depth") - F.col("u_depth"))
+    return _nearest(_met(met, branch, KEY).filter(same), F.col("a_depth") - F.col("u_depth"))
 
 
 def objects(trees: DataFrame, asked: DataFrame) -> DataFrame:
     """(doc_id, sent, i, found, text): the object of each asked token: the nearest in its right branches, breadth first."""
-    a = _as(asked.select(*KEY, "i").distinct().join(trees, [*KEY, "i"]), "a_", ["i"])
-    right = a.join(_as(trees, "b_", ["i", "head", "pre", "last"]), KEY).filter((F.col("b_head") == F.col("a_i")) & (F.col("b_i") > F.col("a_i")))
+    a = _as(_met(asked.select(*KEY, "i").distinct(), trees, [*KEY, "i"]), "a_", ["i"])
+    right = _met(a, _as(trees, "b_", ["i", "head", "pre", "last"]), KEY).filter((F.col("b_head") == F.col("a_i")) & (F.col("b_i") > F.col("a_i")))
     x = _as(trees, "x_", ["i", "text", "pre", "depth", "dep", "head_dep"]).filter(_matching("x_", F.array(*map(F.lit, OBJECTS))))
-    return _nearest(right.join(x, KEY).filter(_inside(F.col("x_pre"), "b_")), F.lit(0))
+    return _nearest(_met(right, x, KEY).filter(_inside(F.col("x_pre"), "b_")), F.lit(0))
 
 
 def _nearest(met: DataFrame, steps: Column) -> DataFrame:
@@ -185,14 +211,14 @@ def statuses(trees: DataFrame, entities: DataFrame, health: list[str], conjectur
     e = span_roots(trees, entities)
     about = ["i", "text", "lemma", "pos", "head", "modal", "neg", "passive"]
     h, hh = _as(trees, "h_", about), _as(trees, "hh_", about)
-    e = e.join(h.withColumnRenamed("h_i", "r_head"), [*KEY, "r_head"], "left").join(hh.withColumnRenamed("hh_i", "h_head"), [*KEY, "h_head"], "left")
-    e = e.join(_as(trees, "o_", ["i", "modal", "neg"]).withColumnRenamed("o_i", "r_i"), [*KEY, "r_i"])
+    e = _met(_met(e, h.withColumnRenamed("h_i", "r_head"), [*KEY, "r_head"], "left"), hh.withColumnRenamed("hh_i", "h_head"), [*KEY, "h_head"], "left")
+    e = _met(e, _as(trees, "o_", ["i", "modal", "neg"]).withColumnRenamed("o_i", "r_i"), [*KEY, "r_i"])
     link = trees.filter(F.col("dep").isin("acomp", "attr", "oprd")).groupBy(*KEY, F.col("head").alias("r_head")).agg(F.min(F.struct("i", "text", "lemma", "modal", "neg")).alias("link"))
-    e = e.join(link, [*KEY, "r_head"], "left")
+    e = _met(e, link, [*KEY, "r_head"], "left")
     mods = trees.filter("dep = 'amod'").select(*KEY, F.col("head").alias("r_i"), F.struct("i", "text").alias("m"))
-    e = e.join(mods.groupBy(*KEY, "r_i").agg(F.sort_array(F.collect_list("m")).alias("mods")), [*KEY, "r_i"], "left")
+    e = _met(e, mods.groupBy(*KEY, "r_i").agg(F.sort_array(F.collect_list("m")).alias("mods")), [*KEY, "r_i"], "left")
     guessed = trees.filter(F.lower("lemma").isin(list(conjecture))).select(*KEY, F.lit(True).alias("guessed")).distinct()
-    e = e.join(guessed, KEY, "left")
+    e = _met(e, guessed, KEY, "left")
     dep, outside = F.col("r_dep"), (F.col("r_head") < F.col("start")) | (F.col("r_head") >= F.col("end"))
     subject = dep.isin(*SUBJECTS, *PASSIVE_SUBJECTS, "csubj")
     of = (dep == "pobj") & (F.col("hh_pos") == "NOUN")
@@ -216,10 +242,10 @@ def svo(trees: DataFrame, predicates: DataFrame) -> DataFrame:
     the sentence's root alone if that is one of them, else every such token. The passive turns subject and object round."""
     known = trees.join(predicates.select(F.lower("lemma").alias("__l")).distinct(), F.lower("lemma") == F.col("__l"), "left_semi")
     main = known.filter("depth = 0 AND pos = 'VERB'").select(*KEY, F.lit(True).alias("main")).distinct()
-    asked = known.join(main, KEY, "left").filter("main IS NULL OR depth = 0").select(*KEY, "i", F.col("text").alias("predicate"), "passive")
+    asked = _met(known, main, KEY, "left").filter("main IS NULL OR depth = 0").select(*KEY, "i", F.col("text").alias("predicate"), "passive")
     s = subjects(trees, asked).select(*KEY, "i", F.col("text").alias("s"))
     o = objects(trees, asked).select(*KEY, "i", F.col("text").alias("o"))
-    both = asked.join(s, [*KEY, "i"]).join(o, [*KEY, "i"])
+    both = _met(_met(asked, s, [*KEY, "i"]), o, [*KEY, "i"])
     turned = F.col("passive")
     return both.select(*KEY, "i", F.when(turned, F.col("o")).otherwise(F.col("s")).alias("subject"), "predicate", F.when(turned, F.col("s")).otherwise(F.col("o")).alias("object"))
 
@@ -256,10 +282,10 @@ def causes(trees: DataFrame, entities: DataFrame, keywords: DataFrame, conjectur
     whole = groups.groupBy(*KEY, "grp").agg(F.max(argument).alias("valid"), names.alias("ents"), F.min(F.struct("start", "r_pre"))["r_pre"].alias("anchor"))
     whole = shared_table(whole, "groups")
     several = whole.groupBy(*KEY).agg(F.count("*").alias("groups")).filter("groups > 1").select(*KEY)
-    whole = whole.join(several, KEY, "left_semi")
+    whole = _met(whole, several, KEY, "left_semi")
     heads = _as(trees, "h_", ["i", "pre", "last", "dep", "head"])
     k = span_roots(trees, keywords).withColumn("r_head_i", F.col("r_head"))
-    k = k.join(heads.withColumnRenamed("h_i", "r_head"), [*KEY, "r_head"]).join(several, KEY, "left_semi")
+    k = _met(_met(k, heads.withColumnRenamed("h_i", "r_head"), [*KEY, "r_head"]), several, KEY, "left_semi")
     in_order = Window.partitionBy(*KEY).orderBy("start", "end", "kind")
     k = shared_table(k.withColumn("n", F.row_number().over(in_order)), "keywords")
     # groups of a stretch between two keywords lie right of the first and left of the second
@@ -269,12 +295,12 @@ def causes(trees: DataFrame, entities: DataFrame, keywords: DataFrame, conjectur
     stretch = marks.withColumn("k", F.coalesce(F.last("n", ignorenulls=True).over(w), F.lit(0))).filter("n IS NULL AND valid")
     sides = stretch.select(*KEY, "ents", "anchor", F.explode(F.array(F.struct(F.col("k").alias("n"), F.lit(True).alias("right")), F.struct((F.col("k") + 1).alias("n"), F.lit(False).alias("right")))).alias("s"))
     sides = sides.select(*KEY, "ents", "anchor", "s.n", "s.right")
-    near = k.select(*KEY, "n", "r_pre", "r_last", "h_pre", "h_last").join(sides, [*KEY, "n"])
+    near = _met(k.select(*KEY, "n", "r_pre", "r_last", "h_pre", "h_last"), sides, [*KEY, "n"])
     own = F.col("anchor").between(F.col("r_pre"), F.col("r_last"))
     near = near.withColumn("own", own).filter(own | F.col("anchor").between(F.col("h_pre"), F.col("h_last")))
     listed = lambda c: F.flatten(F.collect_list(F.when(c, F.col("ents"))))
     lists = near.groupBy(*KEY, "n").agg(listed(~F.col("right")).alias("lefts"), listed(F.col("right")).alias("rights"), listed(F.col("right") & F.col("own")).alias("below"), listed(F.col("right") & ~F.col("own")).alias("beside"))
-    k = shared_table(k.join(lists, [*KEY, "n"], "left"), "sides")
+    k = shared_table(_met(k, lists, [*KEY, "n"], "left"), "sides")
     some = lambda c: F.when(F.size(c) > 0, F.col(c))
     k = k.withColumns({c: some(c) for c in ("lefts", "rights", "below", "beside")})
     # subjects and objects of the keyword, what governs it, and what governs that
@@ -283,15 +309,15 @@ def causes(trees: DataFrame, entities: DataFrame, keywords: DataFrame, conjectur
 
     def with_list(frame: DataFrame, found: DataFrame, at: str, name: str) -> DataFrame:
         side = found.select(*KEY, F.col("i").alias(at), F.array(F.struct(F.col("found").alias("i"), "text")).alias(name))
-        return frame.join(side, [*KEY, at], "left")
+        return _met(frame, side, [*KEY, at], "left")
 
     for found, at, name in ((s, "r_i", "own_subject"), (o, "r_i", "own_object"), (s, "r_head", "head_subject"), (o, "r_head", "head_object"), (s, "h_head", "above_subject")):
         k = with_list(k, found, at, name)
     passive = trees.select(*KEY, F.col("i").alias("r_i"), F.col("passive").alias("r_passive"))
-    k = k.join(passive, [*KEY, "r_i"])
+    k = _met(k, passive, [*KEY, "r_i"])
     marked = conjectures(trees, asked, list(conjecture))
     for at, name in (("r_i", "own_guess"), ("r_head", "head_guess")):
-        k = k.join(marked.select(*KEY, F.col("i").alias(at), F.lit(True).alias(name)), [*KEY, at], "left")
+        k = _met(k, marked.select(*KEY, F.col("i").alias(at), F.lit(True).alias(name)), [*KEY, at], "left")
     kind, pos = F.col("kind"), F.col("r_pos")
     verb, noun = (kind == "verb") & (pos == "VERB"), kind.isin("causal-noun", "effect-noun") & (pos == "NOUN")
     main = verb & (F.col("r_depth") == 0)

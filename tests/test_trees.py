@@ -204,3 +204,18 @@ def test_phrases_to_patterns(spark):
         patterns.phrase_pattern("x", "x", attribute="SHAPE")
     empty = spark.createDataFrame([(1, None), (2, [])], "doc_id int, tokens array<struct<text:string,lemma:string,pos:string>>")
     assert patterns.match_patterns(empty, [patterns.phrase_pattern("a", "x")], ["doc_id"]).count() == 0 == patterns.match_patterns(empty, [], ["doc_id"]).count()
+
+
+def test_heads_and_marks_of_neighbours():
+    places, heads = [np.array([0, 1, 2, 5]), np.array([], int)], [np.array([2, 2, 2, 9]), np.array([], int)]
+    at, first = trees.neighbours(places, heads, [np.array([False, True, True, True]), np.array([], bool)])
+    assert at[0].tolist() == [2, 2, 2, -1] and first[0].tolist() == [-1, -1, 1, -1] and not len(at[1]) and not len(first[1])
+
+
+def test_token_tables_are_not_sent_to_the_driver(given, spark):
+    """Whatever Spark takes their size for: the list of predicates alone may be broadcast."""
+    verbs = spark.createDataFrame([("cause",)], "lemma string")
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan(trees.svo(given[0], verbs)) and plan(trees.svo(given[0], verbs)).count("BroadcastHashJoin") <= 1
+    for frame in (trees.causes(*given, ["possible"]), trees.statuses(given[0], given[1], [], []), trees.subjects(given[0], given[0]), trees.objects(given[0], given[0])):
+        assert "Broadcast" not in plan(frame)
