@@ -77,7 +77,7 @@ def accents(text: Column, fast: bool = False) -> Column:
     return _sub(plain, r"[^\x00-\x7F]", "") if fast else plain
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -104,7 +104,7 @@ def brackets(text: Column, only: str | list[str] | None = None) -> Column:
 
         return F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), t, once)
 
-    return _let(text, lambda t: F.when(F.rlike(t, F.lit(f"[{held}]")), without(t)).otherwise(t))
+    return let(text, lambda t: F.when(F.rlike(t, F.lit(f"[{held}]")), without(t)).otherwise(t))
 
 
 def html_tags(text: Column) -> Column:
@@ -169,7 +169,7 @@ def number_of(phrase: Column) -> Column:
         digits = F.when(n + share >= 1000, F.round(n + share, 2)).otherwise(F.round(n + share, 5))
         return F.when(part.isNull(), n.cast("string")).otherwise(six(digits))
 
-    return _let(F.split(F.lower(phrase), "[ -]+"), value)
+    return let(F.split(F.lower(phrase), "[ -]+"), value)
 
 
 def numerize(text: Column) -> Column:
@@ -181,7 +181,7 @@ def numerize(text: Column) -> Column:
         put = lambda gap, phrase: F.concat(plain(gap), F.coalesce(number_of(phrase), phrase, F.lit("")))
         return F.array_join(F.zip_with(F.split(t, _NUMBER, -1), found, put), "")
 
-    return _let(text, lambda t: F.when(F.rlike(t, F.lit(_NUMBER)), made(t)).otherwise(plain(t)))
+    return let(text, lambda t: F.when(F.rlike(t, F.lit(_NUMBER)), made(t)).otherwise(plain(t)))
 
 
 STEPS: dict[str, Callable] = {

@@ -60,7 +60,7 @@ def _known(word: Column, pos: str) -> Column:
     if not forms:
         return F.lit(None).cast("string")
     table = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
-    return F.try_element_at(table, word)
+    return F.when(word.isin(list(forms)), F.try_element_at(table, word))  # a hashed set tells most words at once; maps are searched one by one
 
 
 def _guess(word: Column, pos: str) -> Column:

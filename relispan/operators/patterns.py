@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relispan.functions.clean import let
+
 STATES = 62
 ATTRIBUTES = ("LOWER", "LEMMA", "ORTH", "POS")
 #: Operators; alone in a phrase they stand for determiners.
@@ -64,6 +66,7 @@ class _Word:
     skip: int = 0  # elements that may be left out
     negated: int = 0
     runs: int = 0  # longest run of elements that may be left out
+    longest: int = 0  # elements of the longest pattern
 
     def __post_init__(self):
         self.literals: dict[str, dict[str, int]] = {a: {} for a in ATTRIBUTES}
@@ -72,6 +75,7 @@ class _Word:
     def add(self, number: int, elements: list[tuple[str, str, str]]) -> None:
         self.first |= 1 << self.used
         run = 0
+        self.longest = max(self.longest, len(elements))
         for attribute, value, op in elements:
             bit = 1 << self.used
             self.literals[attribute][value] = self.literals[attribute].get(value, 0) | bit
@@ -115,15 +119,21 @@ class _Word:
             made = F.struct(state.alias("state"), (acc["at"] + 1).alias("at"), F.when(done != 0, F.concat(acc["ends"], F.array(end))).otherwise(acc["ends"]).alias("ends"))
             return F.when(acc["state"] == 0, acc).otherwise(made)
 
-        def from_start(masks: Column, i: Column) -> Column:
+        def from_start(masks: Column, live: Column, i: Column) -> Column:
             start = F.struct(F.lit(first).cast("bigint").alias("state"), i.alias("at"), F.array().cast("array<struct<end:int,bits:bigint>>").alias("ends")).cast(kind)
-            rest = F.slice(masks, i + 1, F.size(masks)) if self.stay else F.slice(masks, i + 1, F.lit(self.used))
-            return F.transform(F.aggregate(rest, start, step)["ends"], lambda e: F.struct(i.alias("start"), e["end"].alias("end"), e["bits"].alias("bits")))
+            until = F.call_function("locate", F.lit("0"), live, i + 1) if self.stay else F.lit(self.longest)  # where nothing matches all ways end
+            n = F.when(until > 0, until - i - 1).otherwise(F.size(masks)) if self.stay else until
+            return F.transform(F.aggregate(F.slice(masks, i + 1, n), start, step)["ends"], lambda e: F.struct(i.alias("start"), e["end"].alias("end"), e["bits"].alias("bits")))
+
+        def each(masks: Column, live: Column) -> Column:
+            places = F.filter(F.sequence(F.lit(0), F.size(masks) - 1), lambda i: F.get(masks, i).bitwiseAND(F.lit(first)) != 0)
+            return F.flatten(F.transform(places, lambda i: from_start(masks, live, i)))
+
+        def marked(masks: Column) -> Column:
+            live = F.array_join(F.transform(masks, lambda m: F.when(m == 0, "0").otherwise("1")), "")
+            return let(live, lambda x: each(masks, x)) if self.stay else each(masks, live)
 
-        masks = F.transform(tokens, self.matches)
-        places = F.filter(F.sequence(F.lit(0), F.size(masks) - 1), lambda i: F.get(masks, i).bitwiseAND(F.lit(first)) != 0)
-        each = F.flatten(F.transform(places, lambda i: from_start(masks, i)))
-        return F.when(F.size(tokens) > 0, each)
+        return F.when(F.size(tokens) > 0, let(F.transform(tokens, self.matches), marked))
 
     def closed_first(self) -> int:
         state = self.first
@@ -133,15 +143,16 @@ class _Word:
 
 
 def compile_patterns(patterns: list[Pattern]) -> list[_Word]:
-    words = [_Word()]
+    words: dict[bool, list[_Word]] = {}  # those without repetition read a few tokens from each start
     for number, pattern in enumerate(patterns):
         elements = _expanded(pattern)
         if len(elements) >= STATES:
             raise ValueError(f"a pattern has over {STATES - 1} elements")
-        if words[-1].used + len(elements) + 1 > STATES:
-            words.append(_Word())
-        words[-1].add(number, elements)
-    return words
+        held = words.setdefault(any(op == "*" for *_, op in elements), [_Word()])
+        if held[-1].used + len(elements) + 1 > STATES:
+            held.append(_Word())
+        held[-1].add(number, elements)
+    return [w for held in words.values() for w in held]
 
 
 def match_patterns(texts: DataFrame, patterns: list[Pattern], keys: list[str]) -> DataFrame:

@@ -219,3 +219,13 @@ def test_token_tables_are_not_sent_to_the_driver(given, spark):
     assert "SortMergeJoin" in plan(trees.svo(given[0], verbs)) and plan(trees.svo(given[0], verbs)).count("BroadcastHashJoin") <= 1
     for frame in (trees.causes(*given, ["possible"]), trees.statuses(given[0], given[1], [], []), trees.subjects(given[0], given[0]), trees.objects(given[0], given[0])):
         assert "Broadcast" not in plan(frame)
+
+
+def test_patterns_in_a_long_sentence(spark):
+    """Patterns without repetition look at a few tokens from each start, the others up to the next token that none has."""
+    made = [patterns.Pattern("two", (("POS", "NOUN", ""), ("POS", "VERB", ""))), patterns.Pattern("run", (("LOWER", "of", ""), ("POS", "NOUN", "+")))]
+    assert [(len(w.ends), bool(w.stay), w.longest) for w in patterns.compile_patterns(made)] == [(1, False, 2), (1, True, 3)]
+    words = [("pump", "pump", "NOUN")] * 1999 + [("leaks", "leak", "VERB"), ("of", "of", "ADP"), ("oil", "oil", "NOUN"), ("fast", "fast", "ADV"), ("oil", "oil", "NOUN")]
+    docs = spark.createDataFrame([(1, [dict(zip(("text", "lemma", "pos"), t, strict=True)) for t in words])], "doc_id int, tokens array<struct<text:string,lemma:string,pos:string>>")
+    got = {(r["start"], r["end"], r["label"]) for r in patterns.match_patterns(docs, made, ["doc_id"]).collect()}
+    assert got == {(1998, 2000, "two"), (2000, 2002, "run")}
