@@ -15,7 +15,12 @@ from relispan.plans.workflow import CONJECTURES, NEGATIONS
 
 def _cleaned(read, *steps, table="documents", key="doc_id", column="text", **options) -> DataFrame:
     text = C.clean(F.coalesce(F.col(column), F.lit("")), list(steps), options, prepare=False)
-    return read(table).select(key, F.md5(text).alias("cleaned"), F.length(text).alias("n"))
+    return _digest(read(table).select(key, text.alias("t")), key)
+
+
+def _digest(texts: DataFrame, key: str) -> DataFrame:
+    """(key, cleaned, n) of texts (key, t). Steps stand in one column of their own: named in two they are run twice."""
+    return texts.select(key, F.md5("t").alias("cleaned"), F.length("t").alias("n"))
 
 
 def _sub(*pairs: tuple[str, str], table="documents", key="doc_id", column="text") -> str:
@@ -124,7 +129,7 @@ def html_title(read):
 @query(_sub((r"[-A-Za-z0-9#/%]*[-0-9][-A-Za-z0-9#/%]*", "")))
 def only_words(read):
     text = C.only_words(F.coalesce("text", F.lit("")))
-    return read("documents").select("doc_id", F.md5(text).alias("cleaned"), F.length(text).alias("n"))
+    return _digest(read("documents").select("doc_id", text.alias("t")), "doc_id")
 
 
 # ---- words and entities

@@ -302,3 +302,13 @@ def test_mentions_beside_letters_beyond_ascii(spark):
         got = {r["doc_id"]: r["m"] for r in docs.select("doc_id", F.array_join(made(F.col("text")), "|").alias("m")).collect()}
         want = dict(con.sql(catalog.SQL[name]).fetchall())
         assert got == want
+
+
+def test_cleaned_texts_are_worked_out_once(spark):
+    """Their digest and length come from one run of the steps."""
+    from relispan.plans import catalog, catalog_text  # noqa: F401  the second adds to the first
+
+    for name, step in (("clean_default", "‣⁃"), ("clean_emails", "mailto"), ("only_words", "#/%")):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        once = {"clean_default": 1, "clean_emails": 1, "only_words": 2}[name]  # the last pattern holds it twice
+        assert plan.count(step) == once, plan
