@@ -2,16 +2,22 @@
 
 Every way to spell out a text is scored by the similarity of all pairs of its words. What no choice changes doesn't
 count, so that only pairs with a word of a long form are looked up: long forms meet the words that they are similar to,
-and these the words of the text. Scores are summed for each form and for each two forms before a text's abbreviations
-come together; the best way is then found by branch and bound, and no list of all ways is made.
+and these the words of the text. Where all long forms with the words they are similar to are ``HELD`` rows at most, every
+task has them, and texts stay where they are; else they meet by joins. Scores are summed for each form and for each two
+forms before a text's abbreviations come together; the best way is then found by branch and bound, and no list of all
+ways is made, unless they are few.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +27,9 @@ from relispan.plans.shared import shared_table
 
 WORD = r"[^\s!,.?\":;-]+"
 CELLS = 1 << 20  # of one table, 8 MB
+HELD = 200_000  # words of long forms, and as many rows of what they are similar to, that are broadcast; more take joins
+KEPT = 1 << 14  # solved sets of words that a task remembers
+WAYS = 64  # so few are tried one by one
 MODES = ("hard", "spellcheck", "mixed")
 
 
@@ -93,6 +102,140 @@ def best_forms(texts: DataFrame, forms: DataFrame, scores: DataFrame) -> DataFra
     return solved.select("row", F.map_from_entries(pick).alias("chosen"), F.col("way.score").alias("score"))
 
 
+class Form:
+    """A long form: its words and how often it has them; its similarity to other words; its words' to themselves."""
+
+    def __init__(self, text: str):
+        self.text, self.parts, self.near, self.own = text, [], {}, 0
+
+    def to(self, other: Form) -> int:
+        return sum(c * self.near.get(y, 0) for y, c in other.parts)
+
+
+class Tables(dict):
+    """By two words, twice the similarity of each long form of the first to the second, or to each of the second's long
+    forms; None if it is 0 throughout. Made when they are asked for, and no more of them kept than ``KEPT``."""
+
+    def __init__(self, forms: dict[str, list[Form]]):
+        self.forms = forms
+
+    def __missing__(self, pair: tuple[str, str]):
+        if len(self) >= KEPT:
+            self.clear()
+        ours, theirs = self.forms[pair[0]], self.forms.get(pair[1])
+        if theirs is None:
+            table = [2 * f.near.get(pair[1], 0) for f in ours]
+            made = table if any(table) else None
+        else:
+            table = [[2 * f.to(g) for g in theirs] for f in ours]
+            made = table if any(map(any, table)) else None
+        self[pair] = made
+        return made
+
+
+def held_forms(words: DataFrame, forms: DataFrame, scores: DataFrame) -> dict[str, list[Form]] | None:
+    """The long forms of each word of ``forms`` (word, forms) that stands in ``words`` (word), in order; None if they and
+    what they are similar to take over ``HELD`` rows each."""
+    spelled = forms.select("word", F.posexplode("forms").alias("option", "form"))
+    parts = spelled.select("word", "option", "form", F.explode(F.split("form", r"\s+")).alias("x")).groupBy("word", "option", "form", "x").agg(F.count("*").alias("c"))
+    found = parts.limit(HELD + 1).collect()
+    if len(found) > HELD:
+        return None
+    s = scores.select("x", "y", F.col("s").cast("bigint").alias("s")).filter("s != 0")
+    s = s.join(words.select(F.col("word").alias("y")).union(parts.select("x")).distinct(), "y", "left_semi")
+    own = F.sum(F.when(F.col("x") == F.col("y"), F.col("c") * F.col("s")))
+    near = parts.join(s, "x").groupBy("word", "option", "y").agg(F.sum(F.col("c") * F.col("s")).alias("v"), own.alias("own"))
+    met = near.limit(HELD + 1).collect()
+    if len(met) > HELD:
+        return None
+    made: dict[str, list[Form]] = {}
+    for r in sorted(found, key=lambda r: r["option"]):
+        options = made.setdefault(r["word"], [])
+        if len(options) == r["option"]:
+            options.append(Form(r["form"]))
+        options[-1].parts.append((r["x"], r["c"]))
+    for r in met:
+        form = made[r["word"]][r["option"]]
+        form.near[r["y"]] = r["v"]
+        form.own += r["own"] or 0
+    return made
+
+
+def way_of(counts: dict[str, int], tables: Tables) -> tuple[list[tuple[str, str]], int] | None:
+    """What ``best_forms`` gives for a text with these words in the order of their first places; None if none has forms."""
+    forms = tables.forms
+    asked = [(w, n) for w, n in counts.items() if w in forms]
+    if not asked:
+        return None
+    plain = [(w, n) for w, n in counts.items() if w not in forms]
+    alone, between = [], {}
+    for a, n in asked:  # twice the sums, as in best_forms
+        values = [n * (n * f.to(f) - f.own) for f in forms[a]]
+        for w, m in plain:
+            if table := tables[a, w]:
+                values = [v + n * m * t for v, t in zip(values, table, strict=True)]
+        alone.append(values)
+    for i, (a, n) in enumerate(asked):
+        for j in range(i + 1, len(asked)):
+            b, m = asked[j]
+            if table := tables[a, b]:
+                k = n * m
+                if len(alone[j]) == 1:  # what leaves no choice counts for the other
+                    alone[i] = [v + k * t[0] for v, t in zip(alone[i], table, strict=True)]
+                elif len(alone[i]) == 1:
+                    alone[j] = [v + k * t for v, t in zip(alone[j], table[0], strict=True)]
+                else:
+                    between[i, j] = [[k * t for t in row] for row in table]
+    if math.prod(map(len, alone)) <= WAYS:
+        choice, score = _few(alone, between)
+    else:
+        choice, score = best_way([np.array(v, np.int64) for v in alone], {k: np.array(t, np.int64) for k, t in between.items()})
+    return [(w, forms[w][o].text) for (w, _), o in zip(asked, choice, strict=True)], score // 2
+
+
+def _few(alone: list[list[int]], between: dict[tuple[int, int], list[list[int]]]) -> tuple[list[int], int]:
+    """best_way by trying all."""
+    fixed = sum(v[0] for v in alone if len(v) == 1)
+    free = [i for i, v in enumerate(alone) if len(v) > 1]
+    choice, best, score = [0] * len(alone), None, None
+    for way in itertools.product(*(range(len(alone[i])) for i in free)):
+        value = fixed
+        for i, o in zip(free, way, strict=True):
+            choice[i] = o
+            value += alone[i][o]
+        for (i, j), table in between.items():
+            value += table[choice[i]][choice[j]]
+        if score is None or value > score:
+            score, best = value, choice.copy()
+    return best, score
+
+
+MAP = pa.map_(pa.string(), pa.string())
+WAY = pa.struct([("chosen", MAP), ("score", pa.int64())])
+
+
+def _ways(forms):
+    """The best ways of arrays of words, by a broadcast of ``held_forms``. A task solves words that come again in one order once, as
+    long as it remembers them."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tables, known = Tables(forms.value), {}
+        for batch in batches:
+            found = []
+            for words in batch.to_pylist():
+                key = tuple(Counter(words or ()).items())
+                if key not in known:
+                    if len(known) >= KEPT:
+                        known.clear()
+                    known[key] = way_of(dict(key), tables) or (None, None)
+                found.append(known[key])
+            chosen, scores = zip(*found, strict=True) if found else ((), ())
+            lacking = pa.array([c is None for c in chosen], pa.bool_())
+            yield pa.StructArray.from_arrays([pa.array(chosen, MAP), pa.array(scores, pa.int64())], fields=list(WAY), mask=lacking)
+
+    return F.arrow_udf(run, "chosen map<string, string>, score bigint")
+
+
 def _solve(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for sizes, terms in batches:
         ways = []
@@ -230,10 +373,15 @@ def spell_out(texts: DataFrame, pairs: DataFrame, scores: DataFrame, mode: str =
     without any stay as they are, with 0 and 0; null stays null. For modes see ``candidates``, for scores ``best_forms``.
     """
     each = texts.select(F.col(id_column).alias("doc_id"), F.col(text).alias("t"), _row(F.col(text)).alias("row"))
-    once = each.filter("t IS NOT NULL").dropDuplicates(["row"]).select("row", "t")
-    words = once.select(F.explode(_words(F.lower("t"))).alias("word")).distinct()
-    chosen = best_forms(once, candidates(words, pairs, mode, known, least), scores)
-    joined = each.join(chosen, "row", "left")
+    words = shared_table(each.select(F.explode(_words(F.lower("t"))).alias("word")).distinct(), "words")
+    forms = shared_table(candidates(words, pairs, mode, known, least), "forms")
+    held = held_forms(words, forms, scores)
+    if held is None:
+        once = each.filter("t IS NOT NULL").dropDuplicates(["row"]).select("row", "t")
+        joined = each.join(best_forms(once, forms, scores), "row", "left")
+    else:
+        way = _ways(each.sparkSession.sparkContext.broadcast(held))
+        joined = each.withColumn("way", way(_words(F.lower("t")))).select("doc_id", "t", "way.*")
     put = F.transform(_words("t"), lambda w: F.coalesce(F.try_element_at("chosen", F.lower(w)), w))
     whole = F.array_join(F.zip_with(F.split("t", WORD, -1), put, lambda gap, w: F.concat(gap, F.coalesce(w, F.lit("")))), "")
     return joined.select(

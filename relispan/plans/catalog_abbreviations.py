@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from relispan.operators import abbreviations
 from relispan.plans.catalog import query
+from relispan.plans.shared import shared_table
 
 
 @query(
@@ -32,4 +33,5 @@ def abbr_choose(read):
     named = lines.agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "p_name"))).alias("s"))
     full = F.split(F.array_join(F.expr("transform(s, x -> x.p_name)"), " "), " ")
     short = F.array_join(F.transform(full, lambda w, i: F.when(i % 3 == 2, w).otherwise(initial(w))), " ")
-    return abbreviations.spell_out(named.select(F.col("l_orderkey").alias("doc_id"), short.alias("text")), pairs, scores)
+    texts = shared_table(named.select(F.col("l_orderkey").alias("doc_id"), short.alias("text")), "texts")  # they are read twice
+    return abbreviations.spell_out(texts, pairs, scores)

@@ -80,3 +80,28 @@ def test_many_ways_and_sentences(spark):
     # 3 ** 60 ways
     chain = {(a, a + 1): draw.randint(0, 9, (3, 3)) for a in range(59)}
     assert len(A.best_way([draw.randint(0, 50, 3) for _ in range(60)], chain)[0]) == 60
+
+
+def test_texts_stay_where_they_are_and_joins_give_the_same(spark, monkeypatch):
+    draw = random.Random(9)
+    words = ["pp", "sw", "fl", "v", "w/o", "leak", "floor", "Pump", "level", "the"]
+    texts = [" ".join(draw.choices(words, k=draw.randrange(1, 12))) for _ in range(80)] + ["", None]
+    (pairs, scores), both = _tables(spark)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = A.spell_out(docs, pairs, scores)
+    assert "Exchange" not in held._jdf.queryExecution().executedPlan().toString()
+    want = {i: (t, 0, 0) if t is None else _brute(t, both) for i, t in enumerate(texts)}
+    result = lambda d: {r["doc_id"]: (r["text"], r["n_expanded"], r["score"]) for r in d.collect()}
+    assert result(held) == want
+    monkeypatch.setattr(A, "WAYS", 1)
+    known = spark.createDataFrame([(w.lower(),) for w in words], "word string")
+    tables = A.Tables(A.held_forms(known, A.candidates(known, pairs), scores))
+    for i, t in enumerate(texts):
+        counts = {}
+        for w in re.findall(A.WORD, (t or "").lower()):
+            counts[w] = counts.get(w, 0) + 1
+        way = A.way_of(counts, tables)
+        assert (0 if way is None else way[1]) == want[i][2]
+    for most in (1, 12):  # words of long forms alone are over the first, what they are similar to over the second
+        monkeypatch.setattr(A, "HELD", most)
+        assert result(A.spell_out(docs, pairs, scores)) == want
