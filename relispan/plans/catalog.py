@@ -362,10 +362,13 @@ def _model(read):
     nodes = read("part").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("ID")).union(read("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey"))))
     nodes = nodes.select(F.col("ID").alias("label"), "ID", F.lit("entity").alias("type"))
     li = read("lineitem")
-    src = F.concat(F.lit("s"), F.when(F.col("l_suppkey") % 97 == 5, F.col("l_suppkey") + 900000).otherwise(F.col("l_suppkey")))
+    supplier = F.when(F.col("l_suppkey") % 97 == 5, F.col("l_suppkey") + 900000).otherwise(F.col("l_suppkey"))
+    # all four columns follow from two numbers, which take less memory
+    pairs = li.select(supplier.alias("supplier"), "l_partkey").repartition(models.task_count(li), "supplier", "l_partkey").distinct()
     kind = F.when(F.col("l_partkey") % 97 == 3, "other").when(F.col("l_partkey") % 2 == 0, "link").otherwise("support")
     medium = F.when(F.col("l_partkey") % 89 == 4, None).when(F.col("l_partkey") % 2 == 0, "pipe")
-    return nodes, li.select(src.alias("sourceNodeId"), F.concat(F.lit("p"), F.col("l_partkey")).alias("targetNodeId"), kind.alias("type"), medium.alias("medium")).distinct()
+    src, dst = F.concat(F.lit("s"), F.col("supplier")), F.concat(F.lit("p"), F.col("l_partkey"))
+    return nodes, pairs.select(src.alias("sourceNodeId"), dst.alias("targetNodeId"), kind.alias("type"), medium.alias("medium"))
 
 
 @query(

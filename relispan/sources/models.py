@@ -9,6 +9,8 @@ from relispan.plans.shared import shared_table
 
 NODE_COLUMNS = ["label", "ID", "type"]
 EDGE_COLUMNS = ["sourceNodeId", "targetNodeId", "type", "medium"]
+TASK_ROWS = 1 << 20  # edges that a task groups, about: some 300 MB
+FEW = 200_000  # unknown ends that are broadcast
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -49,14 +51,23 @@ def edge_violations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     nodes that no edge mentions (src is the node)."""
     _columns(edges, EDGE_COLUMNS)
     e = edges.select(F.col("sourceNodeId").alias("src"), F.col("targetNodeId").alias("dst"), "type", "medium")
+    e = shared_table(e, "edges")  # it is read for each problem
     ids = nodes.select(F.coalesce("ID", "label").alias("id")).distinct()
     tag = lambda d, p: d.select(F.lit(p).alias("problem"), "src", "dst")
-    ends = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    dealt = e.select("src", "dst").repartition(task_count(e), "src", "dst")
+    row = lambda src, dst, twice: F.struct(F.col(src).alias("src"), dst.cast("string").alias("dst"), F.lit(twice).alias("twice"))
+    each = [row("src", F.lit(None), False), row("dst", F.lit(None), False)]
+    whole = F.when(F.col("count") > 1, F.array(*each, row("src", F.col("dst"), True))).otherwise(F.array(*each))
+    met = dealt.groupBy("src", "dst").count().select(F.explode(whole).alias("r")).select("r.*").distinct()
+    met = shared_table(met, "met")  # ends, and repeated pairs
+    ends = met.filter("NOT twice").select(F.col("src").alias("id"))
+    unknown = shared_table(ends.filter("id is not null").join(ids, "id", "left_anti"), "unknown")
+    unknown = F.broadcast(unknown) if unknown.count() <= FEW else unknown
     return (
-        tag(e.groupBy("src", "dst").count().filter("count > 1"), "repeated")
+        tag(met.filter("twice"), "repeated")
         .unionByName(tag(e.filter("src is null or dst is null"), "null end"))
-        .unionByName(tag(e.filter("src is not null").join(ids, F.col("src") == F.col("id"), "left_anti"), "unknown source"))
-        .unionByName(tag(e.filter("dst is not null").join(ids, F.col("dst") == F.col("id"), "left_anti"), "unknown target"))
+        .unionByName(tag(e.join(unknown, F.col("src") == F.col("id"), "left_semi"), "unknown source"))
+        .unionByName(tag(e.join(unknown, F.col("dst") == F.col("id"), "left_semi"), "unknown target"))
         .unionByName(tag(e.filter("type is null or type not in ('link', 'composition', 'support')"), "type"))
         .unionByName(tag(e.filter("type = 'link' and medium is null"), "link without medium"))
         .unionByName(tag(e.filter("type = 'support' and medium is not null"), "support with medium"))
@@ -64,6 +75,11 @@ def edge_violations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def task_count(rows: DataFrame) -> int:
+    """Partitions for a grouping of a table's rows, so that a task's memory doesn't grow with the table."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + rows.count() // TASK_ROWS)
+
+
 def check_model(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(part, problem, id, other): all that is wrong with the nodes and edges of a model."""
     n = node_violations(nodes).select(F.lit("node").alias("part"), "problem", "id", F.lit(None).cast("string").alias("other"))

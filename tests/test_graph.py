@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +176,34 @@ def test_betweenness_of_trees_and_rings(spark):
     ids = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
     scores = lambda **options: {r["id"]: round(r["score"], 6) for r in graph.betweenness(ids, links, **options).collect()}
     assert scores() == scores(most_links=1)
+
+
+def test_tasks_of_edge_checks_hold_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(models, "TASK_ROWS", 50)
+    rows = [(f"a{i % 40}", f"b{i % 300}", "link", "pipe") for i in range(900)] + [(None, "b1", "link", "pipe"), (None, "b1", "link", "pipe"), ("a1", None, "other", None), ("x", "y", "support", "pipe"), ("x", "a1", "link", None), ("x", "a1", None, None)]
+    edges = spark.createDataFrame(rows, "sourceNodeId string, targetNodeId string, type string, medium string")
+    nodes = spark.createDataFrame([(f"{k}{i}", f"{k}{i}", "entity") for k, n in (("a", 40), ("b", 299), ("c", 3)) for i in range(n)], "label string, ID string, type string")
+    assert models.task_count(edges) == 19
+    tasks = []
+    kept = models.shared_table
+    monkeypatch.setattr(models, "shared_table", lambda d, name: tasks.append((name, d._jdf.queryExecution().executedPlan().toString())) or kept(d, name))
+    want = {}
+    for src, dst, kind, medium in rows:
+        pair = [("null end", src, dst)] if src is None or dst is None else []
+        known = lambda x: x is None or x in {f"{k}{i}" for k, n in (("a", 40), ("b", 299), ("c", 3)) for i in range(n)}
+        pair += [("unknown source", src, dst)] * (not known(src)) + [("unknown target", src, dst)] * (not known(dst))
+        pair += [("type", src, dst)] * (kind not in ("link", "composition", "support")) + [("link without medium", src, dst)] * (kind == "link" and medium is None)
+        for row in pair + [("support with medium", src, dst)] * (kind == "support" and medium is not None):
+            want[row] = want.get(row, 0) + 1
+    for pair in {r[:2] for r in rows}:
+        if sum(r[:2] == pair for r in rows) > 1:
+            want["repeated", *pair] = 1
+    for i in range(3):
+        want["unmentioned", f"c{i}", None] = 1
+    for few in (0, 1000):
+        monkeypatch.setattr(models, "FEW", few)
+        got = {}
+        for r in models.edge_violations(edges, nodes).collect():
+            got[tuple(r)] = got.get(tuple(r), 0) + 1
+        assert got == want
+    assert [re.findall(r", (\d+)\), REPARTITION_BY_NUM", plan) for name, plan in tasks if name == "met"] == [["19"], ["19"]]
