@@ -9,6 +9,9 @@ leads alone, of which one holds mostly frequent shingles, as what others were co
 most of them to components, pairs between components, and no others, are compared, in blocks of bounded size that Spark
 deals to all tasks. Two sets that first meet at a place behind which one of them has too little left can't be similar:
 such pairs are never made, so that a set with enough shingles of its own meets none of those it was edited from.
+
+Before that, sets with close SimHash fingerprints meet, if links of fingerprints are given: these pairs are verified like
+all others, and what they join needs no more pairs of hot shingles.
 """
 
 from __future__ import annotations
@@ -81,6 +84,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat))
 
 
+def bits_of(values: np.ndarray) -> int:
+    """The SimHash of 64-bit hashes: bit i is set if over half of them have it set."""
+    counts = np.zeros(64, np.int64)
+    for low in range(0, len(values), 1 << 16):
+        part = values[low : low + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(values), bitorder="little").view("<u8")[0])
+
+
 def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes())
 
@@ -91,8 +103,9 @@ def nodes_of(texts: list[bytes]) -> pa.Array:
 
 
 def prefixes(docs: DataFrame, id_column: str) -> DataFrame:
-    """(id, node, n, common, keys, hot): a digest of each text's shingles, their number, how frequent they are on average,
-    and their prefix in the common order, in two lists: shingles that are not known to be hot, and then the others."""
+    """(id, node, bits, n, common, keys, hot): a digest of each text's shingles, their SimHash, their number, how frequent
+    they are on average, and their prefix in the common order, in two lists: shingles that are not known to be hot, and then
+    the others."""
     frequent, counts = _frequent(docs, id_column)
     mild = int((counts < SAMPLE_HOT).sum())
     places = np.argsort(frequent)
@@ -112,9 +125,10 @@ def prefixes(docs: DataFrame, id_column: str) -> DataFrame:
             keys.append(s[place <= mild])
             hot.append(s[place > mild])
         sizes = pa.array([len(s) for s in each], pa.int32())
-        return [nodes_of(texts), sizes, pa.array(common, pa.float64()), _lists(keys), _lists(hot)]
+        bits = np.array([bits_of(s) for s in each], np.uint64).view(np.int64)
+        return [nodes_of(texts), pa.array(bits), sizes, pa.array(common, pa.float64()), _lists(keys), _lists(hot)]
 
-    return map_texts(docs, run, "node bigint, n int, common double, keys array<bigint>, hot array<bigint>", [id_column])
+    return map_texts(docs, run, "node bigint, bits bigint, n int, common double, keys array<bigint>, hot array<bigint>", [id_column])
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_column: str) -> DataFrame:
@@ -327,15 +341,29 @@ def _counted(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("times"), F.min("need").alias("need"))
 
 
-def near_sets(docs: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
+def _close(nodes: DataFrame, links) -> DataFrame:
+    """(a, b): pairs of ``nodes`` (node, bits) that span those of equal fingerprints and those that ``links`` joins."""
+    first = shared_table(nodes.groupBy("bits").agg(F.min("node").alias("least"), F.count("*").alias("k")), "bits")
+    equal = nodes.join(first.filter("k > 1"), "bits").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    met = links(first.select("bits"))
+    end = lambda c: first.select(F.col("bits").alias(c), F.col("least").alias(f"node_{c}"))
+    apart = met.join(end("a"), "a").join(end("b"), "b")
+    apart = apart.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    close = shared_table(equal.unionByName(apart), "close")
+    drop_tables(first, met)
+    return close
+
+
+def near_sets(docs: DataFrame, id_column: str, links=None) -> tuple[DataFrame, DataFrame]:
     """(id, node) of each row, and (node, first, label) of each set: its smallest id, and what its component is called.
+    ``links`` makes from distinct SimHash fingerprints (bits) pairs (a, b) of them whose sets meet, too.
 
     Two similar sets share SHARED shingles of their prefixes. If so many of them are not hot, they meet at once. Else
     they meet at their first, hot or not, when components are known.
     """
     each = shared_table(prefixes(docs, id_column), "prefixes")
     rows = shared_table(each.select(id_column, "node"), "rows")
-    nodes = each.groupBy("node").agg(F.min(id_column).alias("first"), F.count("*").alias("rows"), F.max("common").alias("common"))
+    nodes = each.groupBy("node").agg(F.min(id_column).alias("first"), F.count("*").alias("rows"), F.max("common").alias("common"), F.max("bits").alias("bits"))
     nodes = shared_table(nodes, "nodes")
     lists = ["node", "n", "keys", "hot"]
     again = maybe(F.col("node"), nodes.filter("rows > 1").select(F.col("node").alias("h")))
@@ -350,19 +378,21 @@ def near_sets(docs: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
     hot = hot.select("key", "node", "n", "place").unionByName(found).join(nodes.select("node", "common"), "node")
     hot = shared_table(hot, "hot")
     drop_tables(each, met)  # of tables with a row a shingle only the shingles that prefixes share are left
-    pairs = shared_table(few.filter("times >= need").select("a", "b").unionByName(_led(hot)).distinct(), "pairs")
+    pairs = few.filter("times >= need").select("a", "b").unionByName(_led(hot))
+    close = None if links is None else _close(nodes.select("node", "bits"), links)
+    pairs = shared_table((pairs if close is None else pairs.unionByName(close)).distinct(), "pairs")
     less = few.filter("times < need").select("a", "b")
     wanted = pairs.unionByName(less).select(F.explode(F.array("a", "b")).alias("node")).unionByName(hot.select("node")).distinct()
     sets = _sets(docs, nodes.select("node", "first").join(wanted, "node", "left_semi"), id_column)
-    links = _verified(pairs, sets)
-    labels = components(links)
+    found = _verified(pairs, sets)
+    labels = components(found)
     name = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
     apart = less.join(name("a"), "a", "left").join(name("b"), "b", "left").filter("coalesce(label_a, a) <> coalesce(label_b, b)")
     more = _between(hot, labels).unionByName(apart.select("a", "b")).distinct()
     more = shared_table(more.join(pairs, ["a", "b"], "left_anti"), "more")
     near = _verified(more, sets)
-    first, labels = labels, components(links.unionByName(near))
-    drop_tables(few, hot, pairs, sets, links, more, near, first)
+    first, labels = labels, components(found.unionByName(near))
+    drop_tables(few, hot, pairs, sets, found, more, near, first, *([] if close is None else [close]))
     known = nodes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     return rows, known
 
@@ -379,13 +409,13 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return each.join(known.join(least, "label").select("node", "component_id"), "node")
 
 
-def kept_rows(docs: DataFrame, id_column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def kept_rows(docs: DataFrame, id_column: str = "doc_id", links=None) -> tuple[DataFrame, DataFrame]:
     """(__id, __rows) of ids that have several rows, or whose only row goes; (__id, __set) of the sets that stay of the
     former.
 
-    Of each component the set of the smallest id stays, nulls last.
+    Of each component the set of the smallest id stays, nulls last. ``links``: see ``near_sets``.
     """
-    each, known = near_sets(docs, id_column)
+    each, known = near_sets(docs, id_column, links)
     best = known.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("best"))
     best = shared_table(best.select(F.col("best.first").alias("__id"), F.col("best.node").alias("__set")), "best")
     rows = each.groupBy(F.col(id_column).alias("__own")).agg(F.count("*").alias("__rows"))

@@ -77,3 +77,25 @@ def test_rows_of_one_id_are_judged_apart(spark):
     want = [rows[0], rows[1], rows[2], rows[7]]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     assert not simhash.keep_one(spark.createDataFrame([], "doc_id bigint, text string")).collect()
+
+
+def test_close_fingerprints_meet_first(spark, monkeypatch):
+    """Sets within four bits are pairs by multi-index hashing, or join those of their fingerprint; and these are verified."""
+    rows = near_rows(12, 400)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bits = {r["node"]: r["bits"] % 2**64 for r in nearcopies.prefixes(docs, "doc_id").collect()}
+    assert bits == {int(nearcopies.nodes_of([t.encode()])[0].as_py()): nearcopies.bits_of(nearcopies.shingles([t.encode()])[0]) for _, t in rows}
+    made, verified = [], []
+    close, verify = nearcopies._close, nearcopies._verified
+    monkeypatch.setattr(nearcopies, "_close", lambda *x: made.append(close(*x)) or made[-1])
+    monkeypatch.setattr(nearcopies, "_verified", lambda pairs, sets: verified.append({tuple(r) for r in pairs.select("a", "b").collect()}) or verify(pairs, sets))
+    monkeypatch.setattr(nearcopies, "drop_tables", lambda *x: None)
+    got = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert got == slow_kept(rows)
+    pairs = {tuple(r) for r in made[0].collect()}
+    assert pairs and pairs <= verified[0]
+    label = {n: n for n in bits}
+    for a, b in pairs:
+        label = {n: label[a] if x == label[b] else x for n, x in label.items()}
+    near = {(a, b) for a in bits for b in bits if a < b and (bits[a] ^ bits[b]).bit_count() <= simhash.DISTANCE}
+    assert near and all(label[a] == label[b] for a, b in near)
