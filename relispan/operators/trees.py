@@ -3,8 +3,8 @@
 Tokens are (doc_id, sent, i, text, lemma, pos, tag, dep, head), one row a token, ``head`` the place of the governing token
 in the sentence and a root's its own. ``numbered`` gives every token an interval, so that "in the subtree of" is a
 comparison of numbers, and a representative of its coordination, so that conjuncts are equal in it. Entities are
-(doc_id, sent, start, end, text), ends exclusive. Trees should be projective: what lies in the left part of a subtree
-stands left of its root.
+(doc_id, sent, start, end, text), ends exclusive. Trees need not be projective: a branch is left or right by where its
+own root stands, wherever the tokens below that stand.
 """
 
 from __future__ import annotations
@@ -180,7 +180,7 @@ def subjects(trees: DataFrame, asked: DataFrame) -> DataFrame:
     deps = F.when(F.col("a_passive"), F.array(*map(F.lit, PASSIVE_SUBJECTS))).otherwise(F.array(*map(F.lit, SUBJECTS)))
     x = _as(trees, "x_", ["i", "text", "pre", "depth", "dep", "head_dep"])
     named = x.filter(F.col("x_dep").isin(*SUBJECTS, *PASSIVE_SUBJECTS) | F.col("x_head_dep").isin(*SUBJECTS, *PASSIVE_SUBJECTS))
-    met = _met(up, named, KEY).filter(_inside(F.col("x_pre"), "u_") & (F.col("x_pre") > F.col("u_pre")) & (F.col("x_i") < F.col("u_i")) & _matching("x_", deps))
+    met = _met(up, named, KEY).filter(_inside(F.col("x_pre"), "u_") & (F.col("x_pre") > F.col("u_pre")) & _matching("x_", deps))
     branch = _as(trees, "b_", ["i", "head", "pre", "last"])
     same = (F.col("b_head") == F.col("u_i")) & (F.col("b_i") < F.col("u_i")) & _inside(F.col("x_pre"), "b_")
     return _nearest(_met(met, branch, KEY).filter(same), F.col("a_depth") - F.col("u_depth"))

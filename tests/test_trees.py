@@ -2,12 +2,14 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from relispan.functions import lemmas
 from relispan.operators import parse, patterns, trees
+from relispan.plans import catalog, catalog_trees  # noqa: F401  the second adds to the first
 
 SPAN = "doc_id bigint, sent int, start int, end int, text string"
 TOKEN = "doc_id bigint, sent int, i int, text string, lemma string, pos string, tag string, dep string, head int"
@@ -229,3 +231,21 @@ def test_patterns_in_a_long_sentence(spark):
     docs = spark.createDataFrame([(1, [dict(zip(("text", "lemma", "pos"), t, strict=True)) for t in words])], "doc_id int, tokens array<struct<text:string,lemma:string,pos:string>>")
     got = {(r["start"], r["end"], r["label"]) for r in patterns.match_patterns(docs, made, ["doc_id"]).collect()}
     assert got == {(1998, 2000, "two"), (2000, 2002, "run")}
+
+
+def by_sql(spark, folder, name, rows):
+    """A query's rows on conversations of the given (conv_id, turn, text), and those of its SQL."""
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id bigint, turn int, role string, text string").coalesce(1).write.parquet(f"{folder}/conversations.parquet")
+    sql = duckdb.connect()
+    sql.sql(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet/*.parquet'")
+    want = sql.sql(catalog.SQL[name])
+    return sorted(map(repr, (tuple(r[c] for c in want.columns) for r in catalog.QUERIES[name](spark, folder).collect()))), sorted(map(repr, want.fetchall()))
+
+
+CROSSED = ["By motor the leak that as caused wear. It was leaking.", "By motor the leak that caused wear for oil. It was leaking."]
+
+
+def test_causes_below_a_left_branch_that_reaches_to_the_right(spark, tmp_path):
+    """ "By" stands left of the root, and what hangs on it right of it: its subject is the root's all the same."""
+    got, want = by_sql(spark, str(tmp_path), "tree_causes", [(k, 0, x) for k, x in enumerate(CROSSED)])
+    assert got == want and any("'caused', 'that', 4, 'wear'" in r for r in got)
