@@ -44,10 +44,11 @@ def parse(sentences: DataFrame, verbs: list[str] = ()) -> DataFrame:
     """(doc_id, sent, i, text, lemma, pos, tag, dep, head) of sentences (doc_id, sent, text), one row a word.
 
     The first verb outside relative clauses is the root, else the first noun that ends its group, else the first word.
-    ``head`` is the place of the governing word, a root's its own. Sentences without words have no rows.
+    ``head`` is the place of the governing word, a root's its own. Sentences without words have no rows, nor have those
+    without ``doc_id`` or ``sent``, whose words would run together.
     """
     # sentences are dealt out before they are cut into words: windows and groups of a sentence then need no other shuffle
-    dealt = sentences.repartition("doc_id", "sent")
+    dealt = sentences.dropna(subset=["doc_id", "sent"]).repartition("doc_id", "sent")
     words = dealt.select("doc_id", "sent", F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("i", "text"))
     low = F.lower("text")
     t = words.withColumn("pos", word_class(low, verbs))

@@ -110,10 +110,10 @@ def numbered(tokens: DataFrame) -> DataFrame:
     coordination), head_dep, passive, modal and neg (the word that negates it).
 
     A sentence's tokens are gathered once, as only trees over whole sentences can be numbered; numbers are worked out for
-    many sentences together.
+    many sentences together. Tokens without document or sentence have no rows: all of them would make one sentence.
     """
     row = F.struct("i", "text", "lemma", "pos", "tag", "dep", "head")
-    whole = tokens.groupBy(*KEY).agg(F.sort_array(F.collect_list(row)).alias("t"))
+    whole = tokens.dropna(subset=KEY).groupBy(*KEY).agg(F.sort_array(F.collect_list(row)).alias("t"))
     flag = lambda c: F.transform("t", lambda x: F.coalesce(c(x), F.lit(False)))
     marks = [flag(lambda x: x["dep"] == "auxpass"), flag(lambda x: x["dep"].startswith("aux") & (x["tag"] == "MD")), flag(lambda x: x["dep"] == "neg")]
     got = whole.withColumn("n", _intervals(F.col("t.i"), F.col("t.head"), flag(lambda x: x["dep"] == "conj"), marks))
@@ -195,7 +195,7 @@ def objects(trees: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _nearest(met: DataFrame, steps: Column) -> DataFrame:
-    best = met.groupBy(*KEY, F.col("a_i").alias("i")).agg(F.min(F.struct(steps.alias("s"), "b_i", "x_depth", "x_pre", "x_i", "x_text")).alias("b"))
+    best = met.groupBy(*KEY, F.col("a_i").alias("i")).agg(F.min(F.struct(steps.alias("s"), "b_i", "x_depth", "x_i", "x_text")).alias("b"))
     return best.select(*KEY, "i", F.col("b.x_i").alias("found"), F.col("b.x_text").alias("text"))
 
 

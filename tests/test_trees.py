@@ -249,3 +249,21 @@ def test_causes_below_a_left_branch_that_reaches_to_the_right(spark, tmp_path):
     """ "By" stands left of the root, and what hangs on it right of it: its subject is the root's all the same."""
     got, want = by_sql(spark, str(tmp_path), "tree_causes", [(k, 0, x) for k, x in enumerate(CROSSED)])
     assert got == want and any("'caused', 'that', 4, 'wear'" in r for r in got)
+
+
+def test_subjects_and_objects_of_awkward_conversations(spark, tmp_path):
+    """Branches that cross, white space of all kinds, and turns without a key, whose words would make circles if they met."""
+    draw = random.Random(6)
+    space = ["The pump damaged the shaft.%sThe motor caused wear of the valve. It failed." % x for x in ("\x0b", "\f", "\t", "\r\n", "\x85", " ", " \x0b")]
+    rows = [(k, k % 3, x) for k, x in enumerate([*CROSSED, *space, "", None, " . "])]
+    odd = [" ".join(draw.choices("the pump leak that caused of and was damaged wear by it".split(), k=draw.randint(1, 12))) for _ in range(60)]
+    rows += [(None if k % 2 else 99, k if k % 2 else None, x) for k, x in enumerate(odd)]
+    got, want = by_sql(spark, str(tmp_path), "tree_svo", rows)
+    assert got == want and sum("'that', 'leak', 'wear'" in r for r in got) == 2
+
+
+def test_of_equally_near_tokens_the_first_is_taken(spark):
+    """Tokens 2 and 3 hang on 1, 5 on 2, 4 on 3: in preorder 5 comes before 4."""
+    line = "broke/break/VERB/ROOT/0 of/-/ADP/prep/0 a/-/ADP/prep/1 b/-/ADP/prep/1 four/-/NOUN/pobj/3 five/-/NOUN/pobj/2"
+    t = trees.numbered(spark.createDataFrame([(1, 0, *w) for w in sentence(line)], TOKEN))
+    assert [(r["found"], r["text"]) for r in trees.objects(t, t.filter("i = 0")).collect()] == [(4, "four")]
