@@ -10,16 +10,21 @@ most of them to components, pairs between components, and no others, are compare
 deals to all tasks. Two sets that first meet at a place behind which one of them has too little left can't be similar:
 such pairs are never made, so that a set with enough shingles of its own meets none of those it was edited from.
 
-Before that, sets with close SimHash fingerprints meet, if links of fingerprints are given: these pairs are verified like
-all others, and what they join needs no more pairs of hot shingles.
+Before that, sets with close SimHash fingerprints meet, if a way to find them is given: at first over links that span
+them, which are verified like all other pairs, and what they join needs no more pairs of hot shingles. A link that fails
+says nothing of the sets on its two sides, so where links have failed all pairs of close fingerprints that are not joined
+meet then, too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relispan.llm.bitmaps import bitmap, known, maybe
@@ -40,6 +45,18 @@ _PLAIN = bytes(32 if i in (9, 10, 11, 12, 13) else i + 32 if 65 <= i <= 90 else
 _ODD = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
+class Close(NamedTuple):
+    """How sets with close SimHash fingerprints meet.
+
+    ``links`` makes from distinct fingerprints (bits) pairs (a, b) that span all that differ in ``distance`` bits at most;
+    ``values`` makes of a fingerprint an array of longs, of which two such fingerprints have one in common.
+    """
+
+    links: Callable[[DataFrame], DataFrame]
+    values: Callable[[Column], Column]
+    distance: int
+
+
 def shingles(texts: list[bytes]) -> list[np.ndarray]:
     """The hashes of each text's distinct five-word shingles; fewer words make one, none an empty array.
 
@@ -302,14 +319,16 @@ def _led(hot: DataFrame) -> DataFrame:
     return met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
 
 
-def _between(hot: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): a pair for each hot shingle that two sets of different components share, if it may be their first.
+def _between(hot: DataFrame, labels: DataFrame, distance: int | None = None) -> DataFrame:
+    """(a, b): a pair for each hot shingle that two sets of different components share, if it may be their first, and if
+    their ``bits`` differ in ``distance`` at most where that is given.
 
     Of the sets of a shingle those of its largest component stand on one side (it needs no pairs within), all others on
     the other, and these among themselves; either side is cut to blocks of about ``BLOCK``, and each two blocks that
     must meet are a group.
     """
-    named = hot.join(labels, "node", "left").select("key", "node", "n", "place", F.coalesce("label", "node").alias("label"))
+    beside = [] if distance is None else ["bits"]
+    named = hot.join(labels, "node", "left").select("key", "node", "n", "place", F.coalesce("label", "node").alias("label"), *beside)
     named = shared_table(named, "named")
     sized = named.groupBy("key", "label").count().groupBy("key").agg(
         F.sum("count").alias("k"), F.max("count").alias("most"), F.max(F.struct("count", "label"))["label"].alias("top"), F.count("*").alias("labels")
@@ -324,17 +343,19 @@ def _between(hot: DataFrame, labels: DataFrame) -> DataFrame:
     low = f"transform(sequence(0L, tops - 1), i -> {group.format(g='i * others + own', side='1')})"
     pair = group.format(g="-1 - least(own, j) * others - greatest(own, j)", side="IF(own = j, 2, IF(own < j, 0, 1))")
     among = f"transform(sequence(0L, others - 1), j -> {pair})"
-    dealt = rows.select("key", "node", "n", "place", "label", F.explode(F.expr(f"IF(is_top, {top}, concat({low}, {among}))")).alias("to"))
+    dealt = rows.select("key", "node", "n", "place", "label", *beside, F.explode(F.expr(f"IF(is_top, {top}, concat({low}, {among}))")).alias("to"))
 
     def made(part):
-        nodes, sizes, places, label, side = (c.astype(np.int64) for c in part[2:])
+        nodes, sizes, places, label, side, *bits = (c.astype(np.int64) for c in part[2:])
         for low in range(len(nodes)):
             j = np.arange(low + 1, len(nodes))
             j = j[(label[j] != label[low]) & ((side[j] != side[low]) | (side[low] == 2))]
+            if bits:
+                j = j[np.bitwise_count((bits[0][j] ^ bits[0][low]).view(np.uint64)) <= distance]
             if len(j):
                 yield _pairs(nodes, sizes, places, np.full(len(j), low), j, 1)[:2]
 
-    return _runs(dealt.select("key", "to.g", "node", "n", "place", "label", "to.side"), ["key", "g"], made, "a long, b long")
+    return _runs(dealt.select("key", "to.g", "node", "n", "place", "label", "to.side", *beside), ["key", "g"], made, "a long, b long")
 
 
 def _counted(pairs: DataFrame) -> DataFrame:
@@ -354,16 +375,28 @@ def _close(nodes: DataFrame, links) -> DataFrame:
     return close
 
 
-def near_sets(docs: DataFrame, id_column: str, links=None) -> tuple[DataFrame, DataFrame]:
+def _unmet(nodes: DataFrame, close: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, bits, n): the sets that ``close`` joins to others, but ``labels``, from the pairs of it that were verified,
+    do not: pairs among these may be close, and have not met. Two that nothing else is close to have."""
+    whole = components(close).withColumnRenamed("label", "whole")
+    named = whole.join(labels, "node", "left").select("node", "whole", F.coalesce("label", "node").alias("label"))
+    apart = named.groupBy("whole").agg(F.count("*").alias("sets"), F.min("label").alias("low"), F.max("label").alias("high"))
+    apart = apart.filter("sets > 2 AND low < high").select("whole")
+    unmet = shared_table(named.join(apart, "whole").join(nodes, "node").select("node", "bits", "n"), "unmet")
+    drop_tables(whole)
+    return unmet
+
+
+def near_sets(docs: DataFrame, id_column: str, way: Close | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, node) of each row, and (node, first, label) of each set: its smallest id, and what its component is called.
-    ``links`` makes from distinct SimHash fingerprints (bits) pairs (a, b) of them whose sets meet, too.
+    With ``way`` sets of close SimHash fingerprints meet, too: every pair of them is verified or joined by others.
 
     Two similar sets share SHARED shingles of their prefixes. If so many of them are not hot, they meet at once. Else
     they meet at their first, hot or not, when components are known.
     """
     each = shared_table(prefixes(docs, id_column), "prefixes")
     rows = shared_table(each.select(id_column, "node"), "rows")
-    nodes = each.groupBy("node").agg(F.min(id_column).alias("first"), F.count("*").alias("rows"), F.max("common").alias("common"), F.max("bits").alias("bits"))
+    nodes = each.groupBy("node").agg(F.min(id_column).alias("first"), F.count("*").alias("rows"), F.max("common").alias("common"), F.max("bits").alias("bits"), F.max("n").alias("n"))
     nodes = shared_table(nodes, "nodes")
     lists = ["node", "n", "keys", "hot"]
     again = maybe(F.col("node"), nodes.filter("rows > 1").select(F.col("node").alias("h")))
@@ -379,7 +412,7 @@ def near_sets(docs: DataFrame, id_column: str, links=None) -> tuple[DataFrame, D
     hot = shared_table(hot, "hot")
     drop_tables(each, met)  # of tables with a row a shingle only the shingles that prefixes share are left
     pairs = few.filter("times >= need").select("a", "b").unionByName(_led(hot))
-    close = None if links is None else _close(nodes.select("node", "bits"), links)
+    close = None if way is None else _close(nodes.select("node", "bits"), way.links)
     pairs = shared_table((pairs if close is None else pairs.unionByName(close)).distinct(), "pairs")
     less = few.filter("times < need").select("a", "b")
     wanted = pairs.unionByName(less).select(F.explode(F.array("a", "b")).alias("node")).unionByName(hot.select("node")).distinct()
@@ -388,11 +421,17 @@ def near_sets(docs: DataFrame, id_column: str, links=None) -> tuple[DataFrame, D
     labels = components(found)
     name = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
     apart = less.join(name("a"), "a", "left").join(name("b"), "b", "left").filter("coalesce(label_a, a) <> coalesce(label_b, b)")
-    more = _between(hot, labels).unionByName(apart.select("a", "b")).distinct()
-    more = shared_table(more.join(pairs, ["a", "b"], "left_anti"), "more")
+    more, spent = _between(hot, labels).unionByName(apart.select("a", "b")), []
+    if close is not None:
+        unmet = _unmet(nodes.select("node", "bits", "n"), close, labels)
+        spent = [close, unmet]
+        if unmet.limit(1).count():
+            values = unmet.select(F.explode(way.values(F.col("bits"))).alias("key"), "node", "n", F.lit(0).alias("place"), "bits")
+            more = more.unionByName(_between(values, labels, way.distance))
+    more = shared_table(more.distinct().join(pairs, ["a", "b"], "left_anti"), "more")
     near = _verified(more, sets)
     first, labels = labels, components(found.unionByName(near))
-    drop_tables(few, hot, pairs, sets, found, more, near, first, *([] if close is None else [close]))
+    drop_tables(few, hot, pairs, sets, found, more, near, first, *spent)
     known = nodes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     return rows, known
 
@@ -409,13 +448,13 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return each.join(known.join(least, "label").select("node", "component_id"), "node")
 
 
-def kept_rows(docs: DataFrame, id_column: str = "doc_id", links=None) -> tuple[DataFrame, DataFrame]:
+def kept_rows(docs: DataFrame, id_column: str = "doc_id", way: Close | None = None) -> tuple[DataFrame, DataFrame]:
     """(__id, __rows) of ids that have several rows, or whose only row goes; (__id, __set) of the sets that stay of the
     former.
 
-    Of each component the set of the smallest id stays, nulls last. ``links``: see ``near_sets``.
+    Of each component the set of the smallest id stays, nulls last. ``way``: see ``near_sets``.
     """
-    each, known = near_sets(docs, id_column, links)
+    each, known = near_sets(docs, id_column, way)
     best = known.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("best"))
     best = shared_table(best.select(F.col("best.first").alias("__id"), F.col("best.node").alias("__set")), "best")
     rows = each.groupBy(F.col(id_column).alias("__own")).agg(F.count("*").alias("__rows"))

@@ -99,3 +99,14 @@ def test_close_fingerprints_meet_first(spark, monkeypatch):
         label = {n: label[a] if x == label[b] else x for n, x in label.items()}
     near = {(a, b) for a in bits for b in bits if a < b and (bits[a] ^ bits[b]).bit_count() <= simhash.DISTANCE}
     assert near and all(label[a] == label[b] for a, b in near)
+
+
+@pytest.mark.parametrize("bits", ["0L", "shiftleft(1L, cast(pmod(node, 60) AS int))"])
+def test_pairs_of_close_fingerprints_whose_links_fail_meet(spark, monkeypatch, bits):
+    """Groups of near copies, all with close fingerprints: most links that span them join texts of two groups and fail."""
+    rows = near_rows(12)
+    none, made = nearcopies.F.array().cast("array<bigint>"), nearcopies.prefixes  # no prefix helps
+    monkeypatch.setattr(nearcopies, "prefixes", lambda *x: made(*x).withColumns({"keys": none, "hot": none, "bits": nearcopies.F.expr(bits)}))
+    monkeypatch.setattr(nearcopies, "BLOCK", 5)
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r["doc_id"] for r in got.collect()} == slow_kept(rows)
