@@ -379,11 +379,11 @@ def _unmet(nodes: DataFrame, close: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, bits, n): the sets that ``close`` joins to others, but ``labels``, from the pairs of it that were verified,
     do not: pairs among these may be close, and have not met. Two that nothing else is close to have."""
     whole = components(close).withColumnRenamed("label", "whole")
-    named = whole.join(labels, "node", "left").select("node", "whole", F.coalesce("label", "node").alias("label"))
+    named = shared_table(whole.join(labels, "node", "left").select("node", "whole", F.coalesce("label", "node").alias("label")), "named")
     apart = named.groupBy("whole").agg(F.count("*").alias("sets"), F.min("label").alias("low"), F.max("label").alias("high"))
-    apart = apart.filter("sets > 2 AND low < high").select("whole")
+    apart = shared_table(apart.filter("sets > 2 AND low < high").select("whole"), "apart")
     unmet = shared_table(named.join(apart, "whole").join(nodes, "node").select("node", "bits", "n"), "unmet")
-    drop_tables(whole)
+    drop_tables(whole, named, apart)
     return unmet
 
 
